@@ -91,15 +91,17 @@ def class_counts(lexed: DataFrame) -> DataFrame:
     )
 
 
-def weigh(counts: DataFrame) -> DataFrame:
-    """M3: add-one smoothed log-odds per token, in micro-units; ``unseen`` is the weight of any other token."""
+def weigh(counts: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """M3: smoothed log-odds per token, in micro-units; ``unseen`` is the weight of any other token."""
     totals = counts.agg(
         F.struct(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count("*").alias("v"))
     ).scalar()
     t = F.col("t")
 
     def micro(c1: Column, c0: Column) -> Column:
-        odds = F.log((c1 + 1.0) / (t["n1"] + t["v"])) - F.log((c0 + 1.0) / (t["n0"] + t["v"]))
+        share1 = (c1 + smoothing) / (t["n1"] + smoothing * t["v"])
+        share0 = (c0 + smoothing) / (t["n0"] + smoothing * t["v"])
+        odds = F.log(share1) - F.log(share0)
         return F.round(odds * float(MICRO)).cast("long")
 
     return counts.withColumn("t", totals).select(
@@ -134,9 +136,9 @@ class LinearScorer:
     block_size: int = BLOCK_SIZE
 
     @classmethod
-    def train(cls, lexed: DataFrame, block_size: int = BLOCK_SIZE) -> "LinearScorer":
+    def train(cls, lexed: DataFrame, block_size: int = BLOCK_SIZE, smoothing: float = 1.0) -> "LinearScorer":
         counts = stage(class_counts(lexed), "class-counts")
-        weighed = stage(weigh(counts), "weights")
+        weighed = stage(weigh(counts, smoothing), "weights")
         return cls(weighed.drop("unseen"), weighed.agg(F.max("unseen").alias("w")), block_size)
 
     def unseen_weight(self) -> Column:

@@ -24,6 +24,11 @@ def earlier_ranks():
     return Window.partitionBy("sample_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
 
 
+def with_counts(rows: DataFrame) -> DataFrame:
+    """``m``: how many candidates the name has."""
+    return rows.withColumn("m", F.count("*").over(by_name()))
+
+
 def flips(label: Column, signed_margin: Column) -> Column:
     return (signed_margin < 0) | ((signed_margin == 0) & (label == 1))
 
@@ -35,7 +40,7 @@ def apply_budget(rows: DataFrame, max_iter: int | None) -> DataFrame:
     ``evaluated``. Once the budget is spent, every later name still gets one query. ``None`` sets no budget.
     """
     before = F.col("q0") + F.coalesce(F.count("*").over(earlier_ranks()), F.lit(0))
-    sized = rows.withColumn("m", F.count("*").over(by_name())).withColumn("before", before)
+    sized = with_counts(rows).withColumn("before", before)
     if max_iter is None:
         return sized.withColumn("used", F.col("before")).withColumn("evaluated", F.col("m")).drop("m", "before")
     past = F.col("before") >= max_iter

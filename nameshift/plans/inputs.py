@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.names import is_valid_name
-from nameshift.operators.candidates import FillModel, search_space
+from nameshift.operators.candidates import TOP_K, FillModel, search_space
 from nameshift.operators.importance import occurrence_importance
-from nameshift.operators.scoring import BLOCK_SIZE, LinearScorer, predicted, prob_of
+from nameshift.operators.scoring import BLOCK_SIZE, LinearScorer, margin, predicted, prob_of, sigmoid
+from nameshift.operators.search import flips
 from nameshift.operators.tokens import token_rows, with_tokens
 from nameshift.session import stage
 
@@ -52,6 +53,12 @@ def gate(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("predict_label") == F.col("label"))
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """I5 on candidate rows: all rows of a name share its rank."""
+    by_importance = Window.partitionBy("sample_id").orderBy(F.desc("importance"), "first_pos")
+    return rows.withColumn("rank", F.dense_rank().over(by_importance).cast("long"))
+
+
 @dataclass
 class AttackInputs:
     """Samples ``(sample_id, code, label)`` with a trained scorer and fill model; tables are computed once, on demand."""
@@ -62,11 +69,18 @@ class AttackInputs:
     lang: str = "c"
 
     @classmethod
-    def prepare(cls, samples: DataFrame, fill_corpus: DataFrame, lang: str = "c", block_size: int = BLOCK_SIZE) -> "AttackInputs":
+    def prepare(
+        cls,
+        samples: DataFrame,
+        fill_corpus: DataFrame,
+        lang: str = "c",
+        block_size: int = BLOCK_SIZE,
+        top_k: int = TOP_K,
+        smoothing: float = 1.0,
+    ) -> "AttackInputs":
         """Train the built-in models: the scorer on the labelled samples, the fill model on a corpus of texts."""
-        return cls(
-            samples, LinearScorer.train(with_tokens(samples), block_size), FillModel.train(with_tokens(fill_corpus)), lang
-        )
+        scorer = LinearScorer.train(with_tokens(samples), block_size, smoothing)
+        return cls(samples, scorer, FillModel.train(with_tokens(fill_corpus), top_k), lang)
 
     @cached_property
     def lexed(self) -> DataFrame:
@@ -115,17 +129,15 @@ class AttackInputs:
     def _spaces(self) -> dict:
         return {}
 
-    def search_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
-        """Candidates with everything the search windows need; ``rank`` is by importance, or by text order."""
+    def name_rows(self, importance: str | None) -> DataFrame:
+        """Names of gated samples: ``sample_id, name, label, n_occ, first_pos, importance, margin, n, n_win, w``."""
         label = F.col("label")
         sign = F.when(label == 1, F.lit(1)).otherwise(F.lit(-1))
-        names = self.names.where((F.col("total") > 0).cast("long") == label)
-        if importance is None:
-            score = F.lit(0.0)
-        else:
+        score = F.lit(0.0)
+        if importance is not None:
             each = occurrence_importance(importance, F.lit(True), self.scorer.unseen_weight())
             score = F.round(F.col("n_win") * each, 9)
-        names = names.select(
+        return self.names.where(predicted(F.col("total")) == label).select(
             "sample_id",
             "name",
             "label",
@@ -137,11 +149,41 @@ class AttackInputs:
             score.alias("importance"),
             (sign * F.col("total")).alias("margin"),
         )
-        rows = space.join(names, ["sample_id", "name"]).withColumn(
+
+    def occurrence_scores(self, kind: str) -> DataFrame:
+        """I1-I3 per occurrence of the whole text: ``(sample_id, name, first_pos, pos, score)``."""
+        at = self.attackable.select("sample_id", F.posexplode("tokens").alias("pos", "name"))
+        seen = F.col("pos") < self.scorer.block_size
+        return at.join(self.names, ["sample_id", "name"]).select(
+            "sample_id", "name", "first_pos", "pos", occurrence_importance(kind, seen, self.scorer.unseen_weight()).alias("score")
+        )
+
+    def search_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
+        """Candidates with everything the search windows need; ``rank`` is by importance, or by text order.
+
+        ``delta`` is the signed effect of the one rename, ``flips_alone`` and ``prob`` its outcome.
+        """
+        sign = F.when(F.col("label") == 1, F.lit(1)).otherwise(F.lit(-1))
+        rows = space.join(self.name_rows(importance), ["sample_id", "name"]).withColumn(
             "delta", sign * F.col("n_win") * (F.col("w_cand") - F.col("w"))
         )
-        by_importance = Window.partitionBy("sample_id").orderBy(F.desc("importance"), "first_pos")
-        return rows.withColumn("rank", F.dense_rank().over(by_importance).cast("long"))
+        changed = F.col("margin") + F.col("delta")
+        rows = rows.withColumn("flips_alone", flips(F.col("label"), changed)).withColumn(
+            "prob", sigmoid(margin(changed, F.col("n")))
+        )
+        return ranked(rows)
+
+    def evaluate(self, rows: DataFrame) -> DataFrame:
+        """Outcome of a whole assignment ``genes map<bigint, struct<name, cand, delta>>``: ``change, flipped, prob``.
+
+        Needs ``label, margin, n``. The linear classifier adds up the deltas.
+        """
+        change = F.aggregate(F.map_values("genes"), F.lit(0).cast("long"), lambda acc, g: acc + g["delta"])
+        rows = rows.withColumn("change", change)
+        changed = F.col("margin") + F.col("change")
+        return rows.withColumn("flipped", flips(F.col("label"), changed)).withColumn(
+            "prob", sigmoid(margin(changed, F.col("n")))
+        )
 
     def name_counts(self) -> DataFrame:
         return self.names.groupBy("sample_id").agg(F.count("*").alias("n_names"))
