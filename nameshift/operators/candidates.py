@@ -206,10 +206,10 @@ class FillModel:
         return out.select(*gaps.columns, merged.alias("fills"))
 
     def similar_fills(self, gaps: DataFrame) -> DataFrame:
-        """C1 + similarity order: gaps ``(name, prev, next, n)`` with ``similar``."""
+        """C1 + similarity order: gaps ``(name, prev, next, n)`` with ``similar``. A name the corpus lacks has signature 0."""
         sigs = self.words.select(F.col("tok").alias("name"), "sig", F.col("n").alias("_n"))
         with_sig = skew_join(self.fills(gaps), sigs, ["name"], "_n", ["prev", "next"])
-        return with_sig.withColumn("similar", by_similarity(F.col("fills"), F.col("sig"))).drop("fills", "sig")
+        return with_sig.withColumn("similar", by_similarity(F.col("fills"), F.coalesce("sig", F.lit(0)))).drop("fills", "sig")
 
 
 def piece_pairs(words: DataFrame) -> DataFrame:

@@ -19,10 +19,10 @@ from nameshift.operators.scoring import class_counts, label_prob, margin, prob_o
 from nameshift.plans import metrics
 from nameshift.plans.cascade import CascadeAttack
 from nameshift.plans.genetic import GeneticAttack, initial_members, make_children, replace_worst
-from nameshift.plans.greedy import FoolerAttack, GreedyAttack, MaskGreedyAttack
+from nameshift.plans.greedy import FoolerAttack, GreedyAttack, MaskGreedyAttack, with_spent
 from nameshift.plans.inputs import AttackInputs, gate, outcome_note
 from nameshift.plans.mhm import MhmAttack
-from nameshift.session import read_spread
+from nameshift.session import read_spread, stage
 from nameshift.sources.corpus import all_documents, assign_split, binary_label, check_language, harmonise, labelled_documents
 from nameshift.sources.results import run_params
 
@@ -32,6 +32,7 @@ SEED = 42
 CUT = 3_000_000
 
 _prepared: dict[tuple[str, str], AttackInputs] = {}
+_matrix: dict[tuple[str, str], DataFrame] = {}
 
 
 def prepared(spark: SparkSession, folder: str) -> AttackInputs:
@@ -509,12 +510,12 @@ def _importance(kind):
 
 def importance_by_name(spark, folder):
     names = importance.importance_by_name(prepared(spark, folder).occurrence_scores("unk"))
-    return names.select("sample_id", "name", F.round("importance", 6).alias("importance"))
+    return names.select("sample_id", "name", "importance")
 
 
 def importance_compat(spark, folder):
     shifted = importance.shift_scores(prepared(spark, folder).occurrence_scores("unk"), ["first_pos", "pos"])
-    return importance.importance_by_name(shifted).select("sample_id", "name", F.round("importance", 6).alias("importance"))
+    return importance.importance_by_name(shifted).select("sample_id", "name", "importance")
 
 
 def importance_rank(spark, folder):
@@ -529,7 +530,7 @@ def query_count(spark, folder):
 def importance_threshold(spark, folder):
     names = importance.importance_by_name(prepared(spark, folder).occurrence_scores("delete"))
     kept = importance.importance_threshold(names, 0.001)
-    return kept.select("sample_id", "name", F.round("importance", 6).alias("importance"))
+    return kept.select("sample_id", "name", "importance")
 
 
 # Search
@@ -537,8 +538,7 @@ def importance_threshold(spark, folder):
 
 def _ranked(spark, folder):
     inputs = prepared(spark, folder)
-    rows = inputs.search_rows(inputs.space(), "unk")
-    return rows.withColumn("q0", F.sum(F.when(F.col("idx") == 1, F.col("n_occ"))).over(search.by_sample()) + 1)
+    return with_spent(inputs.search_rows(inputs.space(), "unk"))
 
 
 def best_candidate(spark, folder):
@@ -679,7 +679,11 @@ def accuracy_by_source(spark, folder):
 
 
 def _all_results(spark, folder):
-    return metrics.run_attacks(prepared(spark, folder), metrics.all_attacks())
+    """All strategies on the tables of ``folder``, run once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _matrix:
+        _matrix[key] = stage(metrics.run_attacks(prepared(spark, folder), metrics.all_attacks()), "attack-matrix")
+    return _matrix[key]
 
 
 def robustness(spark, folder):
