@@ -49,11 +49,12 @@ def signatures(pairs: DataFrame) -> DataFrame:
     return counted.select("tok", "n", sig.alias("sig"))
 
 
-def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str) -> DataFrame:
+def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, lang: str) -> DataFrame:
     """The ``k`` most frequent tokens after (or before) every token, as one bounded list per token.
 
     Spark cuts each map task to ``k`` rows per key before the shuffle (window group limit), so a token with
-    millions of neighbours still sends few rows.
+    millions of neighbours still sends few rows. ``ok`` is P9: whether the token may be a name at all; it is settled
+    here, once per list entry, instead of once per gap.
     """
     key, fill = ("a", "b") if side == "after" else ("b", "a")
     first = Window.partitionBy(key).orderBy(F.desc("c"), fill)
@@ -66,32 +67,33 @@ def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str) -> Dat
     with_sig = skew_join(best, words, ["tok"], "n", ["key"])
     score = F.round(F.log1p(F.col("c").cast("double")) * float(MICRO)).cast("long")
     lists = with_sig.groupBy("key").agg(
-        F.collect_list(F.struct("tok", score.alias("score"), "sig")).alias(side),
-        F.map_from_entries(F.collect_list(F.struct("tok", score))).alias(f"{side}_scores"),
-        F.sum("c").alias("n"),
+        F.sort_array(F.collect_list(F.struct("tok", score.alias("score"), "sig", is_valid_name(F.col("tok"), lang).alias("ok")))).alias(side), F.sum("c").alias("n")
     )
-    return lists.select("key", F.sort_array(side).alias(side), f"{side}_scores", "n")
+    if side == "before":
+        scores = F.map_from_entries(F.transform("before", lambda x: F.struct(x["tok"], x["score"])))
+        lists = lists.withColumn("before_scores", scores)
+    return lists
 
 
-def merge_sides(after: Column, before: Column, after_scores: Column, before_scores: Column, k: int) -> Column:
+def merge_sides(after: Column, before: Column, before_scores: Column, both: Column, k: int) -> Column:
     """C1 in one row: fills of a gap, best first. A token found on both sides adds its two scores.
 
-    The score maps come from the staged tables: built here, a lambda would rebuild them for every element.
+    ``both``, the few shared tokens, and the score maps must be plain columns: a lambda would rebuild an
+    expression for every element.
     """
 
-    def ranked(tok: Column, score: Column, sig: Column) -> Column:
-        return F.struct((-score).alias("neg"), tok.alias("tok"), sig.alias("sig"))
+    def ranked(x: Column, score: Column) -> Column:
+        return F.struct((-score).alias("neg"), x["tok"].alias("tok"), x["sig"].alias("sig"), x["ok"].alias("ok"))
 
-    from_after = F.transform(
-        after,
-        lambda x: ranked(
-            x["tok"], x["score"] + F.coalesce(F.try_element_at(before_scores, x["tok"]), F.lit(0)), x["sig"]
-        ),
-    )
-    only_before = F.transform(
-        F.filter(before, lambda y: F.try_element_at(after_scores, y["tok"]).isNull()),
-        lambda y: ranked(y["tok"], y["score"], y["sig"]),
-    )
+    def shared(x: Column) -> Column:
+        return F.array_contains(both, x["tok"])
+
+    def added(x: Column) -> Column:
+        other = F.try_element_at(before_scores, x["tok"])
+        return x["score"] + F.when(shared(x), other).otherwise(F.lit(0))
+
+    from_after = F.transform(after, lambda x: ranked(x, added(x)))
+    only_before = F.transform(F.filter(before, lambda y: ~shared(y)), lambda y: ranked(y, y["score"]))
     return F.slice(F.sort_array(F.concat(from_after, only_before)), 1, k)
 
 
@@ -105,6 +107,7 @@ def by_similarity(fills: Column, sig: Column) -> Column:
                 i.alias("idx"),
                 f["tok"].alias("cand"),
                 (-f["neg"]).alias("score"),
+                f["ok"].alias("ok"),
             ),
         )
     )
@@ -176,33 +179,32 @@ class FillModel:
     top_k: int = TOP_K
 
     @classmethod
-    def train(cls, lexed: DataFrame, top_k: int = TOP_K) -> "FillModel":
+    def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c") -> "FillModel":
         pairs = stage(bigrams(lexed), "bigrams")
         words = stage(signatures(pairs), "words")
         side = (top_k + 1) // 2
         return cls(
             pairs,
             words,
-            stage(top_neighbours(pairs, words, side, "after"), "after"),
-            stage(top_neighbours(pairs, words, side, "before"), "before"),
+            stage(top_neighbours(pairs, words, side, "after", lang), "after"),
+            stage(top_neighbours(pairs, words, side, "before", lang), "before"),
             top_k,
         )
 
     def fills(self, gaps: DataFrame) -> DataFrame:
-        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig>>``."""
+        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``."""
         spread = [c for c in gaps.columns if c in ("name", "prev", "next", "sample_id")]
         out = skew_join(gaps, self.after.withColumnRenamed("key", "prev").withColumnRenamed("n", "_n"), ["prev"], "_n", spread)
         out = skew_join(out, self.before.withColumnRenamed("key", "next").withColumnRenamed("n", "_n"), ["next"], "_n", spread)
-        none = F.array().cast("array<struct<tok:string,score:bigint,sig:bigint>>")
+        none = F.array().cast("array<struct<tok:string,score:bigint,sig:bigint,ok:boolean>>")
         no_map = F.create_map().cast("map<string,bigint>")
         out = out.select(
             *gaps.columns,
             F.coalesce("after", none).alias("after"),
             F.coalesce("before", none).alias("before"),
-            F.coalesce("after_scores", no_map).alias("after_scores"),
             F.coalesce("before_scores", no_map).alias("before_scores"),
-        )
-        merged = merge_sides(*[F.col(c) for c in ("after", "before", "after_scores", "before_scores")], self.top_k)
+        ).withColumn("both", F.array_intersect(F.col("after.tok"), F.col("before.tok")))
+        merged = merge_sides(*[F.col(c) for c in ("after", "before", "before_scores", "both")], self.top_k)
         return out.select(*gaps.columns, merged.alias("fills"))
 
     def similar_fills(self, gaps: DataFrame) -> DataFrame:
@@ -281,6 +283,45 @@ def compose_words(names: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
+GAP = ["name", "prev", "next"]
+KEPT = "array<struct<cand:string,score:bigint>>"
+
+
+def gap_candidates(gaps: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each gap of a sample takes the list of its distinct gap ``(name, prev, next, n, kept)``.
+
+    The same gap may occur in a large share of all samples, so the join is salted.
+    """
+    return skew_join(gaps, lists, GAP, "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
+
+
+def merge_candidates(lists: DataFrame) -> DataFrame:
+    """The distinct candidates of a name over all its occurrences, with their best score.
+
+    One shuffle by sample; the lists are unpacked behind it, and grouping by (sample, name, cand) needs no other.
+    """
+    rows = lists.repartition("sample_id").select("sample_id", "name", F.explode("kept").alias("k"))
+    return rows.groupBy("sample_id", "name", F.col("k.cand").alias("cand")).agg(F.max("k.score").alias("score"))
+
+
+def merge_foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
+    """C7 + P11 on the same partitioning: own names ride along as rows without a name and strike out their word."""
+    own = own_names.select(
+        "sample_id",
+        F.lit(None).cast("string").alias("name"),
+        F.array(F.struct(F.col("name").alias("cand"), F.lit(0).cast("long").alias("score"))).cast(KEPT).alias("kept"),
+    )
+    merged = merge_candidates(lists.unionByName(own))
+    is_own = F.max(F.col("name").isNull()).over(Window.partitionBy("sample_id", "cand"))
+    return merged.withColumn("own", is_own).where(~F.col("own")).drop("own")
+
+
+def drop_own_names(candidates: DataFrame, own_names: DataFrame) -> DataFrame:
+    """P11 on its own."""
+    own = own_names.select("sample_id", F.col("name").alias("cand"))
+    return candidates.join(own, ["sample_id", "cand"], "left_anti")
+
+
 def search_space(
     lexed: DataFrame,
     own_names: DataFrame,
@@ -300,39 +341,26 @@ def search_space(
     """
     gaps = contexts(lexed, lang, block_size)
     single = gaps.where(F.size(pieces(F.col("name"))) == 1)
-    distinct = single.groupBy("name", "prev", "next").agg(F.count("*").alias("n"))
+    distinct = single.groupBy(*GAP).agg(F.count("*").alias("n"))
     similar = F.col("similar")
     kept = keep_half(similar) if similarity_threshold is None else keep_threshold(similar, similarity_threshold, at_most)
-    valid = F.filter(cut_scores(kept, score_cut), lambda s: is_valid_name(F.trim(s["cand"]), lang))
-    lists = stage(
-        model.similar_fills(distinct).select(
-            "name", "prev", "next", "n", F.transform(valid, lambda s: F.struct(F.trim(s["cand"]).alias("cand"), s["score"].alias("score"))).alias("kept")
-        ),
-        "gap-fills",
-    )
-    pairs = skew_join(single, lists, ["name", "prev", "next"], "n", ["sample_id"], "inner").select(
-        "sample_id", "name", F.explode("kept").alias("k")
-    ).select("sample_id", "name", "k.cand", "k.score")
+    valid = F.filter(cut_scores(kept, score_cut), lambda s: s["ok"])
+    slim = F.transform(valid, lambda s: F.struct(s["cand"].alias("cand"), s["score"].alias("score")))
+    lists = stage(model.similar_fills(distinct).select(*GAP, "n", slim.alias("kept")), "gap-fills")
+    found = gap_candidates(single, lists)
     if compose:
         multi = gaps.where(F.size(pieces(F.col("name"))) > 1).select("sample_id", "name").distinct()
         composed = compose_words(multi, model.words).where(is_valid_name(F.col("cand"), lang))
-        composed = composed.groupBy("name").agg(
-            F.collect_list(F.struct("cand", "score")).alias("kept"), F.lit(0).cast("long").alias("_")
+        composed = composed.groupBy("name").agg(F.collect_list(F.struct("cand", "score")).cast(KEPT).alias("kept"))
+        lists = composed.join(multi.groupBy("name").agg(F.count("*").alias("n")), "name")
+        found = found.unionByName(
+            skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
         )
-        weights = multi.groupBy("name").agg(F.count("*").alias("n"))
-        lists = composed.join(weights, "name").drop("_")
-        pairs = pairs.unionByName(
-            skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner")
-            .select("sample_id", "name", F.explode("kept").alias("k"))
-            .select("sample_id", "name", "k.cand", "k.score")
-        )
-    union = pairs.groupBy("sample_id", "name", "cand").agg(F.max("score").alias("score"))
-    foreign = union.join(
-        own_names.select("sample_id", F.col("name").alias("cand")), ["sample_id", "cand"], "left_anti"
-    )
     order = Window.partitionBy("sample_id", "name").orderBy(F.desc("score"), "cand")
-    return foreign.withColumn("idx", F.row_number().over(order).cast("long")).select(
-        "sample_id", "name", "idx", "cand", "score"
+    return (
+        merge_foreign_candidates(found, own_names)
+        .withColumn("idx", F.row_number().over(order).cast("long"))
+        .select("sample_id", "name", "idx", "cand", "score")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.names import is_valid_name
@@ -80,7 +80,20 @@ class AttackInputs:
     ) -> "AttackInputs":
         """Train the built-in models: the scorer on the labelled samples, the fill model on a corpus of texts."""
         scorer = LinearScorer.train(with_tokens(samples), block_size, smoothing)
-        return cls(samples, scorer, FillModel.train(with_tokens(fill_corpus), top_k), lang)
+        return cls(samples, scorer, FillModel.train(with_tokens(fill_corpus), top_k, lang), lang)
+
+    @property
+    def block(self) -> int:
+        """Size of the model window in tokens."""
+        return self.scorer.block_size
+
+    @property
+    def prob_unchanged(self) -> Column:
+        """Probability of the true label on the text as it is, from the columns of the search rows."""
+        return sigmoid(margin(F.col("margin"), F.col("n")))
+
+    #: Deltas of different names add up, so a whole greedy search fits into windows.
+    additive = True
 
     @cached_property
     def lexed(self) -> DataFrame:
@@ -119,12 +132,14 @@ class AttackInputs:
         key = tuple(sorted(limits.items()))
         if key not in self._spaces:
             found = search_space(
-                self.attackable, self.names.select("sample_id", "name"), self.fill_model, self.lang, self.scorer.block_size, **limits
+                self.attackable, self.names.select("sample_id", "name"), self.fill_model, self.lang, self.block, **limits
             )
-            weighed = self.scorer.weigh_rows(found, "cand", ["sample_id", "name"], "w_cand")
-            self._spaces[key] = stage(weighed, "space")
+            self._spaces[key] = stage(self.prepare_space(found), "space")
         return self._spaces[key]
 
+    def prepare_space(self, found: DataFrame) -> DataFrame:
+        return self.scorer.weigh_rows(found, "cand", ["sample_id", "name"], "w_cand")
+
     @cached_property
     def _spaces(self) -> dict:
         return {}

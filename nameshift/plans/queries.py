@@ -436,12 +436,9 @@ def fill_score_cut(spark, folder):
 def _conversation_union(spark, folder):
     gaps, distinct = _conversation_gaps(spark, folder)
     similar = prepared(spark, folder).fill_model.similar_fills(distinct)
-    kept = similar.select("name", "prev", "next", F.explode(cand_ops.keep_half(F.col("similar"))).alias("s"))
-    return (
-        gaps.join(kept, ["name", "prev", "next"])
-        .groupBy("sample_id", "name", F.col("s.cand").alias("cand"))
-        .agg(F.max("s.score").alias("score"))
-    )
+    kept = F.transform(cand_ops.keep_half(F.col("similar")), lambda s: F.struct(s["cand"], s["score"]))
+    lists = similar.select("name", "prev", "next", "n", kept.cast(cand_ops.KEPT).alias("kept"))
+    return cand_ops.merge_candidates(cand_ops.gap_candidates(gaps, stage(lists, "conversation-fills")))
 
 
 def candidate_union(spark, folder):
@@ -451,8 +448,8 @@ def candidate_union(spark, folder):
 
 
 def candidate_not_own(spark, folder):
-    own = _names_of(lexed_conversations(spark, folder)).withColumnRenamed("name", "cand")
-    foreign = _conversation_union(spark, folder).join(own, ["sample_id", "cand"], "left_anti")
+    own = _names_of(lexed_conversations(spark, folder))
+    foreign = cand_ops.drop_own_names(_conversation_union(spark, folder), own)
     return foreign.groupBy("sample_id", "name").agg(F.count("*").alias("n_cands"))
 
 

@@ -15,6 +15,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
         .appName("nameshift")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -48,7 +49,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     file size lets Catalyst decide whether a later join may broadcast it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/nameshift/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/nameshift/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
