@@ -18,7 +18,7 @@ from nameshift.operators.proposals import proposals
 from nameshift.operators.scoring import class_counts, label_prob, margin, prob_of, score_distinct, sigmoid, weigh, with_prediction
 from nameshift.plans import metrics
 from nameshift.plans.cascade import CascadeAttack
-from nameshift.plans.genetic import GeneticAttack, initial_members, make_children, replace_worst
+from nameshift.plans.genetic import GeneticAttack, draw_steps, initial_members, make_children, replace_worst
 from nameshift.plans.greedy import FoolerAttack, GreedyAttack, MaskGreedyAttack, with_spent
 from nameshift.plans.inputs import AttackInputs, gate, outcome_note
 from nameshift.plans.mhm import MhmAttack
@@ -620,9 +620,9 @@ def _population(init):
 def _first_children(spark, folder, cross_probability):
     inputs, rows, init = _genetic_rows(spark, folder)
     members = _population(init)
-    choices = search.with_counts(rows)
-    children = make_children(_genetic_state(init), members, choices, 1, cross_probability, SEED)
-    return members, inputs.evaluate(children)
+    state = _genetic_state(init)
+    draws = draw_steps(state, search.with_counts(rows), 1, cross_probability, SEED)
+    return members, inputs.evaluate(make_children(state, members, draws))
 
 
 def _genes(children):
