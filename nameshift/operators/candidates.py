@@ -182,14 +182,18 @@ class FillModel:
     def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c") -> "FillModel":
         pairs = stage(bigrams(lexed), "bigrams")
         words = stage(signatures(pairs), "words")
+        return cls._with_lists(pairs, words, top_k, lang)
+
+    @classmethod
+    def _with_lists(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str) -> "FillModel":
         side = (top_k + 1) // 2
-        return cls(
-            pairs,
-            words,
-            stage(top_neighbours(pairs, words, side, "after", lang), "after"),
-            stage(top_neighbours(pairs, words, side, "before", lang), "before"),
-            top_k,
-        )
+        after = stage(top_neighbours(pairs, words, side, "after", lang), "after")
+        before = stage(top_neighbours(pairs, words, side, "before", lang), "before")
+        return cls(pairs, words, after, before, top_k)
+
+    def resized(self, top_k: int, lang: str = "c") -> "FillModel":
+        """The same counts with another number of fills per gap."""
+        return self if top_k == self.top_k else self._with_lists(self.pairs, self.words, top_k, lang)
 
     def fills(self, gaps: DataFrame) -> DataFrame:
         """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``."""

@@ -10,8 +10,8 @@ import re
 from nameshift.functions.reserved import NAME_RULE_LANGUAGES, RESERVED
 
 BLOCK = 510
-SIDE = 30
 TOP_K = 60
+WIDE_K = 150
 SEED = 42
 
 BLANK = r" \t\n\r\f\x0B"
@@ -111,8 +111,8 @@ CTES: dict[str, str] = {
     "neighbours": f"""SELECT *, {hash32('u')} AS h FROM (SELECT a AS tok, 'R' || b AS u, c, c AS k FROM bigrams
         UNION ALL SELECT b, 'L' || a, c, 0 FROM bigrams) WHERE tok <> ''""",
     "words": f"SELECT tok, sum(k)::BIGINT AS n, ({_votes})::BIGINT AS sig FROM neighbours GROUP BY tok",
-    "after_top": f"SELECT * FROM (SELECT a AS key, b AS tok, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM bigrams WHERE b <> '') WHERE r <= {SIDE}",
-    "before_top": f"SELECT * FROM (SELECT b AS key, a AS tok, c, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS r FROM bigrams WHERE a <> '') WHERE r <= {SIDE}",
+    "after_top": f"SELECT * FROM (SELECT a AS key, b AS tok, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM bigrams WHERE b <> '') WHERE r <= {WIDE_K // 2}",
+    "before_top": f"SELECT * FROM (SELECT b AS key, a AS tok, c, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS r FROM bigrams WHERE a <> '') WHERE r <= {WIDE_K // 2}",
     # gaps of gated samples and of conversations
     "gaps": f"""SELECT DISTINCT sample_id, tok AS name, prev, next FROM (
         SELECT sample_id, label, tok, pos, coalesce(lag(tok) OVER w, '') AS prev, coalesce(lead(tok) OVER w, '') AS next
@@ -131,34 +131,35 @@ CTES: dict[str, str] = {
 }
 
 
-def _fills(gaps: str, out: str) -> dict[str, str]:
+def _fills(gaps: str, out: str, top_k: int = TOP_K) -> dict[str, str]:
     """Fills of the distinct gaps, in order, and in similarity order."""
     return {
         f"{out}_distinct": f"SELECT name, prev, next, count(*) AS n FROM {gaps} GROUP BY name, prev, next",
         f"{out}_fills": f"""SELECT *, row_number() OVER (PARTITION BY name, prev, next ORDER BY score DESC, cand) - 1 AS idx FROM (
             SELECT name, prev, next, cand, sum(s) AS score FROM (
-              SELECT d.name, d.prev, d.next, t.tok AS cand, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT AS s FROM {out}_distinct d JOIN after_top t ON d.prev = t.key
+              SELECT d.name, d.prev, d.next, t.tok AS cand, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT AS s FROM {out}_distinct d JOIN after_top t ON d.prev = t.key AND t.r <= {top_k // 2}
               UNION ALL
-              SELECT d.name, d.prev, d.next, t.tok, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT FROM {out}_distinct d JOIN before_top t ON d.next = t.key)
+              SELECT d.name, d.prev, d.next, t.tok, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT FROM {out}_distinct d JOIN before_top t ON d.next = t.key AND t.r <= {top_k // 2})
             GROUP BY name, prev, next, cand)""",
         f"{out}_similar": f"""SELECT *, row_number() OVER (PARTITION BY name, prev, next ORDER BY dist, idx) AS place,
             count(*) OVER (PARTITION BY name, prev, next) AS n_fills FROM (
               SELECT f.*, bit_count(xor(coalesce(x.sig, 0), y.sig)) AS dist FROM {out}_fills f
-              LEFT JOIN words x ON f.name = x.tok JOIN words y ON f.cand = y.tok WHERE f.idx < {TOP_K})""",
+              LEFT JOIN words x ON f.name = x.tok JOIN words y ON f.cand = y.tok WHERE f.idx < {top_k})""",
     }
 
 
 CTES |= _fills("gaps", "doc")
 CTES |= _fills("conv_gaps", "conv")
+CTES |= _fills("gaps", "near", WIDE_K)
 
 
-def _space(out: str, kept: str) -> dict[str, str]:
+def _space(out: str, similar: str, kept: str) -> dict[str, str]:
     single = f"len(regexp_extract_all(g.name, {q(PIECE)})) = 1"
     multi = f"len(regexp_extract_all(g.name, {q(PIECE)})) > 1"
     return {
         out: f"""SELECT *, row_number() OVER (PARTITION BY sample_id, name ORDER BY score DESC, cand) AS idx FROM (
             SELECT sample_id, name, cand, max(score) AS score FROM (
-              SELECT g.sample_id, g.name, k.cand, k.score FROM gaps g JOIN doc_similar k ON g.name = k.name AND g.prev = k.prev AND g.next = k.next
+              SELECT g.sample_id, g.name, k.cand, k.score FROM gaps g JOIN {similar} k ON g.name = k.name AND g.prev = k.prev AND g.next = k.next
               WHERE {single} AND {kept}
               UNION ALL
               SELECT g.sample_id, g.name, c.cand, c.score FROM gaps g JOIN doc_composed c ON g.name = c.name WHERE {multi})
@@ -189,9 +190,10 @@ def _composed(out: str, names: str) -> dict[str, str]:
 
 CTES |= _composed("doc", "SELECT name FROM gaps")
 CTES |= _composed("all", f"SELECT tok AS name FROM words WHERE {valid('tok')}")
-CTES |= _space("space", "k.place <= floor(k.n_fills / 2)")
+CTES |= _space("space", "doc_similar", "k.place <= floor(k.n_fills / 2)")
 CTES |= _space(
     "near_space",
+    "near_similar",
     "k.place <= 50 AND cos(0.09817477042468103::DOUBLE * k.dist) >= 0.7",
 )
 

@@ -127,12 +127,13 @@ class AttackInputs:
         """P5 on tokens."""
         return self.lexed.join(gate(self.predictions).select("sample_id"), "sample_id", "left_semi")
 
-    def space(self, **limits) -> DataFrame:
-        """C8 with the scorer's weight of each candidate."""
-        key = tuple(sorted(limits.items()))
+    def space(self, top_k: int | None = None, **limits) -> DataFrame:
+        """C8 with the scorer's weight of each candidate; ``top_k`` fills per gap, by default those of the model."""
+        key = (top_k, *sorted(limits.items()))
         if key not in self._spaces:
+            model = self.fill_model if top_k is None else self.fill_model.resized(top_k, self.lang)
             found = search_space(
-                self.attackable, self.names.select("sample_id", "name"), self.fill_model, self.lang, self.block, **limits
+                self.attackable, self.names.select("sample_id", "name"), model, self.lang, self.block, **limits
             )
             self._spaces[key] = stage(self.prepare_space(found), "space")
         return self._spaces[key]
