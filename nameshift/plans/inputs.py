@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -65,7 +66,7 @@ class AttackInputs:
 
     samples: DataFrame
     scorer: LinearScorer
-    fill_model: FillModel
+    fill_model: FillModel | Callable[[], FillModel]
     lang: str = "c"
 
     @classmethod
@@ -78,9 +79,14 @@ class AttackInputs:
         top_k: int = TOP_K,
         smoothing: float = 1.0,
     ) -> "AttackInputs":
-        """Train the built-in models: the scorer on the labelled samples, the fill model on a corpus of texts."""
+        """Built-in models: the scorer trained on the labelled samples, the fill model on a corpus of texts, which
+        waits until candidates are wanted."""
         scorer = LinearScorer.train(with_tokens(samples), block_size, smoothing)
-        return cls(samples, scorer, FillModel.train(with_tokens(fill_corpus), top_k, lang), lang)
+        return cls(samples, scorer, lambda: FillModel.train(with_tokens(fill_corpus), top_k, lang), lang)
+
+    @cached_property
+    def fills(self) -> FillModel:
+        return self.fill_model() if callable(self.fill_model) else self.fill_model
 
     @property
     def block(self) -> int:
@@ -131,7 +137,7 @@ class AttackInputs:
         """C8 with the scorer's weight of each candidate; ``top_k`` fills per gap, by default those of the model."""
         key = (top_k, *sorted(limits.items()))
         if key not in self._spaces:
-            model = self.fill_model if top_k is None else self.fill_model.resized(top_k, self.lang)
+            model = self.fills if top_k is None else self.fills.resized(top_k, self.lang)
             found = search_space(
                 self.attackable, self.names.select("sample_id", "name"), model, self.lang, self.block, **limits
             )

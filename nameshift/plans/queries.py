@@ -422,20 +422,20 @@ def _conversation_gaps(spark, folder):
 
 def fill_topk(spark, folder):
     _, distinct = _conversation_gaps(spark, folder)
-    fills = prepared(spark, folder).fill_model.fills(distinct)
+    fills = prepared(spark, folder).fills.fills(distinct)
     return fills.select("name", "prev", "next", "n", size("fills").alias("n_fills"), digest(F.col("fills.tok")).alias("digest"))
 
 
 def fill_score_cut(spark, folder):
     _, distinct = _conversation_gaps(spark, folder)
-    similar = prepared(spark, folder).fill_model.similar_fills(distinct)
+    similar = prepared(spark, folder).fills.similar_fills(distinct)
     cut = similar.select("name", "prev", "next", cand_ops.cut_scores(cand_ops.keep_half(F.col("similar")), CUT).alias("cut"))
     return cut.select("name", "prev", "next", size("cut").alias("n_kept"), digest(F.col("cut.cand")).alias("digest"))
 
 
 def _conversation_union(spark, folder):
     gaps, distinct = _conversation_gaps(spark, folder)
-    similar = prepared(spark, folder).fill_model.similar_fills(distinct)
+    similar = prepared(spark, folder).fills.similar_fills(distinct)
     kept = F.transform(cand_ops.keep_half(F.col("similar")), lambda s: F.struct(s["cand"], s["score"]))
     lists = similar.select("name", "prev", "next", "n", kept.cast(cand_ops.KEPT).alias("kept"))
     return cand_ops.merge_candidates(cand_ops.gap_candidates(gaps, stage(lists, "conversation-fills")))
@@ -479,7 +479,7 @@ def similar_threshold_topn(spark, folder):
 
 
 def compose_beam(spark, folder):
-    model = prepared(spark, folder).fill_model
+    model = prepared(spark, folder).fills
     names = model.words.where(is_valid_name(F.col("tok"), LANG)).select(F.col("tok").alias("name"))
     rows = cand_ops.compose_words(names, model.words)
     listed = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("nll", "cand_no", "cand"))).alias("l"))

@@ -59,5 +59,5 @@ def test_scans_read_only_what_they_need(spark, folder):
 def test_top_lists_are_cut_before_the_shuffle(spark, folder):
     from nameshift.operators.candidates import top_neighbours
 
-    model = q.prepared(spark, folder).fill_model
+    model = q.prepared(spark, folder).fills
     assert plan(top_neighbours(model.pairs, model.words, 30, "after", "c")).count("WindowGroupLimit") >= 2
