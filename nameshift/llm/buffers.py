@@ -18,7 +18,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 WORD_BREAK = np.zeros(256, bool)
 WORD_BREAK[[0x20, *range(0x09, 0x0E)]] = True
 #: Text is worked on in slices of about so many bytes; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -202,7 +202,7 @@ class Interner:
     empties it with ``reset`` when ``full``, so memory stays bounded whatever the vocabulary of the input.
     """
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 18):
         self.limit, self.bits = limit, max(limit, 2).bit_length() + 2
         self.reset()
 

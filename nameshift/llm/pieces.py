@@ -53,7 +53,7 @@ class PieceTable:
     taken out of the text before it is split, and are given to ``encode`` whole.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], special: tuple[bytes, ...] = (), dtype=np.int32, limit: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], special: tuple[bytes, ...] = (), dtype=np.int32, limit: int = 1 << 18):
         self.encode, self.special = encode, tuple(s for s in special if s)
         self.interner, self.table = Interner(limit), RaggedTable(dtype)
 
