@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nameshift.llm import bpe_codec, decontamination, near_duplicates, token_counts
+from nameshift.llm import bpe_codec, decontamination, fertility, html_text, near_duplicates, quality_cotraining, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_fertility_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.quality_rules(table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
@@ -35,11 +39,22 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_cotraining.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_fertility_rules": op3_fertility_rules,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_html_text": op6_html_text,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE}
