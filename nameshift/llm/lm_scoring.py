@@ -1,0 +1,140 @@
+"""Cross-entropy difference of documents under a target and a background n-gram model.
+
+Method: both models count n-grams of ``ORDER`` bytes over one vocabulary, the 256 byte values. The target model sees the
+documents that a label marks, the background model all documents. Background counts are scaled to the target's total,
+so the same smoothing weighs equally in both. Orders are interpolated: a context with c observations gives its own
+distribution the weight c / (c + ``PRIOR``) and the shorter context's the rest. Each byte's loss under the target minus its
+loss under the background, averaged over the document, is the score: the lower, the more like the target.
+
+Counts cover every byte of every document; there are at most 2**24 of either model, whatever the input, which bounds what
+the driver gathers and what is broadcast. Losses are whole micronats, so sums do not depend on how rows are dealt.
+
+Defined results: a null or empty text has 0 tokens and null losses. Every document begins after two line ends. Repeated
+rows count as often as they come and get equal scores. A document is in the target if any of its label rows says so; null
+keys and labels never do. Without target documents the losses are null. A null key stays. An empty table gives an empty
+result. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField
+
+from nameshift.llm.buffers import slices
+from nameshift.llm.frames import longs, map_text
+
+ORDER = 3
+PRIOR = 8.0
+MICRO = 1_000_000
+_CODES = 256**ORDER
+
+
+def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For every byte the number of the gram that ends there."""
+    code = data.astype(np.int32)
+    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+    for k in range(1, ORDER):
+        back = np.full(len(data), 0x0A, np.int32)
+        back[k:] = data[: len(data) - k]
+        back[place < k] = 0x0A
+        code |= back << (8 * k)
+    return code
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """``code``, ``n_target`` and ``n_all`` over ``t`` (text) and ``target`` of all rows; a row for each gram from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _CODES), np.int64)
+        for batch in batches:
+            marked = np.asarray(batch.column(1).fill_null(False))
+            for i, j, data, offs in slices(batch.column(0)):
+                code = grams(data, offs)
+                own = np.repeat(marked[i:j], np.diff(offs))
+                for k, c in enumerate((code[own], code)):
+                    codes, n = np.unique(c, return_counts=True)
+                    counts[k, codes] += n
+        seen = np.flatnonzero(counts[1])
+        for i in range(0, len(seen), 1 << 16):
+            at = seen[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["code", "n_target", "n_all"])
+
+    each = docs.select("t", "target").mapInArrow(run, "code int, n_target long, n_all long")
+    return each.groupBy("code").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Gram counts of both models, the background's scaled to the target's total."""
+
+    codes: np.ndarray
+    target: np.ndarray
+    background: np.ndarray
+
+    def losses(self, counts: np.ndarray) -> np.ndarray:
+        """The loss of every possible gram, in micronats."""
+        full = np.zeros(_CODES, np.float64)
+        full[self.codes] = counts
+        levels = [full]
+        for _ in range(ORDER - 1):  # counts of the last bytes of a gram: sum out the first byte
+            levels.append(levels[-1].reshape(256, -1).sum(axis=0))
+        p = np.full(1, 1 / 256)
+        for level in reversed(levels):
+            by_context = level.reshape(-1, 256)
+            total = by_context.sum(axis=1, keepdims=True)
+            shorter = np.broadcast_to(p, (256,)) if len(p) == 1 else p
+            shorter = np.tile(shorter.reshape(-1, 256), (max(1, by_context.shape[0] * 256 // shorter.size), 1))
+            p = ((by_context + PRIOR * shorter) / (total + PRIOR)).ravel()
+        return np.rint(-np.log(p) * MICRO).astype(np.int32)
+
+
+def gather_counts(docs: DataFrame) -> Counts | None:
+    got = gram_counts(docs).orderBy("code").toPandas()  # at most 2**24 rows
+    total = got["n_target"].sum()
+    if not total:
+        return None
+    scale = total / got["n_all"].sum()
+    return Counts(got["code"].to_numpy(np.int32), got["n_target"].to_numpy(np.float64), got["n_all"].to_numpy(np.float64) * scale)
+
+
+_LOSSES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def losses(broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """Both loss tables of a broadcast model, built once in each worker."""
+    key = id(broadcast.value)
+    if key not in _LOSSES:
+        _LOSSES.clear()
+        _LOSSES[key] = broadcast.value.losses(broadcast.value.target), broadcast.value.losses(broadcast.value.background)
+    return _LOSSES[key]
+
+
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "quality", wanted: int = 1) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``target_loss`` and ``background_loss`` (nats a token) and their difference ``score``."""
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
+    marked = labels.where(F.col(f"`{label}`") == wanted).select(F.col(f"`{label_key}`").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    model = gather_counts(own.join(marked.withColumn("target", F.lit(True)), "doc_id", "left"))
+    if model is None:
+        empty = F.lit(None).cast("double")
+        return own.select("doc_id", F.octet_length(F.coalesce("t", F.lit(""))).cast("long").alias("n_tokens"), *[empty.alias(c) for c in ("target_loss", "background_loss", "score")])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        tables = losses(shared)
+
+        def function(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+            code = grams(data, offs)
+            sums = [np.concatenate([[0], np.cumsum(t[code], dtype=np.int64)])[offs] for t in tables]
+            return [longs(np.diff(offs)), *[longs(np.diff(s)) for s in sums]]
+
+        return function
+
+    fields = [StructField(c, LongType()) for c in ("n_tokens", "target_sum", "background_sum")]
+    made = map_text(own, "t", make, fields, ["doc_id"])
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.round(c / F.col("n_tokens") / MICRO, 6))
+    return made.select("doc_id", "n_tokens", mean(F.col("target_sum")).alias("target_loss"), mean(F.col("background_sum")).alias("background_loss"), mean(F.col("target_sum") - F.col("background_sum")).alias("score"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nameshift.llm import bpe_codec, decontamination, fertility, html_text, near_duplicates, quality_cotraining, token_counts
+from nameshift.llm import bpe_codec, decontamination, fertility, html_text, id_files, lm_scoring, near_duplicates, quality_cotraining, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,21 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cotraining.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = id_files.write_ids(table(spark, folder, "documents"))
+    return id_files.read_digests(spark, files)
+
+
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"))
+    found = warc.records(warc.read_archives(archives.files, payloads=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe_codec": op2_bpe_codec,
@@ -55,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_id_files": op8_id_files,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE}
