@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField
 
 from nameshift.llm.buffers import ragged_take
@@ -187,3 +187,11 @@ def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None
     return map_text(df, "ids", make, [StructField("decoded", BinaryType())], (*keep, "ids"))
 
 
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, the ``ids`` of every text, their digest, and the digest of what they decode to."""
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    both = decode(encode(own, path=path), path=path)
+    count = F.expr("CAST(octet_length(ids) / 4 AS BIGINT)")
+    return both.select("doc_id", count.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

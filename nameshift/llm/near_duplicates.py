@@ -203,3 +203,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     result = filled.select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     alone = all_rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return result.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the smallest document stays.
+
+    Rows that share a key are one document: it goes if any of their texts belongs to a smaller document's component,
+    else one of its rows stays, the one of the smallest text. Rows without a key stay.
+    """
+    found = near_duplicates(docs, key, text, size, percent)
+    gone = stage(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(gone, F.col(f"`{key}`").cast("long") == gone["__gone"], "left_anti")
+    again = stage(docs.groupBy(F.col(f"`{key}`").alias("__again")).count().where("count > 1 AND __again IS NOT NULL").select("__again"), "again")
+    if again.isEmpty():
+        return left
+    once = left.join(again, F.col(f"`{key}`") == again["__again"], "left_anti")
+    many = left.join(again, F.col(f"`{key}`") == again["__again"], "left_semi")
+    row = F.named_struct(F.lit("t"), F.col(f"`{text}`"), F.lit("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return once.unionByName(many.groupBy(F.col(f"`{key}`").alias("__again")).agg(F.min(row).alias("first")).select("first.row.*"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from nameshift.llm import bpe_codec, decontamination, fertility, html_text, id_files, lm_scoring, near_duplicates, quality_cotraining, token_counts, warc
 
@@ -18,13 +18,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
-    docs = bpe_codec.decode(bpe_codec.encode(table(spark, folder, "documents")))
-    return docs.select(
-        "doc_id",
-        F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe_codec.round_trip(table(spark, folder, "documents")).drop("ids")
 
 
 def op3_fertility_rules(spark: SparkSession, folder: str) -> DataFrame:
