@@ -40,6 +40,8 @@ NO_URL = "about:blank"
 GZIP = b"\x1f\x8b\x08"
 #: Bytes read at a time, and the longest header that is looked at.
 CHUNK, HEADER = 1 << 20, 1 << 16
+#: Headers that every record has by the standard.
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -96,7 +98,9 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("a header line without a colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
+    if missing := MANDATORY - headers.keys():
+        raise Damaged(f"no {min(missing)}")
+    length = headers["content-length"]
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
     start = end + 4
