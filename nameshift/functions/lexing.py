@@ -16,13 +16,14 @@ COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 LINE_STRING = r'"(?:[^"\\\n]++|\\[^\n])*+"' + r"|'(?:[^'\\\n]++|\\[^\n])*+'"
 
 TOKEN = f"{COMMENT}|{LINE_STRING}|{WORD}|{NUMBER}|{OPERATOR}|[^{BLANK}]"
-TOKEN_OR_NEWLINE = rf"\n|{TOKEN}"
-SEGMENT = rf"{TOKEN}|[{BLANK}]++"
+PY_COMMENT = r"#[^\n]*+"
+PY_OPERATOR = r"\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|->|:=|<<|>>|<=|>=|==|!=|[-+*/%&|^@]="
 
 C_SEGMENT = (
     rf"{COMMENT}|'(?:[^\\']++|\\[\s\S])*+'" + r'|"(?:[^\\"]++|\\[\s\S])*+"' + r"""|[^/'"]++|[\s\S]"""
 )
 _TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+PY_TOKEN = f"{PY_COMMENT}|{_TRIPLE}|{LINE_STRING}|{WORD}|{NUMBER}|{PY_OPERATOR}|[^{BLANK}]"
 PY_SEGMENT = rf"\n[ \t]*+(?:{_TRIPLE}|{LINE_STRING})|{_TRIPLE}|{LINE_STRING}|#[^\n]*+|" + r"""[^\n#"']++|[\s\S]"""
 
 PIECE = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{N}+|_|\p{L}"
@@ -32,8 +33,13 @@ def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def is_comment(segment: Column) -> Column:
-    return segment.startswith("//") | segment.startswith("/*")
+def token_pattern(lang: str) -> str:
+    """Tokens and comments of a language: Python has its own rules, all others the C rules."""
+    return PY_TOKEN if lang == "python" else TOKEN
+
+
+def is_comment(segment: Column, lang: str = "c") -> Column:
+    return segment.startswith("#") if lang == "python" else segment.startswith("//") | segment.startswith("/*")
 
 
 def drop_blank_lines(text: Column) -> Column:
@@ -71,14 +77,19 @@ def line_tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n"), lambda line: line != ""), lambda line: F.concat(line, F.lit("\\n")))
 
 
-def tokenize(text: Column) -> Column:
+def tokenize(text: Column, lang: str = "c") -> Column:
     """Lexical tokens in order; comments are left out, literals stay whole."""
-    return F.filter(extract_all(text, TOKEN), lambda t: ~is_comment(t))
+    return F.filter(extract_all(text, token_pattern(lang)), lambda t: ~is_comment(t, lang))
 
 
-def tokenize_with_newlines(text: Column) -> Column:
+def tokenize_with_newlines(text: Column, lang: str = "c") -> Column:
     """T6 plus a token per line break, for statement boundaries."""
-    return F.filter(extract_all(text, TOKEN_OR_NEWLINE), lambda t: ~is_comment(t))
+    return F.filter(extract_all(text, rf"\n|{token_pattern(lang)}"), lambda t: ~is_comment(t, lang))
+
+
+def segments(text: Column, lang: str = "c") -> Column:
+    """The whole text cut into tokens, comments and blanks."""
+    return extract_all(text, rf"{token_pattern(lang)}|[{BLANK}]++")
 
 
 def span_text(text: Column, start_line: Column, start: Column, end_line: Column, end: Column) -> Column:

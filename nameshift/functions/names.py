@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from nameshift.functions.lexing import WORD
 from nameshift.functions.reserved import NAME_RULE_LANGUAGES, reserved_table, reserved_words
 
-IDENTIFIER = f"^{WORD}$"
+#: ``\\z`` is the very end; ``$`` would let a final line break pass.
+IDENTIFIER = rf"^{WORD}\z"
+SPACES = " \t\n\x0b\f\r"
 #: Words that may stand before a declared name besides user types.
 TYPE_WORDS = "char const double enum float int long register short signed static struct union unsigned void volatile".split()
 DECLARATION_ENDS = ["=", ";", ",", ")", "["]
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def has_inner_blank(name: Column) -> Column:
     """P7."""
-    return F.contains(F.trim(name), F.lit(" "))
+    return F.contains(stripped(name), F.lit(" "))
 
 
 def is_identifier(name: Column) -> Column:
@@ -46,8 +52,8 @@ def filter_valid_names(df: DataFrame, name: str = "name", lang: str = "lang") ->
 
 def is_uid(text: Column, compat: bool = False) -> Column:
     """P10: a plain ASCII identifier of the C rule set. ``compat`` leaves the last character unchecked."""
-    word = F.trim(text)
-    form = r"""^[A-Za-z_](?:[0-9A-Za-z_]*[^'" \n\r])?$""" if compat else r"^[A-Za-z_][0-9A-Za-z_]*$"
+    word = stripped(text)
+    form = r"""^[A-Za-z_](?:[0-9A-Za-z_]*[^'" \n\r])?\z""" if compat else r"^[A-Za-z_][0-9A-Za-z_]*\z"
     return word.rlike(form) & ~word.isin(reserved_words("c", with_operators=True))
 
 

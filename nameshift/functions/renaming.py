@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nameshift.functions.lexing import SEGMENT, extract_all
+from nameshift.functions.lexing import segments
 
 
 def rename_one(tokens: Column, name: Column, substitute: Column) -> Column:
@@ -18,6 +18,6 @@ def rename_many(tokens: Column, mapping: Column) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(mapping, t), t))
 
 
-def rename_text(text: Column, mapping: Column) -> Column:
+def rename_text(text: Column, mapping: Column, lang: str = "c") -> Column:
     """T11 on the text itself: layout, comments and literals stay as they are."""
-    return F.array_join(rename_many(extract_all(text, SEGMENT), mapping), "")
+    return F.array_join(rename_many(segments(text, lang), mapping), "")

@@ -258,7 +258,6 @@ def compose_words(names: DataFrame, words: DataFrame) -> DataFrame:
     ``nll`` is the summed add-one smoothed negative log probability in micro-units, and its mean is the
     log-perplexity that orders candidates.
     """
-    spark = names.sparkSession
     pairs = stage(piece_pairs(words), "piece-pairs")
     multi = names.select("name").distinct().withColumn("ps", pieces(F.col("name"))).where(F.size("ps") > 1)
     slots = multi.select(

@@ -20,7 +20,7 @@ def statement_rows(samples: DataFrame, lang: str, text: str = "code") -> DataFra
     A statement ends at ``;`` or a line break.
     """
     by_pos = Window.partitionBy("sample_id").orderBy("pos")
-    rows = samples.select("sample_id", F.posexplode(tokenize_with_newlines(F.col(text))).alias("pos", "tok"))
+    rows = samples.select("sample_id", F.posexplode(tokenize_with_newlines(F.col(text), lang)).alias("pos", "tok"))
     ends = F.col("tok").isin(";", "\n").cast("int")
     rows = rows.withColumn("stmt", F.sum(ends).over(by_pos).cast("long")).withColumn("next", F.lead("tok").over(by_pos))
     return rows.where(is_valid_name(F.col("tok"), lang)).select(

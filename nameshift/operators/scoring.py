@@ -70,6 +70,7 @@ class BatchScorer:
     make_predict: Callable[[], Callable]
     batch_size: int = 64
     text: Callable[[DataFrame], Column] | None = None
+    name: str = "model"
 
     def score(self, df: DataFrame) -> DataFrame:
         predict = predict_batch_udf(
@@ -134,12 +135,13 @@ class LinearScorer:
     weights: DataFrame
     unseen: DataFrame
     block_size: int = BLOCK_SIZE
+    name: str = "linear"
 
     @classmethod
-    def train(cls, lexed: DataFrame, block_size: int = BLOCK_SIZE, smoothing: float = 1.0) -> "LinearScorer":
+    def train(cls, lexed: DataFrame, block_size: int = BLOCK_SIZE, smoothing: float = 1.0, name: str = "linear") -> "LinearScorer":
         counts = stage(class_counts(lexed), "class-counts")
         weighed = stage(weigh(counts, smoothing), "weights")
-        return cls(weighed.drop("unseen"), weighed.agg(F.max("unseen").alias("w")), block_size)
+        return cls(weighed.drop("unseen"), weighed.agg(F.max("unseen").alias("w")), block_size, name)
 
     def unseen_weight(self) -> Column:
         return F.coalesce(self.unseen.scalar(), F.lit(0).cast("long"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameshift.functions.lexing import pieces, tokenize
+from nameshift.functions.lexing import pieces, strip_comments, tokenize
 from nameshift.functions.names import is_uid
 
 
-def with_tokens(samples: DataFrame, text: str = "code") -> DataFrame:
-    """T6 as an array column."""
-    return samples.withColumn("tokens", tokenize(F.col(text)))
+def with_tokens(samples: DataFrame, text: str = "code", lang: str = "c") -> DataFrame:
+    """T6 as an array column. Python also loses strings that stand alone."""
+    clean = strip_comments(F.col(text), lang) if lang == "python" else F.col(text)
+    return samples.withColumn("tokens", tokenize(clean, lang))
 
 
 def token_rows(lexed: DataFrame, *keep: str) -> DataFrame:

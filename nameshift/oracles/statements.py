@@ -132,7 +132,7 @@ STATEMENTS = {
     "attack_gate": "SELECT sample_id, label, predict_label FROM predictions WHERE predict_label = label",
     "outcome_notes": f"SELECT sample_id, note FROM ({result('greedy_outcome', 'greedy')})",
     "valid_names": "SELECT lang, name FROM spoken_words WHERE " + " OR ".join(f"(lang = {q(l)} AND {valid('name', l)})" for l in ("c", "java", "python")),
-    "valid_candidates": f"SELECT DISTINCT name AS cand FROM spoken_words WHERE {valid('name', 'java')}",
+    "valid_candidates": f"SELECT DISTINCT cand FROM (SELECT trim(name, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS cand FROM spoken_words) WHERE {valid('cand', 'java')}",
     "uid_filter": f"""SELECT * FROM (SELECT DISTINCT name, regexp_full_match(name, '[A-Za-z_][0-9A-Za-z_]*') AND name NOT IN ({reserved_list('c', True)}) AS strict,
         regexp_full_match(name, {q('[A-Za-z_](?:[0-9A-Za-z_]*[^' + chr(39) + chr(34) + ' ' + chr(92) + 'n' + chr(92) + 'r])?')}) AND name NOT IN ({reserved_list('c', True)}) AS compat FROM spoken_words) WHERE strict OR compat""",
     "candidate_not_own": "SELECT sample_id, name, count(*) AS n_cands FROM conv_union WHERE (sample_id, cand) NOT IN (SELECT (sample_id, cand) FROM conv_own) GROUP BY sample_id, name",
@@ -143,9 +143,9 @@ STATEMENTS = {
     "in_window": "SELECT sample_id, count(*) AS n_words, max(start) AS last_start FROM offsets WHERE start < 510 GROUP BY sample_id",
     "positions": f"SELECT sample_id, count(*) AS n_positions, count(DISTINCT tok) AS n_names, sum(pos)::BIGINT AS pos_sum FROM doc_rows WHERE {valid('tok')} GROUP BY sample_id",
     "uid_positions": f"""SELECT sample_id, count(*) AS n_positions, count(DISTINCT tok) AS n_names, sum(pos)::BIGINT AS pos_sum FROM doc_rows
-        WHERE {valid('tok')} AND length(tok) > 3 AND regexp_full_match(tok, '[A-Za-z_][0-9A-Za-z_]*') AND tok NOT IN ({reserved_list('c', True)}) GROUP BY sample_id""",
+        WHERE {valid('tok')} AND regexp_full_match(tok, '[A-Za-z_][0-9A-Za-z_]*') AND tok NOT IN ({reserved_list('c', True)}) GROUP BY sample_id""",
     "space_in_text": f"""SELECT n.sample_id, count(*) AS n_names, md5(string_agg(n.tok, ' ' ORDER BY n.tok)) AS digest FROM (
-        SELECT DISTINCT sample_id - 1 AS sample_id, tok FROM conv_rows WHERE {valid('tok')}) n
+        SELECT DISTINCT conv_id || ':' || (turn - 1) AS sample_id, tok FROM conv_rows WHERE {valid('tok')}) n
         WHERE (n.sample_id, n.tok) IN (SELECT (sample_id, tok) FROM conv_rows) GROUP BY n.sample_id""",
     "strip_comments_c": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_c_clean} AS t FROM documents)",
     "strip_comments_py": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_py_clean} AS t FROM documents)",

@@ -89,8 +89,8 @@ CTES: dict[str, str] = {
     "tok_rows": "SELECT sample_id, label, len(tokens) AS n_tokens, unnest(tokens) AS tok, generate_subscripts(tokens, 1) - 1 AS pos FROM lexed",
     "doc_lexed": f"SELECT doc_id AS sample_id, text AS code, {lex('text')} AS tokens FROM documents",
     "doc_rows": "SELECT sample_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) - 1 AS pos FROM doc_lexed",
-    "conv_lexed": f"SELECT (conv_id * 1000 + turn)::BIGINT AS sample_id, text AS code, {lex('text')} AS tokens FROM conversations",
-    "conv_rows": "SELECT sample_id, tokens, unnest(tokens) AS tok, generate_subscripts(tokens, 1) - 1 AS pos FROM conv_lexed",
+    "conv_lexed": f"SELECT conv_id || ':' || turn AS sample_id, conv_id, turn, text AS code, {lex('text')} AS tokens FROM conversations",
+    "conv_rows": "SELECT sample_id, conv_id, turn, tokens, unnest(tokens) AS tok, generate_subscripts(tokens, 1) - 1 AS pos FROM conv_lexed",
     # scorer
     "counts": "SELECT tok, sum((label = 1)::INT)::BIGINT AS c1, sum((label = 0)::INT)::BIGINT AS c0 FROM tok_rows GROUP BY tok",
     "totals": "SELECT sum(c1)::BIGINT AS n1, sum(c0)::BIGINT AS n0, count(*) AS v FROM counts",

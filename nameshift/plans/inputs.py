@@ -9,12 +9,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameshift.functions.names import is_valid_name
+from nameshift.functions.names import identifiers, is_valid_name
 from nameshift.operators.candidates import TOP_K, FillModel, search_space
 from nameshift.operators.importance import occurrence_importance
 from nameshift.operators.scoring import BLOCK_SIZE, LinearScorer, margin, predicted, prob_of, sigmoid
 from nameshift.operators.search import flips
-from nameshift.operators.tokens import token_rows, with_tokens
+from nameshift.operators.tokens import with_tokens
 from nameshift.session import stage
 
 #: Remarks on samples that are not attacked (fixed values).
@@ -68,6 +68,8 @@ class AttackInputs:
     scorer: LinearScorer
     fill_model: FillModel | Callable[[], FillModel]
     lang: str = "c"
+    #: ``all`` valid words of a text may be renamed, or only ``declared`` names.
+    names_mode: str = "all"
 
     @classmethod
     def prepare(
@@ -78,11 +80,14 @@ class AttackInputs:
         block_size: int = BLOCK_SIZE,
         top_k: int = TOP_K,
         smoothing: float = 1.0,
+        train: DataFrame | None = None,
+        names_mode: str = "all",
     ) -> "AttackInputs":
-        """Built-in models: the scorer trained on the labelled samples, the fill model on a corpus of texts, which
-        waits until candidates are wanted."""
-        scorer = LinearScorer.train(with_tokens(samples), block_size, smoothing)
-        return cls(samples, scorer, lambda: FillModel.train(with_tokens(fill_corpus), top_k, lang), lang)
+        """Built-in models: the scorer trained on ``train`` (else on the samples themselves), the fill model on a corpus of
+        texts, which waits until candidates are wanted."""
+        train = samples if train is None else train
+        scorer = LinearScorer.train(with_tokens(train, lang=lang), block_size, smoothing)
+        return cls(samples, scorer, lambda: FillModel.train(with_tokens(fill_corpus, lang=lang), top_k, lang), lang, names_mode)
 
     @cached_property
     def fills(self) -> FillModel:
@@ -103,7 +108,7 @@ class AttackInputs:
 
     @cached_property
     def lexed(self) -> DataFrame:
-        return with_tokens(self.samples).select("sample_id", "label", "tokens")
+        return with_tokens(self.samples, lang=self.lang).select("sample_id", "label", "tokens")
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -126,7 +131,15 @@ class AttackInputs:
     @cached_property
     def names(self) -> DataFrame:
         """The renameable names of every sample, with the columns of ``terms``."""
-        return self.terms.where(is_valid_name(F.col("tok"), self.lang)).withColumnRenamed("tok", "name")
+        valid = self.terms.where(is_valid_name(F.col("tok"), self.lang)).withColumnRenamed("tok", "name")
+        return self.declared_only(valid)
+
+    def declared_only(self, names: DataFrame) -> DataFrame:
+        """In the mode ``declared`` only names that a declaration introduces."""
+        if self.names_mode == "all":
+            return names
+        declared = self.lexed.select("sample_id", F.explode(identifiers(F.col("tokens"), self.lang, self.names_mode)).alias("name"))
+        return names.join(declared, ["sample_id", "name"], "left_semi")
 
     @cached_property
     def attackable(self) -> DataFrame:
@@ -138,9 +151,11 @@ class AttackInputs:
         key = (top_k, *sorted(limits.items()))
         if key not in self._spaces:
             model = self.fills if top_k is None else self.fills.resized(top_k, self.lang)
-            found = search_space(
-                self.attackable, self.names.select("sample_id", "name"), model, self.lang, self.block, **limits
-            )
+            words = self.lexed.select("sample_id", F.explode(identifiers(F.col("tokens"), self.lang)).alias("name"))
+            own = self.names.select("sample_id", "name") if self.names_mode == "all" else words
+            found = search_space(self.attackable, own, model, self.lang, self.block, **limits)
+            if self.names_mode != "all":
+                found = found.join(self.names.select("sample_id", "name"), ["sample_id", "name"], "left_semi")
             self._spaces[key] = stage(self.prepare_space(found), "space")
         return self._spaces[key]
 

@@ -60,12 +60,10 @@ class ModelInputs(AttackInputs):
     @cached_property
     def names(self) -> DataFrame:
         rows = token_rows(self.lexed, "label").where(is_valid_name(F.col("tok"), self.lang))
-        return stage(
-            rows.groupBy("sample_id", "label", F.col("tok").alias("name")).agg(
-                F.min("pos").cast("long").alias("first_pos"), F.count("*").alias("n_occ")
-            ),
-            "names",
+        found = rows.groupBy("sample_id", "label", F.col("tok").alias("name")).agg(
+            F.min("pos").cast("long").alias("first_pos"), F.count("*").alias("n_occ")
         )
+        return stage(self.declared_only(found), "names")
 
     def prepare_space(self, found: DataFrame) -> DataFrame:
         return found

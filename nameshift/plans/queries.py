@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nameshift.functions import lexing, renaming
-from nameshift.functions.names import filter_valid_names, identifiers, is_uid, is_valid_name
+from nameshift.functions.names import filter_valid_names, identifiers, is_uid, is_valid_name, stripped
 from nameshift.functions.reserved import reserved_table
 from nameshift.functions.similarity import cosine
 from nameshift.operators import candidates as cand_ops
@@ -22,7 +22,7 @@ from nameshift.plans.genetic import GeneticAttack, draw_steps, initial_members,
 from nameshift.plans.greedy import FoolerAttack, GreedyAttack, MaskGreedyAttack, with_spent
 from nameshift.plans.inputs import AttackInputs, gate, outcome_note
 from nameshift.plans.mhm import MhmAttack
-from nameshift.session import read_spread, stage
+from nameshift.session import stage
 from nameshift.sources.corpus import all_documents, assign_split, binary_label, check_language, harmonise, labelled_documents
 from nameshift.sources.results import run_params
 
@@ -54,8 +54,10 @@ def lexed_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    turns = read_spread(spark, f"{folder}/conversations.parquet", "conv_id")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("text").alias("code"))
+    """A sample for each turn; conversation and turn, joined by a colon, are its key."""
+    return spark.read.parquet(f"{folder}/conversations.parquet").select(
+        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), "conv_id", "turn", F.col("text").alias("code")
+    )
 
 
 def lexed_conversations(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +69,7 @@ def named_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_spread(spark, f"{folder}/pages.parquet", "page_id").select(
+    return spark.read.parquet(f"{folder}/pages.parquet").select(
         F.col("page_id").alias("sample_id"), F.col("html").alias("code")
     )
 
@@ -166,7 +168,7 @@ def valid_names(spark, folder):
 
 def valid_candidates(spark, folder):
     words = _spoken_words(spark, folder).select(F.concat(F.lit(" "), "name").alias("cand")).distinct()
-    return words.where(is_valid_name(F.trim("cand"), "java")).select(F.trim("cand").alias("cand"))
+    return words.select(stripped(F.col("cand")).alias("cand")).where(is_valid_name(F.col("cand"), "java")).distinct()
 
 
 def uid_filter(spark, folder):
@@ -338,9 +340,8 @@ def positions(spark, folder):
 
 def uid_positions(spark, folder):
     lexed = lexed_documents(spark, folder)
-    long_names = F.filter(identifiers(F.col("tokens"), LANG), lambda n: F.length(n) > 3)
-    name_map = F.map_from_entries(F.transform("long", lambda n: F.struct(n, n)))
-    space = lexed.select("sample_id", long_names.alias("long")).select("sample_id", name_map.alias("name_map"))
+    name_map = F.map_from_entries(F.transform("names", lambda n: F.struct(n, n)))
+    space = lexed.select("sample_id", identifiers(F.col("tokens"), LANG).alias("names")).select("sample_id", name_map.alias("name_map"))
     rows = token_ops.uid_positions(token_ops.token_rows(lexed), space)
     return rows.groupBy("sample_id").agg(
         F.count("*").alias("n_positions"), F.countDistinct("name").alias("n_names"), F.sum("pos").alias("pos_sum")
@@ -348,8 +349,10 @@ def uid_positions(spark, folder):
 
 
 def space_in_text(spark, folder):
-    lexed = lexed_conversations(spark, folder)
-    next_turn = _names_of(lexed).withColumn("sample_id", F.col("sample_id") - 1)
+    """Names of a turn that the turn before it in the same conversation contains."""
+    lexed = token_ops.with_tokens(conversations(spark, folder))
+    names = lexed.select("conv_id", "turn", F.explode(identifiers(F.col("tokens"), LANG)).alias("name"))
+    next_turn = names.select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("sample_id"), "name")
     kept = token_ops.space_in_text(next_turn, token_ops.token_rows(lexed))
     return kept.groupBy("sample_id").agg(F.count("*").alias("n_names"), F.md5(F.array_join(F.sort_array(F.collect_list("name")), " ")).alias("digest"))
 
@@ -405,7 +408,7 @@ def train_weights(spark, folder):
 
 
 def score_variants(spark, folder):
-    items = read_spread(spark, f"{folder}/benchmark.parquet", "item_id").select(F.col("item_id").alias("sample_id"), F.col("text").alias("code"))
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("sample_id"), F.col("text").alias("code"))
     lexed = token_ops.with_tokens(items).select("sample_id", "tokens").withColumn("names", identifiers(F.col("tokens"), LANG))
     rows = variants.mask_each(variants.occurrences(lexed)).withColumnRenamed("variant", "tokens")
     scored = score_distinct(rows, prepared(spark, folder).scorer)

@@ -53,12 +53,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read parquet; if its files give fewer splits than there are cores, deal the rows out by ``key``.
-
-    A large corpus has far more splits than cores and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

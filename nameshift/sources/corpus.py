@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from nameshift.functions.draws import uniform
 from nameshift.functions.reserved import LANGUAGES
-from nameshift.session import read_spread
 
 ALIASES = {"func": "code", "target": "label"}
 
@@ -42,7 +41,7 @@ def check_language(df: DataFrame, lang: str = "lang") -> DataFrame:
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The test tables as a corpus: text is the code, quality is the label."""
-    documents = read_spread(spark, f"{folder}/documents.parquet", "doc_id").select("doc_id", "text")
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
     joined = documents.join(labels, "doc_id").select(
         F.col("doc_id").alias("sample_id"), F.col("text").alias("func"), F.col("quality").alias("target")
@@ -52,5 +51,5 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of the test tables, for models that need no label."""
-    documents = read_spread(spark, f"{folder}/documents.parquet", "doc_id")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     return documents.select(F.col("doc_id").alias("sample_id"), F.col("text").alias("code"))

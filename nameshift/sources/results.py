@@ -18,8 +18,9 @@ def run_params(
     attack: str,
     params: dict[str, object],
     start_time: datetime | None = None,
+    run_time_seconds: float | None = None,
 ) -> DataFrame:
-    """S3: one row that describes a run."""
+    """One row that describes a run; ``run_time_seconds`` is the wall time of its job."""
     entries = [x for key, value in params.items() for x in (F.lit(key), F.lit(str(value)))]
     return samples.agg(F.count("*").alias("test_size")).select(
         F.lit(test_set).alias("test_set"),
@@ -28,6 +29,7 @@ def run_params(
         F.lit(model).alias("model"),
         F.lit(block_size).cast("long").alias("block_size"),
         F.lit((start_time or datetime.now()).isoformat()).alias("start_time"),
+        F.lit(run_time_seconds).cast("double").alias("run_time_seconds"),
         F.lit(language).alias("language"),
         F.lit(attack).alias("attack"),
         (F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")).alias("params"),

@@ -177,3 +177,16 @@ def test_rename_back_restores_tokens(spark):
     there = renaming.rename_one(F.col("tokens"), F.lit("a"), F.lit("fresh"))
     back = renaming.rename_one(there, F.lit("fresh"), F.lit("a"))
     assert lexed.where(back != F.col("tokens")).count() == 0
+
+
+def test_python_tokens(value):
+    text = 'x = total // count  # scale by ratio\ny = """a\nb # c""" ** z'
+    assert value(lexing.tokenize(F.col("t"), "python"), t=text) == ["x", "=", "total", "//", "count", "y", "=", '"""a\nb # c"""', "**", "z"]
+    same = F.create_map(F.lit("count"), F.lit("n"), F.lit("ratio"), F.lit("r"))
+    assert value(renaming.rename_text(F.col("t"), same, "python"), t=text) == text.replace("// count", "// n")
+
+
+def test_names_end_where_the_text_ends(value):
+    for bad in ("abc\n", "abc\r", "a\nb"):
+        assert not value(is_valid_name(F.col("t"), "c"), t=bad)
+    assert value(is_uid(F.col("t")), t="\tabc\n") and not value(is_uid(F.col("t")), t="a\nb")

@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from nameshift.oracles import ORACLES
 from nameshift.plans import queries as q
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from nameshift.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,7 @@ def canon(rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
