@@ -75,11 +75,12 @@ def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, lang:
     return lists
 
 
-def merge_sides(after: Column, before: Column, before_scores: Column, both: Column, k: int) -> Column:
-    """C1 in one row: fills of a gap, best first. A token found on both sides adds its two scores.
+def merge_sides(after: Column, before: Column, before_scores: Column, both: Column, extra: Column, k: int) -> Column:
+    """C1 in one row: fills of a gap, best first. The scores of both sides add up.
 
-    ``both``, the few shared tokens, and the score maps must be plain columns: a lambda would rebuild an
-    expression for every element.
+    A token of both lists finds its other score in ``before_scores``, a token of one list in ``extra``: the scores of
+    counted pairs that are too rare for the other list. ``both``, the few shared tokens, and the maps must be plain
+    columns: a lambda would rebuild an expression for every element.
     """
 
     def ranked(x: Column, score: Column) -> Column:
@@ -88,12 +89,14 @@ def merge_sides(after: Column, before: Column, before_scores: Column, both: Colu
     def shared(x: Column) -> Column:
         return F.array_contains(both, x["tok"])
 
+    def more(x: Column) -> Column:
+        return F.coalesce(F.try_element_at(extra, x["tok"]), F.lit(0))
+
     def added(x: Column) -> Column:
-        other = F.try_element_at(before_scores, x["tok"])
-        return x["score"] + F.when(shared(x), other).otherwise(F.lit(0))
+        return x["score"] + F.when(shared(x), F.try_element_at(before_scores, x["tok"])).otherwise(more(x))
 
     from_after = F.transform(after, lambda x: ranked(x, added(x)))
-    only_before = F.transform(F.filter(before, lambda y: ~shared(y)), lambda y: ranked(y, y["score"]))
+    only_before = F.transform(F.filter(before, lambda y: ~shared(y)), lambda y: ranked(y, y["score"] + more(y)))
     return F.slice(F.sort_array(F.concat(from_after, only_before)), 1, k)
 
 
@@ -186,29 +189,49 @@ class FillModel:
 
     @classmethod
     def _with_lists(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str) -> "FillModel":
-        side = (top_k + 1) // 2
-        after = stage(top_neighbours(pairs, words, side, "after", lang), "after")
-        before = stage(top_neighbours(pairs, words, side, "before", lang), "before")
+        after = stage(top_neighbours(pairs, words, top_k, "after", lang), "after")
+        before = stage(top_neighbours(pairs, words, top_k, "before", lang), "before")
         return cls(pairs, words, after, before, top_k)
 
     def resized(self, top_k: int, lang: str = "c") -> "FillModel":
         """The same counts with another number of fills per gap."""
         return self if top_k == self.top_k else self._with_lists(self.pairs, self.words, top_k, lang)
 
+    def missing_scores(self, gaps: DataFrame) -> DataFrame:
+        """``(prev, next, extra map<tok, score>)``: for fills in one list only, the score of their pair on the other side.
+
+        An equi join of the distinct pairs (fill, next) and (prev, fill) with all counted pairs; most were never seen.
+        """
+        ends = gaps.select("prev", "next").distinct()
+        after = self.after.select(F.col("key").alias("prev"), F.col("after.tok").alias("at"), F.col("n").alias("_n"))
+        before = self.before.select(F.col("key").alias("next"), F.col("before.tok").alias("bt"), F.col("n").alias("_n"))
+        none = F.array().cast("array<string>")
+        lists = skew_join(skew_join(ends, after, ["prev"], "_n", ["next"]), before, ["next"], "_n", ["prev"])
+        lists = lists.select("prev", "next", F.coalesce("at", none).alias("at"), F.coalesce("bt", none).alias("bt"))
+        counted = self.pairs
+        behind = lists.select("prev", "next", F.explode(F.array_except("at", "bt")).alias("tok")).join(counted.withColumnsRenamed({"a": "tok", "b": "next"}), ["tok", "next"])
+        ahead = lists.select("prev", "next", F.explode(F.array_except("bt", "at")).alias("tok")).join(counted.withColumnsRenamed({"a": "prev", "b": "tok"}), ["prev", "tok"])
+        found = behind.select("prev", "next", "tok", "c").unionByName(ahead.select("prev", "next", "tok", "c"))
+        score = F.round(F.log1p(F.col("c").cast("double")) * float(MICRO)).cast("long")
+        return found.groupBy("prev", "next").agg(F.map_from_entries(F.collect_list(F.struct(F.col("tok"), score.alias("score")))).alias("extra"))
+
     def fills(self, gaps: DataFrame) -> DataFrame:
-        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``."""
+        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``: the best ``top_k`` of the
+        ``top_k`` most frequent tokens on either side."""
         spread = [c for c in gaps.columns if c in ("name", "prev", "next", "sample_id")]
         out = skew_join(gaps, self.after.withColumnRenamed("key", "prev").withColumnRenamed("n", "_n"), ["prev"], "_n", spread)
         out = skew_join(out, self.before.withColumnRenamed("key", "next").withColumnRenamed("n", "_n"), ["next"], "_n", spread)
         none = F.array().cast("array<struct<tok:string,score:bigint,sig:bigint,ok:boolean>>")
         no_map = F.create_map().cast("map<string,bigint>")
+        out = out.join(self.missing_scores(gaps), ["prev", "next"], "left")
         out = out.select(
             *gaps.columns,
+            F.coalesce("extra", no_map).alias("extra"),
             F.coalesce("after", none).alias("after"),
             F.coalesce("before", none).alias("before"),
             F.coalesce("before_scores", no_map).alias("before_scores"),
         ).withColumn("both", F.array_intersect(F.col("after.tok"), F.col("before.tok")))
-        merged = merge_sides(*[F.col(c) for c in ("after", "before", "before_scores", "both")], self.top_k)
+        merged = merge_sides(*[F.col(c) for c in ("after", "before", "before_scores", "both", "extra")], self.top_k)
         return out.select(*gaps.columns, merged.alias("fills"))
 
     def similar_fills(self, gaps: DataFrame) -> DataFrame:

@@ -111,8 +111,8 @@ CTES: dict[str, str] = {
     "neighbours": f"""SELECT *, {hash32('u')} AS h FROM (SELECT a AS tok, 'R' || b AS u, c, c AS k FROM bigrams
         UNION ALL SELECT b, 'L' || a, c, 0 FROM bigrams) WHERE tok <> ''""",
     "words": f"SELECT tok, sum(k)::BIGINT AS n, ({_votes})::BIGINT AS sig FROM neighbours GROUP BY tok",
-    "after_top": f"SELECT * FROM (SELECT a AS key, b AS tok, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM bigrams WHERE b <> '') WHERE r <= {WIDE_K // 2}",
-    "before_top": f"SELECT * FROM (SELECT b AS key, a AS tok, c, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS r FROM bigrams WHERE a <> '') WHERE r <= {WIDE_K // 2}",
+    "after_top": f"SELECT * FROM (SELECT a AS key, b AS tok, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM bigrams WHERE b <> '') WHERE r <= {WIDE_K}",
+    "before_top": f"SELECT * FROM (SELECT b AS key, a AS tok, c, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS r FROM bigrams WHERE a <> '') WHERE r <= {WIDE_K}",
     # gaps of gated samples and of conversations
     "gaps": f"""SELECT DISTINCT sample_id, tok AS name, prev, next FROM (
         SELECT sample_id, label, tok, pos, coalesce(lag(tok) OVER w, '') AS prev, coalesce(lead(tok) OVER w, '') AS next
@@ -136,11 +136,11 @@ def _fills(gaps: str, out: str, top_k: int = TOP_K) -> dict[str, str]:
     return {
         f"{out}_distinct": f"SELECT name, prev, next, count(*) AS n FROM {gaps} GROUP BY name, prev, next",
         f"{out}_fills": f"""SELECT *, row_number() OVER (PARTITION BY name, prev, next ORDER BY score DESC, cand) - 1 AS idx FROM (
-            SELECT name, prev, next, cand, sum(s) AS score FROM (
-              SELECT d.name, d.prev, d.next, t.tok AS cand, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT AS s FROM {out}_distinct d JOIN after_top t ON d.prev = t.key AND t.r <= {top_k // 2}
-              UNION ALL
-              SELECT d.name, d.prev, d.next, t.tok, round(ln(1 + t.c::DOUBLE) * 1000000)::BIGINT FROM {out}_distinct d JOIN before_top t ON d.next = t.key AND t.r <= {top_k // 2})
-            GROUP BY name, prev, next, cand)""",
+            SELECT f.name, f.prev, f.next, f.cand, (round(ln(1 + coalesce(x.c, 0)::DOUBLE) * 1000000)::BIGINT + round(ln(1 + coalesce(y.c, 0)::DOUBLE) * 1000000)::BIGINT) AS score FROM (
+              SELECT d.name, d.prev, d.next, t.tok AS cand FROM {out}_distinct d JOIN after_top t ON d.prev = t.key AND t.r <= {top_k}
+              UNION
+              SELECT d.name, d.prev, d.next, t.tok FROM {out}_distinct d JOIN before_top t ON d.next = t.key AND t.r <= {top_k}) f
+            LEFT JOIN bigrams x ON x.a = f.prev AND x.b = f.cand LEFT JOIN bigrams y ON y.a = f.cand AND y.b = f.next )""",
         f"{out}_similar": f"""SELECT *, row_number() OVER (PARTITION BY name, prev, next ORDER BY dist, idx) AS place,
             count(*) OVER (PARTITION BY name, prev, next) AS n_fills FROM (
               SELECT f.*, bit_count(xor(coalesce(x.sig, 0), y.sig)) AS dist FROM {out}_fills f
