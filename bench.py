@@ -11,6 +11,7 @@ import os
 import time
 
 from nameshift import build_session
+from nameshift.session import drop_stages
 from nameshift.plans.queries import QUERIES, prepared
 
 HEADLINE = [
@@ -44,6 +45,7 @@ def main() -> None:
         seconds[name] = timed(lambda: (df.append(QUERIES[name](spark, folder)), df[0].write.format("noop").mode("overwrite").save()))
     occurrences = QUERIES["query_count"](spark, folder).selectExpr("sum(query_count)").first()[0]
     candidates = prepared(spark, folder).space().count()
+    drop_stages(spark)
     spark.stop()
     print(
         json.dumps(

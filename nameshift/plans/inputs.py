@@ -210,6 +210,14 @@ class AttackInputs:
         )
         return ranked(rows)
 
+    def plain_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
+        """Search rows for strategies that score no more than their budget; weights are at hand, so all are scored."""
+        return self.search_rows(space, importance)
+
+    def scored_rows(self, rows: DataFrame) -> DataFrame:
+        """``plain_rows`` that are left after the budget, with ``delta``, ``flips_alone`` and ``prob``."""
+        return rows
+
     def evaluate(self, rows: DataFrame) -> DataFrame:
         """Outcome of a whole assignment ``genes map<bigint, struct<name, cand, delta>>``: ``change, flipped, prob``.
 

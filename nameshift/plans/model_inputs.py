@@ -29,7 +29,7 @@ def units(prob: Column) -> Column:
 class ModelInputs(AttackInputs):
     """Same tables as :class:`AttackInputs` for a pluggable scorer; ``margin`` holds the label's probability in units.
 
-    The model is called once per distinct text of a bulk, never per candidate.
+    The model is called once per distinct text of a bulk, and a bulk holds what the budget lets a strategy try.
     """
 
     block_size: int = BLOCK_SIZE
@@ -93,11 +93,17 @@ class ModelInputs(AttackInputs):
         scores = self.occurrence_scores(importance).groupBy("sample_id", "name")
         return names.join(scores.agg(F.round(F.sum("score"), 9).alias("importance")), ["sample_id", "name"])
 
+    def plain_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
+        """Ranked candidates without a score: only the names' importance has asked the model."""
+        rows = ranked(space.join(self.name_rows(importance), ["sample_id", "name"]))
+        return stage(rows.withColumn("delta", F.lit(0).cast("long")), "plain-rows")
+
+    def scored_rows(self, rows: DataFrame) -> DataFrame:
+        scored = self._score_renamed(rows.drop("delta"), F.create_map("name", "cand"))
+        return stage(scored.withColumnsRenamed({"change": "delta", "flipped": "flips_alone"}), "scored-rows")
+
     def search_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
-        rows = space.join(self.name_rows(importance), ["sample_id", "name"])
-        single = F.create_map("name", "cand")
-        scored = self._score_renamed(rows, single)
-        return ranked(scored.withColumnsRenamed({"change": "delta", "flipped": "flips_alone"}))
+        return self.scored_rows(self.plain_rows(space, importance))
 
     def evaluate(self, rows: DataFrame) -> DataFrame:
         return self._score_renamed(rows, genetic.mapping(F.col("genes")))

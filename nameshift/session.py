@@ -42,6 +42,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the staged tables of this application, at the end of a run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/nameshift/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
