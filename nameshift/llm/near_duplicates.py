@@ -4,10 +4,14 @@ Method: two collections of ``SUBKEYS`` hashes of ``WIDTH`` MinHash values each.
 either collection, so SUBKEYS**2 tables cost 2 * SUBKEYS * WIDTH MinHash values. Two documents can only share a
 combined key if they share both parts: keys are combined only from parts that another document has too.
 
-Texts with equal shingle sets form one class, and only its smallest document goes on. In every bucket of a shared
-key, members are first compared with one centre; linked members form components, and then only members of different
-components are compared. Candidates are confirmed on the whole sets. A pair at the threshold 0.85 is missed with
-probability 2 * (1 - 0.85**3)**16, that is 5e-7 (2e-5 at 0.8), and by the size and sketch filters with 3e-7.
+Texts with equal shingle sets form one class, and only its smallest document goes on. Shingles that no other member of
+any bucket has bound a member's similarity to all others: s shared and u own shingles allow at most s / (s + u). In every
+bucket of a shared key, members are compared with the one that has the smallest share of own shingles (in a group of edited
+copies, what they were copied from), and linked members form components. What is left are the members of buckets that hold
+several components. Of these, pairs from different components are compared that share one of their rarest shingles at a place
+that still allows a link (prefix and position filter): this finds all links among them without going through a group's pairs.
+Candidates are confirmed on the whole sets. A pair at the threshold 0.85 shares no bucket with probability
+2 * (1 - 0.85**3)**16, that is 5e-7 (2e-5 at 0.8), and differs too much in its sketch with probability 3e-7.
 
 Shingles are compared by 64-bit hashes of all their words.
 
@@ -23,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from nameshift.llm.buffers import hash_spans, lower_ascii, mix, words
@@ -35,8 +39,6 @@ SUBKEYS, WIDTH = 16, 3
 SKETCH_BITS = 128
 #: Standard deviations below the expected agreement of sketches at the threshold that still go to the full check.
 SKETCH_SIGMAS = 5.0
-#: Rounds in which a bucket's members are compared with one centre.
-STAR_ROUNDS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MINHASHES = max(2 * SUBKEYS * WIDTH, SKETCH_BITS)
@@ -92,6 +94,10 @@ def sketch_bits(low: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, a 128-bit ``digest`` of the set, the ``parts`` of its table keys, and its sketch."""
 
@@ -103,7 +109,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             bits = np.array([sketch_bits(x) for x in lows]).reshape(-1, SKETCH_BITS // 64)
             return [
                 longs(np.array([len(s) for s in sets])),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([set_digest(s) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * 2 * SUBKEYS, pa.array(parts)),
                 longs(bits[:, 0]),
                 longs(bits[:, 1]),
@@ -116,17 +122,18 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id`` and ``shingles``, its set."""
+    """``doc_id``, ``digest`` and ``shingles``, its set."""
 
     def make():
         def function(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
             sets = shingle_hashes(data, offs, size)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))]
+            digests = [set_digest(x) for x in sets]
+            return [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))]
 
         return function
 
-    return map_text(docs, "text", make, [StructField("shingles", ArrayType(LongType()))], ["doc_id"])
+    return map_text(docs, "text", make, [StructField("digest", BinaryType()), StructField("shingles", ArrayType(LongType()))], ["doc_id"])
 
 
 def shared(rows: DataFrame, *by: str) -> DataFrame:
@@ -143,12 +150,57 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return shared(own.select("node", F.explode(combined).alias("bucket")), "bucket")
 
 
-def similar(left: DataFrame, right: DataFrame, percent: int) -> list:
-    """Conditions on sizes (exact) and on sketches (for all but 3e-7 of the pairs at the threshold)."""
+def similar(x: str, y: str, percent: int) -> Column:
+    """What a linked pair meets: exact bounds from sizes and own shingles, and a sketch (all but 3e-7 of such pairs)."""
+    c = lambda side, name: F.col(f"{side}.{name}")
     p = (1 + percent / 100) / 2
     least = int(SKETCH_BITS * p - SKETCH_SIGMAS * (SKETCH_BITS * p * (1 - p)) ** 0.5)
-    differ = sum((F.bit_count(left[s].bitwiseXOR(right[s])) for s in ("s0", "s1")), F.lit(0))
-    return [100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"]), differ <= SKETCH_BITS - least]
+    differ = F.bit_count(c(x, "s0").bitwiseXOR(c(y, "s0"))) + F.bit_count(c(x, "s1").bitwiseXOR(c(y, "s1")))
+    common = [c(side, "n") - c(side, "own") for side in (x, y)]
+    sizes = 100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))
+    owns = 100 * F.least(*common) >= percent * (c(x, "own") + c(y, "own") + F.greatest(*common))
+    return sizes & owns & (differ <= SKETCH_BITS - least)
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``node`` and ``own``, how many of its shingles no other node has; nodes without any are left out."""
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("node")).where("c = 1")
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's members with its centre, the member with the smallest share of own shingles."""
+    columns = ("node", "n", "own", "s0", "s1")
+    order = F.floor(1000 * F.col("own") / F.col("n")).alias("o")
+    centre = members.select("bucket", order, *columns).groupBy("bucket").agg(F.min(F.struct("o", *columns)).alias("c")).select("bucket", *[f"c.{x}" for x in columns])
+    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & similar("x", "y", percent)
+    return centre.alias("x").join(members.alias("y"), meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` from different components that may be linked.
+
+    A node's shingles are ordered by how many nodes have them. Of n shingles, n - ceil(t * n) + 1 stand in its prefix: linked
+    nodes share one there. The first shared one leaves room for all the others behind it on either side, or there is no link.
+    Shingles that only one node has come first and are not sent.
+    """
+    each = sets.select(F.col("doc_id").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    common = shared_counts(each)
+    ordered = each.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("rest"))
+    n, alone = F.col("n"), F.col("n") - F.size("rest")
+    length = n - F.floor((percent * n + 99) / 100) + 1 - alone
+    first = ordered.join(nodes, "node").withColumn("alone", alone).withColumn("length", F.greatest(length, F.lit(0)).cast("int"))
+    rows = first.where("length > 0").select("node", "n", "s0", "s1", "component", "alone", F.posexplode(F.slice("rest", F.lit(1), F.col("length"))).alias("at", "x"))
+    rows = rows.select("node", "n", "component", "s0", "s1", F.lit(0).alias("own"), F.col("x.shingle").alias("shingle"), (n - F.col("alone") - F.col("at")).alias("room"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    room = (100 + percent) * F.least(c("x", "room"), c("y", "room")) >= percent * (c("x", "n") + c("y", "n"))
+    meet = (c("x", "shingle") == c("y", "shingle")) & (c("x", "node") < c("y", "node")) & (c("x", "component") != c("y", "component")) & room & similar("x", "y", percent)
+    return rows.alias("x").join(rows.alias("y"), meet).select(c("x", "node").alias("a"), c("y", "node").alias("b")).distinct()
+
+
+def shared_counts(each: DataFrame) -> DataFrame:
+    return each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,35 +222,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     filled = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("parts", "s0", "s1")])
     classes = stage(classes, "classes")
-    members = table_keys(classes).join(classes.select("node", "n", "s0", "s1"), "node")
-    members = stage(members, "members")
-    sets = stage(shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
-    links = None
-    labels = members.select("node", F.col("node").alias("component")).distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if turn else members.withColumn("component", F.col("node"))
-        if turn:
-            mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            now = stage(now.join(mixed.select("bucket"), "bucket"), "mixed")
-            if now.isEmpty():
-                break
-        x, y = now.alias("x"), now.alias("y")
-        if turn < STAR_ROUNDS:
-            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            centre = now.withColumn("o", order).groupBy("bucket").agg(F.min(F.struct("o", "node", "n", "s0", "s1", "component")).alias("c")).select("bucket", "c.*").drop("o")
-            x = centre.alias("x")
-            meet = F.col("x.node") != F.col("y.node")
-        else:
-            meet = F.col("x.node") < F.col("y.node")
-        at = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "s0", "s1")}
-        conditions = [F.col("x.bucket") == F.col("y.bucket"), meet, F.col("x.component") != F.col("y.component"), *similar(at("x"), at("y"), percent)]
-        every = conditions[0]
-        for c in conditions[1:]:
-            every = every & c
-        pairs = x.join(y, every).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = stage(confirm(pairs, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = stage(connected_components(links), "labels")
+    keys = stage(table_keys(classes), "keys")
+    wanted = classes.join(keys.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "digest")
+    sets = shingle_sets(docs.join(keys.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), size)
+    if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():  # a key has several rows: one of the class's own
+        sets = stage(sets, "raw-sets").join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    sets = stage(sets.drop("digest"), "sets")
+    nodes = classes.select("node", "n", "s0", "s1").join(own_shingles(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = nodes.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    members = stage(shared(keys.join(able, "node"), "bucket"), "members")
+    found = stage(confirm(star_pairs(members, percent), sets, percent), "star-links")
+    labels = stage(connected_components(found), "labels")
+    now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    left = stage(now.join(mixed, "bucket").drop("bucket", "own").distinct(), "mixed")
+    more = stage(confirm(prefix_pairs(left, sets, percent), sets, percent), "prefix-links")
+    labels = stage(connected_components(found.unionByName(more)), "labels")
     named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     result = filled.select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     alone = all_rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
