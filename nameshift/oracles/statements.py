@@ -9,6 +9,7 @@ from nameshift.oracles.tables import (
     COMMENT,
     CTES,
     LINE_STRING,
+    NUMBER,
     PIECE,
     SEGMENT,
     TOKEN,
@@ -118,9 +119,18 @@ _c_clean = no_blank_lines(
     f"array_to_string(list_transform(regexp_extract_all({_c_text}, {q(C_SEGMENT)}), lambda s: CASE WHEN s LIKE '//%' OR s LIKE '/*%' THEN ' ' ELSE s END), '')"
 )
 _py_text = "'\"\"\"' || source || chr(10) || '\"\"\"' || chr(10) || text || ' # ' || lang || chr(10) || 's = \"a # b\"' || chr(10) || '  ''doc ' || lang || '''' || chr(10) || chr(10) || 'x = ''''''y'''''''"
-_py_clean = no_blank_lines(
-    f"array_to_string(list_transform(regexp_extract_all(chr(10) || {_py_text}, {q(PY_SEGMENT)}), lambda s: CASE WHEN s LIKE '#%' THEN '' WHEN regexp_matches(s, {q(chr(92) + 'A' + chr(92) + 'n[ ' + chr(92) + 't]*[' + chr(34) + chr(39) + ']')}) THEN chr(10) ELSE s END), '')"
-)
+
+
+def py_clean(text: str) -> str:
+    return no_blank_lines(
+        f"array_to_string(list_transform(regexp_extract_all(chr(10) || {text}, {q(PY_SEGMENT)}), lambda s: CASE WHEN s LIKE '#%' THEN '' WHEN regexp_matches(s, {q(chr(92) + 'A' + chr(92) + 'n[ ' + chr(92) + 't]*[' + chr(34) + chr(39) + ']')}) THEN chr(10) ELSE s END), '')"
+    )
+
+
+_py_clean = py_clean(_py_text)
+_py_dressed = "('\"\"\"' || source || chr(10) || 'text' || chr(10) || '\"\"\"' || chr(10) || 'x = total // ' || lang || '  # ratio of ' || lang || chr(10) || text || chr(10) || 'y **= 2 # end')"
+PY_OPERATOR = r"\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|->|:=|<<|>>|<=|>=|==|!=|[-+*/%&|^@]="
+PY_TOKEN = f"#[^\\n]*|{TRIPLE}|{LINE_STRING}|{WORD}|{NUMBER}|{PY_OPERATOR}|[^{BLANK}]"
 
 STATEMENTS = {
     "src_test_split": f"SELECT sample_id, CASE WHEN {draw('sample_id', q('split'))}::DOUBLE / 4294967296::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split, label FROM samples",
@@ -154,6 +164,8 @@ STATEMENTS = {
     "line_tokens": r"""SELECT sample_id, len(ls) AS n_lines, md5(array_to_string(ls, '|')) AS digest FROM (
         SELECT sample_id, list_transform(list_filter(string_split(code, chr(10)), lambda x: x <> ''), lambda x: x || '\n') AS ls FROM conv_lexed)""",
     "tokens": f"SELECT sample_id, len(tokens) AS n_tokens, {digest('tokens')} AS digest FROM doc_lexed",
+    "tokens_python": f"""SELECT sample_id, len(t) AS n_tokens, {digest('t')} AS digest FROM (
+        SELECT doc_id AS sample_id, list_filter(regexp_extract_all({py_clean(_py_dressed)}, {q(PY_TOKEN)}), lambda t: NOT (t LIKE '#%')) AS t FROM documents)""",
     "span_text": """SELECT sample_id, CASE WHEN last = 0 THEN substring(ls[1], 4, 4)
         ELSE substring(ls[1], 4) || CASE WHEN last > 1 THEN ls[2] ELSE '' END || substring(ls[least(2, last) + 1], 1, 7) END AS span
         FROM (SELECT sample_id, string_split(code, chr(10)) AS ls, len(string_split(code, chr(10))) - 1 AS last FROM doc_lexed)""",

@@ -219,6 +219,14 @@ def tokens(spark, folder):
     return lexed_documents(spark, folder).select("sample_id", size("tokens").alias("n_tokens"), digest(F.col("tokens")).alias("digest"))
 
 
+def tokens_python(spark, folder):
+    """T2 + T6 by the rules of Python, on documents dressed up with a docstring, a ``//`` and ``#`` comments."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    code = F.concat(F.lit('"""'), "source", F.lit("\ntext\n\"\"\"\nx = total // "), "lang", F.lit("  # ratio of "), "lang", F.lit("\n"), "text", F.lit("\ny **= 2 # end"))
+    lexed = token_ops.with_tokens(docs.select(F.col("doc_id").alias("sample_id"), code.alias("code")), lang="python")
+    return lexed.select("sample_id", size("tokens").alias("n_tokens"), digest(F.col("tokens")).alias("digest"))
+
+
 def span_text(spark, folder):
     last = F.size(F.split("code", "\n")) - 1
     text = lexing.span_text(F.col("code"), F.lit(0), F.lit(3), F.least(F.lit(2), F.col("last")), F.lit(7))
@@ -727,6 +735,7 @@ QUERIES = {
     "unescape_newlines": unescape_newlines,
     "line_tokens": line_tokens,
     "tokens": tokens,
+    "tokens_python": tokens_python,
     "span_text": span_text,
     "subword_offsets": subword_offsets,
     "truncate": truncate,
