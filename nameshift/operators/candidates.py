@@ -367,7 +367,7 @@ def search_space(
     """
     gaps = contexts(lexed, lang, block_size)
     single = gaps.where(F.size(pieces(F.col("name"))) == 1)
-    distinct = single.groupBy(*GAP).agg(F.count("*").alias("n"))
+    distinct = stage(single.groupBy(*GAP).agg(F.count("*").alias("n")), "gaps")
     similar = F.col("similar")
     kept = keep_half(similar) if similarity_threshold is None else keep_threshold(similar, similarity_threshold, at_most)
     valid = F.filter(cut_scores(kept, score_cut), lambda s: s["ok"])
