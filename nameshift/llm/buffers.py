@@ -19,6 +19,8 @@ WORD_BREAK = np.zeros(256, bool)
 WORD_BREAK[[0x20, *range(0x09, 0x0E)]] = True
 #: Text is worked on in slices of about so many bytes; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: The strings over 16 bytes that an interner holds may take so many bytes.
+LONG_BYTES = 32 << 20
 
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -212,10 +214,11 @@ class Interner:
         self.w0, self.w1 = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
         self.size = np.zeros(1024, np.int32)
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
 
     @property
     def full(self) -> bool:
-        return self.count > self.limit
+        return self.count > self.limit or self.long_bytes > LONG_BYTES
 
     def _room(self, n: int) -> None:
         if (need := self.count + n) > len(self.w0):
@@ -281,6 +284,7 @@ class Interner:
                 piece = raw[s : s + k].tobytes()
                 if (i := self.long.get(piece)) is None:
                     i = self.long[piece] = self.count
+                    self.long_bytes += k
                     self._room(1)
                     self.size[i] = k if k <= np.iinfo(np.int32).max else np.iinfo(np.int32).max
                     self.count += 1

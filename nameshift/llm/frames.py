@@ -15,6 +15,20 @@ from nameshift.llm.buffers import slices
 SliceFunction = Callable[[np.ndarray, np.ndarray], Sequence[pa.Array]]
 
 
+#: Rows go to Python in batches of about so many bytes, a longer row alone: the JVM and Python each hold copies of a batch.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after holding the session's Arrow batches to ``BATCH_BYTES``; a smaller setting of the user stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m").strip().lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[now[-1]] if now[-1:] in "kmgt" else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def map_text(df: DataFrame, text: str, make: Callable[[], SliceFunction], fields: Sequence[StructField], keep: Sequence[str]) -> DataFrame:
     """The columns ``keep`` of every row, then ``fields`` as computed from its whole text.
 
@@ -33,7 +47,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], SliceFunction], fields
                 old = [batch.column(k).slice(i, j - i) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([*old, *function(data, offs)], names)
 
-    return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
+    return small_batches(source).mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
 def longs(values: np.ndarray) -> pa.Array:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from nameshift.llm.buffers import as_binary
-from nameshift.llm.frames import longs, map_text
+from nameshift.llm.frames import longs, map_text, small_batches
 from nameshift.llm.shared_files import Part, new_folder, read_stream
 from nameshift.session import stage
 
@@ -262,7 +262,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [out.uri], "records": [n], "bytes": [out.size]}, schema=schema)
 
-    files = joined.select("page_id", "url", "html", "refers").mapInArrow(run, "uri string, records long, bytes long")
+    files = small_batches(joined).select("page_id", "url", "html", "refers").mapInArrow(run, "uri string, records long, bytes long")
     return Archives(stage(files, "archives"))
 
 
@@ -325,3 +325,16 @@ def gaps(found: DataFrame) -> DataFrame:
 
 def archive_files(spark: SparkSession, uris: list[str]) -> DataFrame:
     return spark.createDataFrame([(u,) for u in uris], "uri string")
+
+
+#: The records of ``pages`` with ``least`` 0.
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     f AS (SELECT h, min(page_id) AS first FROM p WHERE page_id IS NOT NULL GROUP BY h),
+     x AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, first FROM p LEFT JOIN f USING (h))
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1) for i in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM x
+"""
