@@ -190,8 +190,23 @@ def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, the ``ids`` of every text, their digest, and the digest of what they decode to."""
+    """``doc_id``, ``n_tokens``, the ``ids`` of every text, their digest, and the digest of what they decode to.
+
+    One pass encodes a slice of rows and decodes its ids, so a task needs one Python worker.
+    """
+    path = path or rank_path()
+
+    def make():
+        own, table = codec(path), piece_table(path)
+
+        def function(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+            ids, by_row = table.ids(data, offs)
+            values, ends = own.decode(ids, by_row)
+            return [binaries(ids.astype("<u4"), by_row * 4), binaries(values, ends)]
+
+        return function
+
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    both = decode(encode(own, path=path), path=path)
+    both = map_text(own, "text", make, [StructField("ids", BinaryType()), StructField("decoded", BinaryType())], ["doc_id"])
     count = F.expr("CAST(octet_length(ids) / 4 AS BIGINT)")
     return both.select("doc_id", count.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
