@@ -260,3 +260,21 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     many = left.join(again, F.col(f"`{key}`") == again["__again"], "left_semi")
     row = F.named_struct(F.lit("t"), F.col(f"`{text}`"), F.lit("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     return once.unionByName(many.groupBy(F.col(f"`{key}`").alias("__again")).agg(F.min(row).alias("first")).select("first.row.*"))
+
+
+#: ``near_duplicates`` of ``documents`` with shingles of three words and 85 per cent.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                  ELSE [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] END) AS shingle FROM d),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+     l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+     m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id,
+       coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""

@@ -69,4 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op5_near_duplicates": near_duplicates.ORACLE,
+    "op10_warc": warc.ORACLE,
+}

@@ -1,5 +1,7 @@
 """The pipeline's stages one by one, and as a whole."""
 
+import duckdb
+import pytest
 from helpers import awkward
 
 import corpus_pipeline
@@ -44,3 +46,14 @@ def test_stages_on_an_empty_table(spark, folder):
 def test_ten_operators_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_their_sql(spark, folder, name):
+    df = queries.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    assert df.columns == want.columns
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.fetchall()))
