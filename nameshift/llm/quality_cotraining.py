@@ -28,8 +28,8 @@ from nameshift.llm.frames import map_text
 
 LABELLED, POOL, LEAST = 6000, 6000, 20
 ROUNDS, SURE, PER_ROUND = 4, 0.97, 500
-#: A document is kept from this combined probability on.
-KEPT_FROM = 0.5
+#: A document is kept from this combined probability on: losing a good one costs more than keeping a bad one.
+KEPT_FROM = 0.3
 LANG_BUCKETS, SOURCE_BUCKETS, LENGTH_BUCKETS = 16, 64, 32
 META = LANG_BUCKETS + SOURCE_BUCKETS + LENGTH_BUCKETS
 
