@@ -1,12 +1,13 @@
 """Token ids in binary files: frequency-ranked, byte-aligned variable-length coding with separate control bytes.
 
-Method: ids are replaced by their rank among all ids of the corpus (most frequent first, ties by id), so common ids take one
-byte. Lengths of one to four bytes stand in control bytes, four to a byte, apart from the data bytes. Decoding looks
-lengths up in a table of all 256 control bytes and gathers whole arrays with numpy.
+Method: in every block ids are replaced by their rank among the block's ids (most frequent first, ties by id), so common ids
+take one byte; the block holds the ids in order of rank. Lengths of one to four bytes stand in control bytes, four to a byte,
+apart from the data bytes. Decoding looks lengths up in a table of all 256 control bytes and gathers whole arrays with numpy.
 
-A set of files holds ``ranks`` and shards in ascending key order. A shard is a run of blocks of whole documents:
-``magic, documents, ids, data bytes; keys, key flags, counts; control bytes; data bytes; CRC-32``. Blocks are written and
-read one at a time, so memory is bounded by a slice of text, or by the longest document.
+A set of files is a number of shards in ascending key order. A shard is a run of blocks of whole documents:
+``magic, documents, ids, ranks, data bytes; keys, key flags, counts; ids by rank; control bytes; data bytes; CRC-32``.
+Blocks are written and read one at a time and need nothing else, so the text is encoded once, and memory is bounded by a
+slice of text, or by the longest document.
 
 Distinct pre-tokens are encoded once per task by the tokenizers library; special strings in a text become their ids, as
 its default has it. The end id follows every document.
@@ -18,6 +19,7 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,13 +33,14 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from nameshift.llm.buffers import slices
+from nameshift.llm.buffers import ragged_take, slices
+from nameshift.llm.frames import small_batches
 from nameshift.llm.pieces import PieceTable
 from nameshift.llm.shared_files import Part, new_folder, read_stream
 from nameshift.session import stage
 
 MAGIC = b"NSIDS1\r\n"
-HEAD = struct.Struct("<8sQQQ")
+HEAD = struct.Struct("<8sQQQQ")
 #: Lengths of the four values of each control byte, where each begins, and how many bytes all take.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 STARTS = np.cumsum(LENGTHS, axis=1) - LENGTHS
@@ -76,13 +79,40 @@ def expand(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def piece_table(path: str) -> PieceTable:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     tokenizer = tokenizers.Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        return np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got], np.int64)
+        """Words that the pattern cuts apart again go to the library as one text; its word numbers part their ids."""
+        values: list[np.ndarray] = []
+        counts = np.zeros(len(pieces), np.int64)
+        order: list[int] = []
+        texts = [p.decode() for p in pieces]
+        blank = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        bare = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = sorted(set(range(len(pieces))) - {*blank, *bare})
+        for group, between, step in ((blank, "", 1), (bare, "\n", 2)):
+            for k in range(0, len(group), 4096):
+                lot = group[k : k + 4096]
+                got = tokenizer.encode(between.join(texts[i] for i in lot), add_special_tokens=False)
+                words = np.array(got.word_ids, np.int64)
+                ids = np.array(got.ids, np.int32)
+                if words[-1] != step * (len(lot) - 1):  # the library cuts a word where this Python's letters don't
+                    rest += lot
+                    continue
+                own = words % step == 0
+                counts[lot] = np.bincount(words[own] // step, minlength=len(lot))
+                values.append(ids[own])
+                order += lot
+        for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            values.append(np.array(e.ids, np.int32))
+            counts[i] = len(e.ids)
+            order.append(i)
+        at = np.array(order)
+        ends = np.concatenate([[0], np.cumsum(counts[at])])
+        return ragged_take(np.concatenate(values), ends, np.argsort(at))[0], counts
 
     added = tokenizer.get_added_tokens_decoder().values()
     if any(t.single_word or t.lstrip or t.rstrip for t in added):
@@ -90,10 +120,6 @@ def piece_table(path: str) -> PieceTable:
     return PieceTable(encode, tuple(t.content.encode() for t in added))
 
 
-def vocabulary_size(path: str) -> int:
-    return tokenizers.Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
-
-
 def with_end(ids: np.ndarray, by_row: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every row's ids and the end id; how many each row has."""
     counts = np.diff(by_row) + 1
@@ -105,73 +131,50 @@ def with_end(ids: np.ndarray, by_row: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, counts
 
 
-def id_counts(docs: DataFrame, text: str, path: str, end_id: int, size: int) -> np.ndarray:
-    """How often each id occurs in all documents. Tasks send a row for each id at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for _, _, data, offs in slices(batch.column(0)):
-                total += np.bincount(with_end(*piece_table(path).ids(data, offs), end_id)[0], minlength=size)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
-
-    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:  # a row for each id of the vocabulary at most
-        out[r["id"]] = r["n"]
-    return out
-
-
-def block(keys: pa.Array, counts: np.ndarray, ranks: np.ndarray) -> bytes:
-    control, data = compress(ranks)
+def block(keys: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    times = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    seen = np.flatnonzero(times)
+    by_rank = seen[np.lexsort((seen, -times[seen]))]
+    rank_of = np.zeros(len(times), np.uint32)
+    rank_of[by_rank] = np.arange(len(by_rank))
+    control, data = compress(rank_of[ids])
     flags = np.array(keys.is_valid(), bool).astype(np.uint8)
-    whole = np.asarray(keys.fill_null(0)).astype("<i8")
-    body = HEAD.pack(MAGIC, len(counts), len(ranks), len(data)) + whole.tobytes() + flags.tobytes() + counts.astype("<i8").tobytes() + control.tobytes() + data.tobytes()
+    parts = [np.asarray(keys.fill_null(0)).astype("<i8"), flags, counts.astype("<i8"), by_rank.astype("<u4"), control, data]
+    body = HEAD.pack(MAGIC, len(counts), len(ids), len(by_rank), len(data)) + b"".join(x.tobytes() for x in parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def read_blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, key flags, counts and ranks of each block. A block that fails its checksum is an error."""
+    """Keys, key flags, counts and ids of each block. A block that fails its checksum is an error."""
     while head := stream.read(HEAD.size):
-        magic, n, n_ids, n_data = HEAD.unpack(head)
-        control = -(-n_ids // 4)
-        body = stream.read(17 * n + control + n_data)
+        magic, n, n_ids, n_ranks, n_data = HEAD.unpack(head)
+        lengths = [8 * n, n, 8 * n, 4 * n_ranks, -(-n_ids // 4), n_data]
+        body = stream.read(sum(lengths))
         if magic != MAGIC or struct.unpack("<I", stream.read(4))[0] != zlib.crc32(body, zlib.crc32(head)):
             raise ValueError("damaged block")
-        raw = np.frombuffer(body, np.uint8)
-        keys, flags, counts = raw[: 8 * n].view("<i8"), raw[8 * n : 9 * n], np.frombuffer(body[9 * n : 17 * n], "<i8")
-        yield keys, flags.astype(bool), counts, expand(raw[17 * n : 17 * n + control], raw[17 * n + control :], n_ids)
+        ends = np.cumsum(lengths)
+        keys, flags, counts, by_rank, control, data = (np.frombuffer(body[end - size : end], kind) for end, size, kind in zip(ends, lengths, ("<i8", "u1", "<i8", "<u4", "u1", "u1"), strict=True))
+        yield keys, flags.astype(bool), counts, by_rank[expand(control, data, n_ids)] if n_ids else by_rank
 
 
 @dataclass
 class IdFiles:
-    """``shards`` (shard, uri, n_docs, n_ids, first: ids of all shards before it) and the file with the ranks' ids."""
+    """``shards``: shard, uri, n_docs, n_ids, n_bytes, and ``first``, the ids of all shards before it."""
 
     shards: DataFrame
-    ranks: str
-    bytes_written: int
 
 
 def write_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 0, folder: str | None = None) -> IdFiles:
     """Writes all documents in ascending key order: ranges of keys are shards, each written by one task."""
     spark = docs.sparkSession
     path, folder = path or vocabulary_path(), folder or new_folder(spark, "ids")
-    size = max(vocabulary_size(path), end_id + 1)
-    by_rank = np.lexsort((np.arange(size), -id_counts(docs, text, path, end_id, size))).astype("<u4")
-    part = Part(folder, 0, ".ranks")
-    part.write(by_rank.tobytes())
-    part.close()
-    rank_of = np.empty(size, np.uint32)
-    rank_of[by_rank] = np.arange(size, dtype=np.uint32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, docs_in, ids_in, shard = None, 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             for i, j, data, offs in slices(batch.column(1)):
                 out = out or Part(folder, shard, ".ids")
                 ids, counts = with_end(*piece_table(path).ids(data, offs), end_id)
-                out.write(block(batch.column(0).slice(i, j - i), counts, rank_of[ids]))
+                out.write(block(batch.column(0).slice(i, j - i), counts, ids))
                 docs_in, ids_in = docs_in + j - i, ids_in + len(ids)
         if out:
             out.close()
@@ -180,24 +183,20 @@ def write_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     order = [F.col("k"), F.xxhash64("t")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = stage(dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, n_bytes long"), "shards")
+    shards = stage(small_batches(dealt).mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, n_bytes long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     first = F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")
-    return IdFiles(shards.withColumn("first", first), part.uri, shards.agg(F.sum("n_bytes")).first()[0] or 0)
+    return IdFiles(shards.withColumn("first", first))
 
 
 def read_digests(spark: SparkSession, files: IdFiles) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document, from the files."""
-    ranks = files.ranks
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with read_stream(ranks) as stream:
-            id_of = np.frombuffer(stream.read(), "<u4")
         for batch in batches:
             for uri, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with read_stream(uri) as stream:
-                    for keys, flags, counts, coded in read_blocks(stream):
-                        raw = memoryview(id_of[coded].astype("<u4")).cast("B")
+                    for keys, flags, counts, ids in read_blocks(stream):
+                        raw = memoryview(ids.astype("<u4")).cast("B")
                         ends = np.cumsum(counts)
                         starts = ends - counts
                         sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -111,9 +111,9 @@ def test_id_files_hold_every_document_in_order(spark, library):
 def test_damaged_id_block_is_an_error():
     import io
 
-    data = bytearray(id_files.block(pa.array([1, None], pa.int64()), np.array([2, 1]), np.array([7, 300, 70_000])))
-    keys, flags, counts, ranks = next(id_files.read_blocks(io.BytesIO(bytes(data))))
-    assert (flags.tolist(), counts.tolist(), ranks.tolist(), keys[0]) == ([True, False], [2, 1], [7, 300, 70_000], 1)
+    data = bytearray(id_files.block(pa.array([1, None], pa.int64()), np.array([2, 1]), np.array([9, 70_000, 9])))
+    keys, flags, counts, ids = next(id_files.read_blocks(io.BytesIO(bytes(data))))
+    assert (flags.tolist(), counts.tolist(), ids.tolist(), keys[0]) == ([True, False], [2, 1], [9, 70_000, 9], 1)
     data[-6] ^= 1
     with pytest.raises(ValueError):
         next(id_files.read_blocks(io.BytesIO(bytes(data))))
