@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from nameshift.llm.buffers import slices
-from nameshift.llm.frames import longs, map_text
+from nameshift.llm.frames import longs, map_text, small_batches
 
 ORDER = 3
 PRIOR = 8.0
@@ -50,21 +50,24 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """``code``, ``n_target`` and ``n_all`` over ``t`` (text) and ``target`` of all rows; a row for each gram from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, _CODES), np.int64)
+        seen, counts = np.zeros(0, np.int32), np.zeros((2, 0), np.int64)
         for batch in batches:
             marked = np.asarray(batch.column(1).fill_null(False))
             for i, j, data, offs in slices(batch.column(0)):
                 code = grams(data, offs)
                 own = np.repeat(marked[i:j], np.diff(offs))
-                for k, c in enumerate((code[own], code)):
-                    codes, n = np.unique(c, return_counts=True)
-                    counts[k, codes] += n
-        seen = np.flatnonzero(counts[1])
+                new = [np.unique(c, return_counts=True) for c in (code[own], code)]
+                merged = np.union1d(seen, new[1][0])
+                total = np.zeros((2, len(merged)), np.int64)
+                total[:, np.searchsorted(merged, seen)] = counts
+                for k, (codes, n) in enumerate(new):
+                    total[k, np.searchsorted(merged, codes)] += n
+                seen, counts = merged, total
         for i in range(0, len(seen), 1 << 16):
-            at = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["code", "n_target", "n_all"])
+            at = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(seen[at].astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["code", "n_target", "n_all"])
 
-    each = docs.select("t", "target").mapInArrow(run, "code int, n_target long, n_all long")
+    each = small_batches(docs).select("t", "target").mapInArrow(run, "code int, n_target long, n_all long")
     return each.groupBy("code").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
 
@@ -78,19 +81,21 @@ class Counts:
 
     def losses(self, counts: np.ndarray) -> np.ndarray:
         """The loss of every possible gram, in micronats."""
-        full = np.zeros(_CODES, np.float64)
-        full[self.codes] = counts
-        levels = [full]
-        for _ in range(ORDER - 1):  # counts of the last bytes of a gram: sum out the first byte
-            levels.append(levels[-1].reshape(256, -1).sum(axis=0))
-        p = np.full(1, 1 / 256)
-        for level in reversed(levels):
-            by_context = level.reshape(-1, 256)
-            total = by_context.sum(axis=1, keepdims=True)
-            shorter = np.broadcast_to(p, (256,)) if len(p) == 1 else p
-            shorter = np.tile(shorter.reshape(-1, 256), (max(1, by_context.shape[0] * 256 // shorter.size), 1))
-            p = ((by_context + PRIOR * shorter) / (total + PRIOR)).ravel()
-        return np.rint(-np.log(p) * MICRO).astype(np.int32)
+        shorter = np.zeros(_CODES // 256)  # counts of the last two bytes of a gram
+        np.add.at(shorter, self.codes % len(shorter), counts)
+        single = shorter.reshape(256, 256).sum(axis=0)
+        p1 = (single + PRIOR / 256) / (single.sum() + PRIOR)
+        p2 = (shorter.reshape(256, 256) + PRIOR * p1) / (shorter.reshape(256, 256).sum(axis=1, keepdims=True) + PRIOR)
+        out = np.empty(_CODES, np.int32)
+        ends = np.searchsorted(self.codes, np.arange(257) << 16)
+        for first in range(256):  # the grams of one first byte at a time: temporary arrays stay small
+            own = np.zeros(1 << 16)
+            at = slice(ends[first], ends[first + 1])
+            own[self.codes[at] & 0xFFFF] = counts[at]
+            own = own.reshape(256, 256)
+            p3 = (own + PRIOR * p2) / (own.sum(axis=1, keepdims=True) + PRIOR)
+            out[first << 16 : (first + 1) << 16] = np.rint(-np.log(p3) * MICRO).ravel()
+        return out
 
 
 def gather_counts(docs: DataFrame) -> Counts | None:
@@ -118,7 +123,8 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """``doc_id``, ``n_tokens``, ``target_loss`` and ``background_loss`` (nats a token) and their difference ``score``."""
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     marked = labels.where(F.col(f"`{label}`") == wanted).select(F.col(f"`{label_key}`").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    model = gather_counts(own.join(marked.withColumn("target", F.lit(True)), "doc_id", "left"))
+    # a merge join at every size: labels grow with the corpus, so they are not broadcast
+    model = gather_counts(own.join(marked.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left"))
     if model is None:
         empty = F.lit(None).cast("double")
         return own.select("doc_id", F.octet_length(F.coalesce("t", F.lit(""))).cast("long").alias("n_tokens"), *[empty.alias(c) for c in ("target_loss", "background_loss", "score")])
