@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameshift.llm import bpe_codec, decontamination, fertility, html_text, id_files, lm_scoring, near_duplicates, quality_cotraining, token_counts, warc
+from nameshift.llm import bpe_codec, decontamination, fertility, html_text, id_files, near_duplicates, quality_cotraining, token_counts, warc, word_scoring
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op8_id_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return lm_scoring.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return word_scoring.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
