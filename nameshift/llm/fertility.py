@@ -2,9 +2,10 @@
 
 Method: two public vocabularies split every word. Characters per token of either, the share of byte-fallback tokens
 and the evenness of the token distribution (entropy over its largest possible value) are measured on whole texts. For
-each language, and each script where a language has too few texts, the middle and the spread (interquartile range)
-of a measure come from all texts that pass the base rules; a text is rejected beyond ``WIDTH`` spreads. The band of a
-short text is wider by sqrt(1 + SHORT / tokens), as its measure varies more.
+each language and length class, the middle and the spread (interquartile range) of a measure come from all texts that pass
+the base rules; a text is rejected beyond ``WIDTH`` spreads. Length classes double in tokens, up to ``LONGEST``: short texts
+vary more, and their spread says so. Where a class has too few texts, that of the script counts, then the language and the
+script at every length; only there the band of a short text is wider by sqrt(1 + SHORT / tokens).
 
 Words are runs between ASCII white space. Defined results: a null or empty text has no words, so the base rules reject
 it. A null language is a language of its own. Repeated rows are judged row by row, with the same verdict. Languages and
@@ -29,7 +30,9 @@ from nameshift.llm.frames import longs, map_text
 from nameshift.session import stage
 
 WINDOW = 8
-LEAST, WIDTH, SHORT = 30, 3.5, 400
+LEAST, WIDTH, SHORT = 30, 3.0, 400
+#: Texts of 2**LONGEST tokens and more are one length class.
+LONGEST = 12
 #: The least spread of a band, in thousandths, so that uniform texts don't close it.
 LEAST_SPREAD = 20
 #: Measures with a band, and whether it has an upper end.
@@ -174,6 +177,13 @@ def scaled(c: Column) -> dict[str, Column]:
     }
 
 
+def groups(c: Column) -> dict[str, Column]:
+    """What a text is compared with, the nearest first, by kind."""
+    language = F.coalesce("lang", F.lit(""))
+    size = F.least(F.floor(F.log2(F.greatest(c["n_pieces"], F.lit(1)).cast("double"))), F.lit(LONGEST)).cast("string")
+    return {"class language ": F.concat_ws(" ", size, language), "class script ": F.concat_ws(" ", size, c["script"]), "language ": language, "script ": c["script"]}
+
+
 def bands(measured: DataFrame) -> DataFrame:
     """``grp``, ``measure``, its ``middle`` and ``spread``, exactly, from counts of whole thousandths.
 
@@ -181,8 +191,8 @@ def bands(measured: DataFrame) -> DataFrame:
     """
     c = F.col("m")
     values = F.array(*[F.named_struct(F.lit("measure"), F.lit(name), F.lit("v"), v) for name, v in scaled(c).items()])
-    groups = F.array(F.concat(F.lit("language "), F.coalesce("lang", F.lit(""))), F.concat(F.lit("script "), c["script"]))
-    rows = measured.where(~base_failed(c)).select(F.explode(groups).alias("grp"), values.alias("values"))
+    of = F.array(*[F.concat(F.lit(kind), own) for kind, own in groups(c).items()])
+    rows = measured.where(~base_failed(c)).select(F.explode(of).alias("grp"), values.alias("values"))
     counts = rows.select("grp", F.explode("values").alias("x")).select("grp", "x.*").where("v IS NOT NULL").groupBy("grp", "measure", "v").count()
     w = Window.partitionBy("grp", "measure")
     run = counts.select("*", F.sum("count").over(w.orderBy("v")).alias("upto"), F.sum("count").over(w).alias("n"))
@@ -196,13 +206,17 @@ def judged(measured: DataFrame) -> DataFrame:
     c = F.col("m")
     table = stage(bands(measured), "bands")
     wide = table.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("middle", "spread")))).alias("bands"))
-    by = lambda kind: wide.where(F.col("grp").startswith(kind)).select(F.substring("grp", len(kind) + 1, 1 << 20).alias(f"__{kind.strip()}"), F.col("bands").alias(f"__{kind.strip()}_bands"))
-    both = measured.join(by("language "), F.coalesce(F.col("lang"), F.lit("")) == F.col("__language"), "left").join(by("script "), c["script"] == F.col("__script"), "left")
-    own = F.coalesce("__language_bands", "__script_bands")
+    both, found = measured, []
+    for i, (kind, own_group) in enumerate(groups(c).items()):
+        by = wide.where(F.col("grp").startswith(kind)).select(F.substring("grp", len(kind) + 1, 1 << 20).alias(f"__group{i}"), F.col("bands").alias(f"__bands{i}"))
+        both = both.join(by, own_group == F.col(f"__group{i}"), "left")
+        found.append(F.col(f"__bands{i}"))
+    own = F.coalesce(*found)
+    wider = F.when(F.coalesce(*found[:2]).isNotNull(), 1.0).otherwise(F.sqrt(1 + SHORT / F.greatest(c["n_pieces"], F.lit(1))))
     inside = F.lit(True)
     for name, value in scaled(c).items():
         band = own[name]
-        far = WIDTH * band["spread"] * F.sqrt(1 + SHORT / F.greatest(c["n_pieces"], F.lit(1)))
+        far = WIDTH * band["spread"] * wider
         low, high = value < band["middle"] - far, value > band["middle"] + far
         inside &= ~F.coalesce(low | high if MEASURES[name] else low, F.lit(False))
     verdict = F.named_struct(F.lit("base_failed"), base_failed(c), F.lit("kept"), ~base_failed(c) & inside)
