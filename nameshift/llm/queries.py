@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameshift.llm import bpe_codec, conversation_repair, decontamination, fertility, html_text, id_files, near_duplicates, periodic_runs, quality_cotraining, token_counts, warc, word_scoring
+from nameshift.llm import bpe_codec, conversation_repair, decontamination, fertility, html_text, id_files, near_duplicates, periodic_runs, personal_data, quality_cotraining, token_counts, warc, word_scoring
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, folder, "documents"), plant=True).drop("runs")
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(table(spark, folder, "conversations")))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_personal_data": op12_personal_data,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
