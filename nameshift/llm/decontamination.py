@@ -2,8 +2,10 @@
 
 Method (containment MinHash): the MinHash shingle of an item under one permutation lies in a document with probability
 |item & document| / |item|, however long the document is. Each item keeps its MinHash shingles under ``PERMUTATIONS``
-permutations, and the share of them found in a document estimates containment. Documents and items are partitioned
-by size: an item is searched only where it can fit. Candidates are verified on the words of all shingles.
+permutations, and the share of them found in a document estimates containment. Items and documents are partitioned by size
+(powers of two of their shingles), and the partition is part of the join's key: the MinHash shingles of an item stand in every partition of
+documents that it fits into. Each partition of items needs its own number of hits: of a few shingles so many must be shared that
+small items are only found whole. Candidates are verified on the words of all shingles.
 
 A pair at the threshold is no candidate with probability below ``MISS``. Only DataFrame functions are used. Words are
 runs between ASCII white space, in lower case; a shingle is five words. An item of fewer words is one shingle, its
@@ -41,9 +43,22 @@ def places(size: Column, k: int) -> Column:
     return F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
 
 
-def needed_hits(percent: int) -> int:
-    """The largest number of hits that a pair at the threshold misses with probability ``MISS`` at most."""
-    p, below, hits = percent / 100, 0.0, 0
+#: Sizes beyond 2**62 shingles do not occur.
+CLASSES = 63
+
+
+def least_share(percent: int, size: int) -> float:
+    """The least containment of at least ``percent`` that an item of ``2**size`` to ``2**(size+1) - 1`` shingles can have."""
+    if size > 12:
+        return percent / 100
+    return min(-(-percent * q // 100) / q for q in range(1 << size, 2 << size))
+
+
+def needed_hits(percent: int, size: int) -> int:
+    """The largest number of hits that a pair at the threshold misses with probability ``MISS`` at most, for a partition of items."""
+    p, below, hits = least_share(percent, size), 0.0, 0
+    if p == 1:
+        return PERMUTATIONS
     while (below := below + comb(PERMUTATIONS, hits) * p**hits * (1 - p) ** (PERMUTATIONS - hits)) <= MISS:
         hits += 1
     return max(hits, 1)
@@ -73,15 +88,20 @@ def signatures(shingles: DataFrame) -> DataFrame:
     return low.groupBy("item_id", "k", F.col("m.h").alias("h")).agg(F.count("*").alias("hits")).join(q, "item_id")
 
 
-def candidates(docs: DataFrame, signed: DataFrame, rows: int, k: int, percent: int) -> DataFrame:
-    """Pairs ``doc_id``, ``item_id`` with enough hits, for items whose shingles have ``k`` words."""
+def candidates(docs: DataFrame, signed: DataFrame, rows: int, size_classes: int, k: int, percent: int) -> DataFrame:
+    """Pairs ``doc_id``, ``item_id`` with enough hits, for items whose shingles have ``k`` words.
+
+    ``rows`` bounds the MinHash shingles, ``size_classes`` is the last partition of documents.
+    """
     split = docs.select("doc_id", words("text").alias("w"))
     each = split.select("doc_id", "w", F.explode(places(F.size("w"), k)).alias("i"))
     hashed = each.select("doc_id", size_class(F.size("w") - (k - 1)).alias("partition"), F.xxhash64(F.lit(k), F.concat_ws(" ", *[F.col("w")[F.col("i") + j] for j in range(k)])).alias("h"))
-    own = signed.where(F.col("k") == k).select("item_id", "q", "h", "hits")
-    fits = F.pow(F.lit(2.0), F.col("partition") + 1) > F.col("q") * (percent / 100)
-    found = hashed.join(sized(own, rows), (hashed["h"] == own["h"]) & fits).select("doc_id", "item_id", own["h"], "hits").distinct()
-    return found.groupBy("doc_id", "item_id").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= needed_hits(percent)).select("doc_id", "item_id")
+    least = F.ceil(F.col("q") * percent / 100)  # a document holds at least so many shingles
+    fits = signed.where(F.col("k") == k).withColumn("partition", F.explode(F.sequence(size_class(least), F.lit(size_classes))))
+    own = fits.select("item_id", "q", "h", "hits", "partition")
+    found = hashed.join(sized(own, rows * (size_classes + 1)), ["partition", "h"]).select("doc_id", "item_id", "q", "h", "hits").distinct()
+    needed = F.element_at(F.array(*[F.lit(needed_hits(percent, c)) for c in range(CLASSES)]), size_class(F.col("q")) + 1)
+    return found.groupBy("doc_id", "item_id").agg(F.sum("hits").alias("hits"), F.first("q").alias("q")).where(F.col("hits") >= needed).select("doc_id", "item_id")
 
 
 def contaminated(
@@ -95,7 +115,9 @@ def contaminated(
     rows = shingles.count()
     if not sizes:
         return docs.limit(0).select("doc_id", F.lit(None).cast(items.schema[item_key].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_shared"))
-    hit = stage(reduce(DataFrame.unionByName, [candidates(docs, signed, min(rows, BROADCAST_ROWS + 1), n, percent) for n in sizes]), "candidates")
+    longest = docs.agg(F.max(F.size(words("text")))).first()[0]
+    last = int(longest or 1).bit_length()
+    hit = stage(reduce(DataFrame.unionByName, [candidates(docs, signed, rows, last, n, percent) for n in sizes]), "candidates")
     few = docs.join(hit.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words("text").alias("w"))
     every = reduce(DataFrame.unionByName, [few.select("doc_id", "w", F.explode(places(F.size("w"), n)).alias("i")).select("doc_id", F.slice("w", F.col("i") + 1, F.lit(n)).alias("shingle")) for n in sizes])
     shared = every.join(sized(shingles.select("item_id", "shingle"), rows), "shingle").select("doc_id", "item_id", "shingle").distinct()
@@ -105,9 +127,11 @@ def contaminated(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those that hold a benchmark item; rows without a key stay."""
-    hit = stage(contaminated(docs, items, key, text, **options).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return docs.join(hit, docs[f"`{key}`"] == hit["__hit"], "left_anti")
+    """The rows of ``docs`` without those that hold a benchmark item. Rows without a key are judged by their text alone."""
+    own = F.coalesce(F.concat(F.lit("="), F.col(f"`{key}`").cast("string")), F.sha2(F.col(f"`{text}`"), 256), F.lit(""))
+    named = docs.select(own.alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    hit = stage(contaminated(named, items, **options).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    return docs.join(hit, own == hit["__hit"], "left_anti")
 
 
 ORACLE = r"""

@@ -17,14 +17,18 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _s = lambda text: frozenset(text.split())
 #: Elements whose text is never read as markup.
 RAW = _s("script style textarea title xmp iframe noembed noframes plaintext")
-#: Elements that are left out with all that they hold, whatever the model says.
-DROPPED = RAW | _s("head noscript template svg math canvas audio video object select option button datalist input map")
+#: Of these, elements whose text a page shows as it is.
+SHOWN_RAW = _s("xmp plaintext")
+#: Elements that are left out with all that they hold, whatever the model says: scripts, styles, the head, frames, and controls of forms.
+DROPPED = (RAW - SHOWN_RAW) | _s("head select option button datalist input")
 VOID = _s("area base br col embed hr img input link meta param source track wbr")
 #: Elements that run inside a line of text; all others are blocks.
 INLINE = _s(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr br img"
+    "span strike strong sub sup time tt u var wbr br img math svg object audio video canvas map picture source track"
 )
+#: Inside these every element runs inside the line.
+FOREIGN = _s("math svg")
 #: A paragraph ends where one of these begins.
 ENDS_PARAGRAPH = _s(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -48,27 +52,52 @@ class Tree:
     lines: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _attributes(source: str) -> tuple[tuple[str, ...], int | None, bool]:
-    """Words of class, id and role; the training label, if any; whether the element is hidden."""
+def _attributes(source: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
+    """Words of class, id and role, and in labelled pages the label, if any."""
     words: list[str] = []
-    label, hidden = None, False
+    label = None
     for name, value in _ATTRIBUTE.findall(source):
         name = name.lower()
-        value = unescape(value.strip("\"'"))
         if name in ("class", "id", "role", "aria-label"):
-            words += [w.lower() for w in _NAME_PART.findall(value)]
-        elif name == "data-label":
-            label = int(value)
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            hidden = True
-    return tuple(dict.fromkeys(words)), label, hidden
+            words += [w.lower() for w in _NAME_PART.findall(unescape(value.strip("\"'")))]
+        elif labelled and name == "data-label":
+            label = int(value.strip("\"'"))
+    return tuple(dict.fromkeys(words)), label
 
 
-def parse(html: str) -> Tree:
-    """The tree of a page; anything can be parsed. White space of a line is one blank each."""
+class _Open:
+    """The open elements, and where each tag stands among them."""
+
+    def __init__(self) -> None:
+        self.tags, self.blocks, self.left_out = ["html"], [0], [False]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str, block: int, left_out: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.blocks.append(block)
+        self.left_out.append(left_out)
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.at[tag].pop()
+        self.blocks.pop()
+        self.left_out.pop()
+        return tag
+
+    def last(self, tags: frozenset[str]) -> int:
+        """The innermost open element of these tags; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+
+def parse(html: str, labelled: bool = False) -> Tree:
+    """The tree of a page; anything can be parsed, in time in proportion to its length. White space of a line is one blank each.
+
+    Only with ``labelled``, for training, are labels read from ``data-label``.
+    """
     tree = Tree()
-    stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, its block, whether it is left out
-    links = 0
+    stack = _Open()
+    links = foreign = 0
     parts: list[str] = []
     at = 0
 
@@ -77,54 +106,58 @@ def parse(html: str) -> Tree:
             line = " ".join("".join(parts).split())
             parts.clear()
             if line:
-                tree.lines.append((stack[-1][1], line))
+                tree.lines.append((stack.blocks[-1], line))
 
-    def take(source: str) -> None:
-        if source and not stack[-1][2]:
-            source = unescape(source)
+    def take(source: str, plain: bool = False) -> None:
+        if source and not stack.left_out[-1]:
+            source = source if plain else unescape(source)
             parts.append(source)
             n = len(source) - source.count(" ")
-            tree.text[stack[-1][1]] += n
+            tree.text[stack.blocks[-1]] += n
             if links:
-                tree.linked[stack[-1][1]] += n
+                tree.linked[stack.blocks[-1]] += n
 
     def pop(k: int) -> None:
-        nonlocal links
-        if any(t not in INLINE for t, _, _ in stack[k:]):
+        nonlocal links, foreign
+        if any(t not in INLINE and not foreign for t in stack.tags[k:]):
             end_line()
-        for tag, _, _ in stack[k:]:
+        while len(stack.tags) > k:
+            tag = stack.pop()
             links -= tag == "a"
-        del stack[k:]
+            foreign -= tag in FOREIGN
 
     def close(wanted: frozenset[str], scopes: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in wanted:
-                pop(k)
-                return
-            if stack[k][0] in scopes:
-                return
+        k = stack.last(wanted)
+        if k and k >= stack.last(scopes):
+            pop(k)
 
     while m := _TOKEN.search(html, at):
         take(html[at : m.start()])
         at = m.end()
         if m[1] is not None:
-            take(m[1].replace("&", "&amp;"))
+            take(m[1], plain=True)
         if not m[3]:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
+            if tag == "p" and not stack.last(frozenset("p")):
                 end_line()
             close(frozenset((tag,)), frozenset() if tag not in INLINE else _s("table article section body"))
             continue
+        if foreign:
+            if tag not in VOID and not m[4].endswith("/"):
+                foreign += tag in FOREIGN
+                links += tag == "a"
+                stack.push(tag, stack.blocks[-1], stack.left_out[-1] or tag in DROPPED)
+            continue
         if tag in ENDS_PARAGRAPH:
             close(_s("p"), _s("table button"))
         if tag in ENDS_SAME:
-            while len(stack) > 1 and stack[-1][0] in INLINE | {"p"} and any(t in ENDS_SAME[tag] for t, _, _ in stack[1:]):
-                pop(len(stack) - 1)
+            while len(stack.tags) > 1 and stack.tags[-1] in INLINE | {"p"} and stack.last(ENDS_SAME[tag]):
+                pop(len(stack.tags) - 1)
             if tag in ("tr", "tbody", "tfoot"):
-                while stack[-1][0] in ENDS_SAME[tag]:
-                    pop(len(stack) - 1)
+                while stack.tags[-1] in ENDS_SAME[tag]:
+                    pop(len(stack.tags) - 1)
             else:
                 close(ENDS_SAME[tag], SCOPES - ENDS_SAME[tag])
         if tag == "br":
@@ -134,27 +167,32 @@ def parse(html: str) -> Tree:
         if tag in VOID:
             continue
         if tag == "html":
-            tree.names[0], tree.labels[0], _ = _attributes(m[4])
+            tree.names[0], tree.labels[0] = _attributes(m[4], labelled)
             continue
-        words, label, hidden = _attributes(m[4]) if m[4] else ((), None, False)
-        dropped = stack[-1][2] or tag in DROPPED or hidden
-        block = stack[-1][1]
+        words, label = _attributes(m[4], labelled) if m[4] else ((), None)
+        dropped = stack.left_out[-1] or tag in DROPPED
+        block = stack.blocks[-1]
         if tag not in INLINE and not dropped:
-            block = len(tree.tags)
             tree.tags.append(tag)
             tree.names.append(words)
-            tree.parents.append(stack[-1][1])
+            tree.parents.append(block)
             tree.labels.append(label)
             tree.text.append(0)
             tree.linked.append(0)
+            block = len(tree.tags) - 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if tag in SHOWN_RAW and not dropped:
+                stack.push(tag, block, False)
+                take(html[at : end.start() if end else len(html)], plain=True)
+                pop(len(stack.tags) - 1)
             at = end.end() if end else len(html)
             continue
-        if m[4].endswith("/") and tag in _s("svg math path"):
+        if m[4].endswith("/") and tag in FOREIGN:
             continue
         links += tag == "a"
-        stack.append((tag, block, dropped))
+        foreign += tag in FOREIGN
+        stack.push(tag, block, dropped)
     take(html[at:])
-    pop(0)
+    end_line()
     return tree

@@ -8,8 +8,8 @@ potentials are smoothed counts over labelled pages.
 
 The labelled pages are generated by ``labelled_pages``, ``PAGES`` of them, which bounds the training.
 
-Defined results: a null or empty page has empty text; so has a page without content. Scripts, styles, forms' controls and
-hidden elements never count. Repeated rows give equal texts. Null keys and urls stay. An empty table gives an empty
+Defined results: a null or empty page has empty text; so has a page without content. Scripts, styles and
+forms' controls never count; formulae and what stands in for media run inside their line, and hidden elements are judged like others. Repeated rows give equal texts. Null keys and urls stay. An empty table gives an empty
 result. Other columns are not read. References that HTML does not know stay as they are.
 """
 
@@ -101,6 +101,24 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         each = "".join("".join((_open(wrap, 0)[0], f"<p>{prose(1, 100)}</p>" if wrap != "p" else prose(1, 100), _open(wrap, 0)[1])) for _ in range(r.choice((1, 2, 4, 8, 16))))
         return f"{a}<h2>{prose(1, 3)}</h2>{each}{b}"
 
+    def anonymous(inner: str, label: int) -> str:
+        """Wrappers that say nothing, around a part of the page."""
+        for _ in range(r.choice((1, 1, 2, 3, 5, 8))):
+            name = "".join(r.choice("bcdfghjkmnpqrstvwxz0123456789") for _ in range(r.randint(2, 8)))
+            role = r.choice(("", f' class="{name}"', f' class="x{name} y{name}"', f' id="{name}"'))
+            inner = f'<div{role} data-label="{label}">{inner}</div>'
+        return inner
+
+    def laid_out(before: list[str], article: str, after: list[str], label: int) -> str:
+        """A table with the article in one cell and the rest in others."""
+        cell = lambda inner, state: f'<td data-label="{state}">{inner}</td>'
+        row = lambda cells: f'<tr data-label="{FRAME}">{cells}</tr>'
+        if r.random() < 0.5:
+            before = [*before, r.choice((" ", " | ", "<br>")).join(f"<a href=x>{prose(1, 3)}</a>" for _ in range(r.randint(2, 9)))]
+        left, right = [cell(x, BOILERPLATE) for x in before], [cell(x, BOILERPLATE) for x in after]
+        rows = row("".join(left) + cell(article, label) + "".join(right)) if r.random() < 0.6 else "".join(row(c) for c in (*left, cell(article, label), *right))
+        return f'<table data-label="{FRAME}">{rows}</table>'
+
     pages = []
     for _ in range(n):
         a, b = _open(pick(CONTENT), 1)
@@ -116,7 +134,17 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         before = [f() for f, p in ((lambda: small(HEADERS, 1, 12), 0.5), (menu, 0.8), (lambda: small(ADVERTS, 3, 30), 0.5), (lambda: small(NOTICES, 5, 40), 0.4), (lambda: small(FORMS, 1, 8), 0.2)) if r.random() < p]
         after = [f() for f, p in ((lambda: small(ASIDES, 3, 60), 0.5), (comments, 0.4), (lambda: small(ADVERTS, 3, 30), 0.3), (lambda: small(NOTICES, 5, 40), 0.2), (menu, 0.2), (lambda: small(FOOTERS, 3, 25), 0.9)) if r.random() < p]
         r.shuffle(before)
-        page = "".join([*before, *parts, *after])
+        style = r.random()
+        if style < 0.25:
+            parts = [anonymous("".join(parts), CONTENT_STATE if bare else FRAME)]
+            bare = False
+        if style < 0.05 or 0.25 < style < 0.35:
+            page = laid_out(before, "".join(parts), after, CONTENT_STATE if style >= 0.25 else FRAME)
+            bare = False
+        else:
+            page = "".join([*before, *parts, *after])
+        if style < 0.1 or 0.6 < style < 0.7:
+            page = anonymous(page, CONTENT_STATE if bare else FRAME)
         frame = CONTENT_STATE if bare else FRAME
         if r.random() < 0.4:
             c, d = _open(r.choice(["div.wrapper", "div.container", "main", "div.row", "div.page", "div"]), frame)
@@ -176,7 +204,7 @@ class Potentials:
     def fit(pages: list[str]) -> Potentials:
         seen, edges, totals, roots = Counter(), Counter(), Counter(), Counter()
         for page in pages:
-            tree = parse(page)
+            tree = parse(page, labelled=True)
             states = inherited(tree)
             roots[states[0]] += 1
             for i, names in enumerate(node_features(tree)):

@@ -38,11 +38,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 NO_URL = "about:blank"
 GZIP = b"\x1f\x8b\x08"
-#: Bytes read at a time, and the longest header that is looked at.
-CHUNK, HEADER = 1 << 20, 1 << 16
+#: Bytes read at a time.
+CHUNK = 1 << 20
 #: Headers that every record has by the standard.
 MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_NEXT_RECORD = re.compile(rb"\r\n\r\n(?=WARC/1\.[01]\r\n)")
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
+_DIGEST = re.compile(rb"\r\nwarc-payload-digest:[ \t]*sha1:([A-Z2-7]+)[ \t]*\r\n", re.I)
 
 
 def digest(payload: bytes) -> str:
@@ -159,21 +162,52 @@ def _inflate(window: Window) -> tuple[bytes, int]:
             raise Damaged("the file ends inside a member")
 
 
+def _header_end(window: Window) -> int:
+    """Where the header at the window's start ends: at a blank line, however far, but before the next version line."""
+    looked = 0
+    while True:
+        end = window.data.find(b"\r\n\r\n", max(0, looked - 3))
+        other = _VERSION_LINE.search(window.data, max(1, looked - len(VERSION)))
+        if other and (end < 0 or other.start() < end):
+            raise Damaged("no end of the header")
+        if end >= 0:
+            return end
+        looked = len(window.data)
+        if not window.more():
+            raise Damaged("no end of the header")
+
+
 def _plain_record(window: Window) -> tuple[dict[str, str], bytes, int]:
-    """The record at the window's start; reads on until its header and block are there."""
+    """The record at the window's start; reads on until its header and block are there.
+
+    Where a version line follows a blank line inside the block, the digest tells whether the block ends there, so that a damaged
+    length does not pull in the rest of the file; without a digest the next record does.
+    """
     while not _VERSION_LINE.match(window.data) and len(window.data) < len(VERSION) and window.more():
         pass
     if not _VERSION_LINE.match(window.data):
         raise Damaged("no version line")
-    while (end := window.data.find(b"\r\n\r\n")) < 0 and len(window.data) < HEADER and window.more():
-        pass
-    if end < 0:
-        raise Damaged("no end of the header")
-    if m := re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", bytes(window.data[: end + 2]), re.I):
-        while len(window.data) < end + 8 + int(m[1]) and window.more():
-            pass
-        return parse_record(bytes(memoryview(window.data)[: end + 8 + int(m[1])]))
-    raise Damaged("no content length")
+    end = _header_end(window)
+    header = bytes(window.data[: end + 2])
+    if not (m := _LENGTH.search(header)):
+        raise Damaged("no content length")
+    stop = end + 8 + int(m[1])
+    claimed = _DIGEST.search(header)
+    sum_, summed = hashlib.sha1(), end + 4
+    looked = end + 4
+    while len(window.data) < stop:
+        if not window.more():
+            break
+        limit = min(len(window.data), stop - 4)
+        for other in _NEXT_RECORD.finditer(window.data, max(end + 4, looked - len(VERSION) - 4), min(len(window.data), stop)):
+            if other.start() >= limit or other.start() < summed:
+                continue
+            sum_.update(memoryview(window.data)[summed : other.start()].tobytes())
+            summed = other.start()
+            if not claimed or base64.b32encode(sum_.digest()) == claimed[1].upper():
+                raise Damaged("the block ends before its length")
+        looked = len(window.data)
+    return parse_record(bytes(memoryview(window.data)[:stop]))
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes] | Gap]:

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from helpers import DOCS, awkward, clashing
 
+from pyspark.sql import functions as F
+
 from nameshift.llm import components, decontamination, near_duplicates, queries
 
 
@@ -126,7 +128,9 @@ def test_decontamination_of_awkward_rows(spark):
     items = spark.createDataFrame([(1, "a document without a key"), (None, "quick brown fox jumps over"), (2, "over the lazy dog The quick")], "item_id long, text string")
     docs = clashing(awkward(spark))
     assert [tuple(r) for r in decontamination.contaminated(docs, items).collect()] == [(1, 2, 2, 2)]
-    assert decontamination.remove_contaminated(docs, items).where("doc_id IS NULL").count() == 1
+    more = docs.unionByName(docs.where("doc_id IS NULL").withColumn("text", F.lit("another document without one")))
+    left = decontamination.remove_contaminated(more, items).where("doc_id IS NULL").collect()
+    assert [r.text for r in left] == ["another document without one"]
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 

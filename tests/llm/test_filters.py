@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from helpers import DOCS, awkward, clashing
 
-from nameshift.llm import fertility, lm_scoring, quality_cotraining, queries
+from nameshift.llm import fertility, quality_cotraining, queries
 
 
 def base(text):
@@ -96,56 +96,6 @@ def test_classifier_on_awkward_rows(spark, labelled):
     assert quality_cotraining.quality_scores(docs, labels.limit(0)).where("NOT kept").count() == 0
 
 
-def brute_losses(texts, marked):
-    """The interpolated model with dictionaries."""
-    counts = [[Counter() for _ in range(4)] for _ in range(2)]
-    for text, own in zip(texts, marked, strict=True):
-        raw = b"\n\n" + text.encode()
-        for i in range(2, len(raw)):
-            for k in ([0, 1] if own else [1]):
-                for n in (1, 2, 3):
-                    counts[k][n][raw[i - n + 1 : i + 1]] += 1
-    scale = sum(counts[0][1].values()) / sum(counts[1][1].values())
-
-    def p(k, gram):
-        if not gram:
-            return 1 / 256
-        f = scale if k else 1.0
-        table = counts[k][len(gram)]
-        total = f * sum(v for g, v in table.items() if g[:-1] == gram[:-1])
-        return (f * table[gram] + lm_scoring.PRIOR * p(k, gram[1:])) / (total + lm_scoring.PRIOR)
-
-    out = []
-    for text in texts:
-        raw = b"\n\n" + text.encode()
-        n = len(raw) - 2
-        out.append([sum(round(-1e6 * math.log(p(k, raw[i - 2 : i + 1]))) for i in range(2, len(raw))) / n / 1e6 if n else None for k in (0, 1)])
-    return out
-
-
-def test_losses_equal_brute_force(spark):
-    texts = ["the cat sat on the mat", "a dog, a log", "", "xx yy zz ### |", "the mat\nthe cat"]
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(9, None, None, None, None)], DOCS)
-    labels = spark.createDataFrame([(0, 1), (4, 1), (4, 0), (3, 0), (None, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lm_scoring.scores(docs, labels).collect()}
-    for i, want in enumerate(brute_losses(texts, [True, False, False, False, True])):
-        assert got[i].n_tokens == len(texts[i].encode())
-        for have, exact in zip((got[i].target_loss, got[i].background_loss), want, strict=True):
-            assert have == pytest.approx(exact, abs=2e-6) if exact is not None else have is None
-    assert got[9].n_tokens == 0 and got[9].score is None
-    assert got[0].score < got[3].score
-
-
-def test_scores_on_awkward_rows(spark):
-    docs = clashing(awkward(spark))
-    labels = spark.createDataFrame([(1, 1), (6, 1)], "doc_id long, quality int")
-    got = lm_scoring.scores(docs, labels).collect()
-    assert len(got) == docs.count()
-    assert len({(r.target_loss, r.score) for r in got if r.doc_id == 1}) == 1
-    assert all(r.score is None for r in lm_scoring.scores(docs, labels.limit(0)).collect())
-    assert lm_scoring.scores(docs.limit(0), labels).count() == 0
-
-
 def test_language_model_prefers_good_documents(spark, labelled):
     got = queries.QUERIES["op9_lm_scoring"](spark, labelled)
     means = dict(got.join(spark.read.parquet(f"{labelled}/labels.parquet"), "doc_id").groupBy("quality").avg("score").collect())

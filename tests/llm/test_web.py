@@ -29,7 +29,7 @@ def test_every_page_gives_its_article(spark, folder):
 def test_lines_of_held_out_labelled_pages():
     model, right, lines = html_text.trained(), 0, 0
     for page in html_text.labelled_pages(150, seed=99):
-        tree = dom.parse(page)
+        tree = dom.parse(page, labelled=True)
         states, content = html_text.inherited(tree), model.marginals(tree)
         for node, _ in tree.lines:
             lines += 1
@@ -80,6 +80,40 @@ def test_markup(page, want):
     assert html_text.trained().text(page) == want
 
 
+SENTENCE = "This is a sentence of the article, and it goes on for a while. "
+FIVE = "".join(f"<p>{SENTENCE * 3}{i}</p>" for i in range(5))
+FIVE_LINES = "\n".join(f"{SENTENCE * 3}{i}" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # markup that no list of names holds: wrappers that say nothing, layout by tables
+        (f'<div id="app"><div class="css-1x"><div>{FIVE}</div></div></div>', FIVE_LINES),
+        (f'<body><nav><a href=x>Home</a> <a href=y>News</a></nav><div id="root"><div class="sc-bdVaJa"><div>{FIVE}</div></div></div><footer>c 2020</footer></body>', FIVE_LINES),
+        (f"<body>{'<div>' * 12}{FIVE}{'</div>' * 12}</body>", FIVE_LINES),
+        (f"<body><table width=100%><tr><td><a href=a>Home</a><br><a href=b>Shop</a></td><td><h1>Title here</h1>{FIVE}</td></tr></table></body>", "Title here\n" + FIVE_LINES),
+        # nothing but what is listed is left out, and a line is not cut by what runs inside it
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p></article>", "Energy is E=m here."),
+        ("<article><p>See <object data=x>the <b>other</b> text</object> here.</p><p hidden>Hidden words stay.</p></article>", "See the other text here.\nHidden words stay."),
+        ("<article><p>A <svg viewBox=x><text>label</text><path d=x /></svg> and <video>no <a href=x>video</a></video>.</p><xmp>a <b> & c</xmp></article>", "A label and no video.\na <b> & c"),
+        # the training mark is data of the page elsewhere
+        ('<article><table><tr><td data-label="Price">12 euros</td><td data-label="0">Box</td></tr></table><p>Text of it.</p></article>', "12 euros\nBox\nText of it."),
+    ],
+)
+def test_markup_from_elsewhere(page, want):
+    assert html_text.trained().text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep" + "</div>" * 20_000, "<b>" + "<table><tr><td>" * 7000 + "deep" + "</b>" * 20_000, "<p>" + "<b>" * 20_000 + "deep" + "<li>" * 20_000])
+def test_deep_pages_take_time_in_proportion(page):
+    from time import process_time
+
+    start = process_time()
+    dom.parse(page)
+    assert process_time() - start < 1.5
+
+
 def test_text_of_awkward_pages(spark):
     rows = [(1, None, None), (None, "u", "<p>x</p>"), (2, "u", ""), (3, "u", "<p>x</p>"), (3, "u", "<p>x</p>"), (4, "u", "<article>" + "<p>word</p>" * 20_000 + "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, PAGES)
@@ -155,6 +189,38 @@ def test_salvage_across_chunks(monkeypatch):
     assert numbers(warc.read_archive(io.BytesIO(zipped))) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("chunk", [5, 32 << 10, 1 << 20])
+def test_headers_of_any_length(monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    made = [warc.record(i, "u" * (70_000 if i == 1 else 9), b"payload", None) for i in range(3)]
+    stream = io.BytesIO(b"".join(made))
+    assert numbers(warc.read_archive(stream)) == [0, 1, 2]
+
+
+def test_a_header_without_end_costs_itself_only():
+    made = [warc.record(i, "u", b"payload", None) for i in range(3)]
+    cut = made[1].index(b"\r\n\r\n")
+    items = list(warc.read_archive(io.BytesIO(made[0] + made[1][: cut // 2] + b"\r\n" + made[2])))
+    assert numbers(items) == [0, 2] and sum(isinstance(x, warc.Gap) for x in items) == 1
+
+
+def test_a_damaged_length_does_not_pull_in_the_rest(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1 << 16)
+    made = [warc.record(i, "u", b"x" * 5000, None) for i in range(2000)]
+    made[3] = made[3].replace(b"Content-Length: 5000", b"Content-Length: 500000000")
+    peak, more = [0], warc.Window.more
+    monkeypatch.setattr(warc.Window, "more", lambda self: (peak.append(len(self.data)), more(self))[1])
+    items = list(warc.read_archive(io.BytesIO(b"".join(made))))
+    assert numbers(items) == [i for i in range(2000) if i != 3]
+    assert max(peak) < 1 << 20
+
+
+def test_a_payload_may_hold_records():
+    inner = b"".join(warc.record(i, "u", b"in" * 99, None) for i in range(9))
+    data = warc.record(100, "u", inner, None) + warc.record(101, "u", b"x", None)
+    assert numbers(warc.read_archive(io.BytesIO(data))) == [100, 101]
+
+
 def test_damaged_files_in_a_frame(spark, tmp_path):
     made = b"".join(warc.member(warc.record(i, None, b"x" * i, None)) for i in range(9))
     (tmp_path / "a.warc.gz").write_bytes(made[:200] + made[230:])
