@@ -1,12 +1,13 @@
 """Quality classifier by co-training on two views of a document.
 
-Method: one logistic model sees the text's content, another the document's metadata (language, source, length). In each
-round either model labels pool documents it is sure of, and hands them to the other model's training set. Both are then
-calibrated on labelled rows that neither was trained on, and the calibrated log-odds are combined by weights fitted on
-those rows. All documents are scored where they lie.
+Method: one logistic model sees the text's content (shares of character classes, word figures, and hashed words, word pairs and letter
+triples), another the document's metadata (language, source, length). In each round both models score every unlabelled document, and
+either hands the ones that it is surest of to the other model's training set. Both are then calibrated on labelled rows that neither
+was trained on, and the calibrated log-odds are combined by weights fitted on those rows. All documents are scored where they lie.
 
-The models are fitted on the driver, on at most ``LABELLED`` labelled and ``POOL`` other documents: those with the
-smallest key hashes, so the sample is the same for every partitioning.
+Scale: the features of all documents are staged once, a few hundred bytes each. A round is one pass over them; tasks keep their own
+``PER_ROUND`` surest rows of each kind, so little is shuffled. The models are fitted on the driver, on at most ``LABELLED`` labelled rows
+(those with the smallest key hashes, so the sample is the same for every partitioning) and ``4 * PER_ROUND`` pseudo-labels a round.
 
 Defined results: a null, empty or wordless text has score 0 and is rejected. Null metadata are a value of their own.
 Repeated rows get equal scores. A label is the mean of its rows, nulls left out; a tie counts as good. Without
@@ -16,20 +17,24 @@ table gives an empty result. The columns made here are named in the result only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField
 
-from nameshift.llm.buffers import WORD_BREAK, hash_spans, words
-from nameshift.llm.frames import map_text
+from nameshift.llm.buffers import WORD_BREAK, eights, hash_spans, lower_ascii, mix, words
+from nameshift.llm.frames import binaries, map_text, small_batches
+from nameshift.session import stage
 
-LABELLED, POOL, LEAST = 6000, 6000, 20
+LABELLED, LEAST = 6000, 20
 ROUNDS, SURE, PER_ROUND = 4, 0.97, 500
 #: A document is kept from this combined probability on: losing a good one costs more than keeping a bad one.
 KEPT_FROM = 0.3
+#: Penalty of the views' weights: hashed features are many, labelled rows few.
+PENALTY = 30.0
 LANG_BUCKETS, SOURCE_BUCKETS, LENGTH_BUCKETS = 16, 64, 32
 META = LANG_BUCKETS + SOURCE_BUCKETS + LENGTH_BUCKETS
 
@@ -53,7 +58,34 @@ _CLASSES = np.stack(
         _set(bytes(range(0x80, 0x100))),
     ]
 )
-FEATURES = len(_CLASSES) + 7
+#: Buckets of hashed words and word pairs, and of hashed letter triples.
+WORD_GRAMS, LETTER_GRAMS = 64, 64
+FIGURES = len(_CLASSES) + 7
+FEATURES = FIGURES + WORD_GRAMS + LETTER_GRAMS
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(rows: np.ndarray, hashes: np.ndarray, n_rows: int, size: int) -> np.ndarray:
+    """Square roots of the shares that each bucket has of a row's hashes."""
+    counts = np.bincount(rows * size + (hashes % np.uint64(size)).astype(np.int64), minlength=n_rows * size).reshape(n_rows, size)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+
+
+def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Hashed words and neighbouring words, then hashed letter triples, of whole texts in lower case."""
+    data = lower_ascii(data)
+    n = len(offs) - 1
+    starts, ends, rows = words(data, offs)
+    h, of = hash_spans(data, starts, ends - starts), np.repeat(np.arange(n), np.diff(rows))
+    near = of[1:] == of[:-1]
+    pairs = mix(h[:-1] * _PAIR ^ h[1:])[near]
+    out = [_hashed(np.concatenate([of, of[1:][near]]), np.concatenate([h, pairs]), n, WORD_GRAMS)]
+    three = np.flatnonzero(~WORD_BREAK[data])
+    three = three[three + 3 <= len(data)]
+    of = np.searchsorted(offs, three, "right") - 1
+    inside = three + 3 <= offs[of + 1]
+    out.append(_hashed(of[inside], mix(eights(data)[three[inside]] & np.uint64(0xFFFFFF)), n, LETTER_GRAMS))
+    return np.concatenate(out, axis=1)
 
 
 def content(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -62,6 +94,7 @@ def content(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n_rows, n_bytes, n_words = len(offs) - 1, np.diff(offs), np.diff(rows)
     per = np.maximum(n_words, 1)
     out = np.zeros((n_rows, FEATURES))
+    out[:, FIGURES:] = grams(data, offs)
     ink = np.concatenate([[0], np.cumsum(~WORD_BREAK[data])])
     inked = np.maximum(np.diff(ink[offs]), 1)
     for k, members in enumerate(_CLASSES):
@@ -151,32 +184,17 @@ def one_hot(meta: np.ndarray) -> np.ndarray:
     return out
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Views | None:
-    """Fits both views; every fourth labelled row is held out for calibration. None if a class is too rare."""
-    held = np.arange(len(y)) % 4 == 3
-    if min((y[~held] == 0).sum(), (y[~held] == 1).sum()) < LEAST or len(set(y[held].tolist())) < 2:
-        return None
-    x = [text[~held], meta[~held]]
-    labels = [y[~held].astype(float)] * 2
-    pools = [pool_text, pool_meta]
-    free = np.ones(len(pool_text), bool)
-    for _ in range(ROUNDS):
-        models = [Logistic.fit(a, b) for a, b in zip(x, labels, strict=True)]
-        for own, other in ((0, 1), (1, 0)):
-            at = np.flatnonzero(free)
-            if not at.size:
-                break
-            p = sigmoid(models[own].odds(pools[own][at]))
-            picked = [at[o[: PER_ROUND]][p[o[: PER_ROUND]] >= SURE] if good else at[o[: PER_ROUND]][p[o[: PER_ROUND]] <= 1 - SURE] for good, o in ((True, np.argsort(-p, kind="stable")), (False, np.argsort(p, kind="stable")))]
-            rows = np.concatenate(picked)
-            x[other] = np.concatenate([x[other], pools[other][rows]])
-            labels[other] = np.concatenate([labels[other], np.ones(len(picked[0])), np.zeros(len(picked[1]))])
-            free[rows] = False
-    models = [Logistic.fit(a, b) for a, b in zip(x, labels, strict=True)]
-    odds = [models[0].odds(text[held]), models[1].odds(meta[held])]
-    calibration = np.array([_platt(o, y[held].astype(float)) for o in odds])
+def held_out(n: int) -> np.ndarray:
+    """Every fourth labelled row is kept for calibration."""
+    return np.arange(n) % 4 == 3
+
+
+def calibrated(models: list[Logistic], text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> Views:
+    """Both models with their calibration and combination, fitted on labelled rows that they have not seen."""
+    odds = [models[0].odds(text), models[1].odds(meta)]
+    calibration = np.array([_platt(o, y.astype(float)) for o in odds])
     both = np.column_stack([s * o + t for (s, t), o in zip(calibration, odds, strict=True)])
-    joint = Logistic.fit(both, y[held].astype(float))
+    joint = Logistic.fit(both, y.astype(float))
     slopes = joint.weights[1:] / joint.scale
     return Views(*models, calibration, np.array([joint.weights[0] - slopes @ joint.mean, *slopes]))
 
@@ -190,28 +208,86 @@ def smallest_hashes(keys: DataFrame, bound: int) -> DataFrame:
     return keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Views | None:
-    """``docs`` with doc_id, text and meta (its buckets); ``labels`` with doc_id and quality."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    sample = smallest_hashes(known, labelled)
-    others = smallest_hashes(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), pool).join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("y"))
-    wanted = sample.unionByName(others)  # at most labelled + pool rows
-    rows = docs.join(F.broadcast(wanted), "doc_id")
+def packed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, np.float32).view(np.uint8).ravel()
+
+
+def unpacked(column: pa.Array | list[bytes]) -> np.ndarray:
+    values = b"".join(column.to_pylist() if isinstance(column, pa.Array) else column)
+    return np.frombuffer(values, np.float32).reshape(-1, FEATURES).astype(np.float64)
+
+
+def view_rows(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """Staged features of every row with a key: ``doc_id, k`` (its hash), ``meta, x``, whether it is ``known``, and ``y`` of the sample."""
 
     def make():
         def function(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
             x = content(data, offs)
-            return [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * FEATURES, pa.array(x.ravel()))]
+            return [binaries(packed(x), np.arange(len(x) + 1) * FEATURES * 4)]
 
         return function
 
-    made = map_text(rows, "text", make, [StructField("x", ArrayType(DoubleType()))], ["doc_id", "y", "meta"])
-    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(labelled + pool).toPandas()
+    made = map_text(docs.where("doc_id IS NOT NULL"), "text", make, [StructField("x", BinaryType())], ["doc_id", "meta"])
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    sample = smallest_hashes(known, labelled)  # at most ``labelled`` rows
+    marked = made.join(known.select("doc_id", F.lit(True).alias("known")), "doc_id", "left").join(F.broadcast(sample), "doc_id", "left")
+    return stage(marked.select("doc_id", F.xxhash64("doc_id").alias("k"), "meta", "x", F.coalesce("known", F.lit(False)).alias("known"), "y"), "quality-views")
+
+
+def surest(rows: DataFrame, models: list[Logistic], taken: np.ndarray, most: int = PER_ROUND) -> DataFrame:
+    """Of all unlabelled rows not yet ``taken``, by either model (``own``) the ``most`` surest good and bad ones (``good``)."""
+    schema = "own int, good boolean, p double, k long, meta array<bigint>, x binary"
+    arrow = pa.schema([("own", pa.int32()), ("good", pa.bool_()), ("p", pa.float64()), ("k", pa.int64()), ("meta", pa.list_(pa.int64())), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, bool], pa.Table] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.asarray(batch.column(0))
+            free = ~np.isin(k, taken)
+            views = unpacked(batch.column(2)), one_hot(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64))
+            for own in (0, 1):
+                p = sigmoid(models[own].odds(views[own]))
+                for good in (True, False):
+                    at = np.flatnonzero(free & (p >= SURE if good else p <= 1 - SURE))
+                    at = at[np.lexsort((k[at], -p[at] if good else p[at]))][:most]
+                    new = pa.table([pa.array(np.full(len(at), own, np.int32)), pa.array(np.full(len(at), good)), pa.array(p[at]), *[batch.column(c).take(pa.array(at)) for c in range(3)]], schema=arrow)
+                    both = pa.concat_tables([best[own, good], new]) if (own, good) in best else new
+                    best[own, good] = both.sort_by([("p", "descending" if good else "ascending"), ("k", "ascending")]).slice(0, most)
+        for table in best.values():
+            yield from table.combine_chunks().to_batches()
+
+    found = small_batches(rows.where("NOT known").select("k", "meta", "x")).mapInArrow(run, schema)
+    order = Window.partitionBy("own", "good").orderBy(F.when(F.col("good"), -F.col("p")).otherwise(F.col("p")), "k", "x")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Views | None:
+    """``docs`` with doc_id, text and meta (its buckets); ``labels`` with doc_id and quality. None if a class is too rare."""
+    rows = view_rows(docs, labels, labelled)
+    own = rows.where("y IS NOT NULL").groupBy("doc_id", "k", "y").agg(F.min(F.struct("meta", "x")).alias("v"))
+    got = own.orderBy("k", "doc_id").select("y", "v.meta", "v.x").limit(labelled).toPandas()
     if not len(got):
         return None
-    text, meta = np.stack(got["x"].to_numpy()), one_hot(np.stack(got["meta"].to_numpy()).astype(np.int64))
-    has = got["y"].notna().to_numpy()
-    return cotrain(text[has], meta[has], got["y"][has].to_numpy().astype(int), text[~has], meta[~has])
+    y, text, meta = got["y"].to_numpy().astype(int), unpacked(got["x"].tolist()), one_hot(np.stack(got["meta"].to_numpy()).astype(np.int64))
+    held = held_out(len(y))
+    if min((y[~held] == 0).sum(), (y[~held] == 1).sum()) < LEAST or len(set(y[held].tolist())) < 2:
+        return None
+    x, targets, taken = [text[~held], meta[~held]], [y[~held].astype(float)] * 2, np.zeros(0, np.int64)
+    for _ in range(ROUNDS):
+        models = [Logistic.fit(a, b, PENALTY) for a, b in zip(x, targets, strict=True)]
+        new = surest(rows, models, taken).orderBy("own", "good", "r").toPandas()  # at most 4 * PER_ROUND rows
+        if not len(new):
+            break
+        views = unpacked(new["x"].tolist()), one_hot(np.stack(new["meta"].to_numpy()).astype(np.int64))
+        for view in (0, 1):
+            other = (new["own"] != view).to_numpy()
+            x[view] = np.concatenate([x[view], views[view][other]])
+            targets[view] = np.concatenate([targets[view], new["good"].to_numpy()[other].astype(float)])
+        taken = np.union1d(taken, new["k"].to_numpy())
+    models = [Logistic.fit(a, b, PENALTY) for a, b in zip(x, targets, strict=True)]
+    return calibrated(models, text[held], meta[held], y[held])
 
 
 def scored(docs: DataFrame, views: Views | None, text: str, lang: str, source: str, n_chars: str, keep: list[str]) -> DataFrame:

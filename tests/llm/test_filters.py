@@ -81,6 +81,46 @@ def test_classifier_agrees_with_labels_it_has_not_seen(spark, labelled):
     assert all(r.kept for r in both if r.quality == 1)
 
 
+def test_a_round_takes_the_surest_of_all_unlabelled_rows(spark, labelled):
+    """The pseudo-labels of two rounds against all scores on the driver."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    q = quality_cotraining
+    col = F.col
+    docs = spark.read.parquet(f"{labelled}/documents.parquet").select("doc_id", "text", q.buckets(col("lang"), col("source"), col("n_chars")).alias("meta"))
+    rows = q.view_rows(docs.repartition(7), spark.read.parquet(f"{labelled}/labels.parquet"), 150)
+    every = rows.orderBy("k").toPandas()
+    assert len(every) == docs.count() and every["y"].notna().sum() == 150 and every["known"].sum() > 150
+    text, meta = q.unpacked(every["x"].tolist()), q.one_hot(np.stack(every["meta"].to_numpy()).astype(int))
+    has, free = every["y"].notna().to_numpy(), ~every["known"].to_numpy().astype(bool)
+    y, k = every["y"].to_numpy()[has].astype(float), every["k"].to_numpy()
+    models = [q.Logistic.fit(text[has], y), q.Logistic.fit(meta[has], y)]
+    taken = np.zeros(0, np.int64)
+    for _ in range(2):
+        got = q.surest(rows, models, taken, 40).toPandas()
+        for own, view in ((0, text), (1, meta)):
+            p = q.sigmoid(models[own].odds(view))
+            for good in (True, False):
+                at = [i for i in np.lexsort((k, -p if good else p)) if free[i] and k[i] not in taken and (p[i] >= q.SURE if good else p[i] <= 1 - q.SURE)][:40]
+                mine = got[(got["own"] == own) & (got["good"] == good)]
+                assert sorted(mine["k"]) == sorted(k[at])
+        assert len(got) > 40
+        taken = np.union1d(taken, got["k"].to_numpy())
+
+
+def test_hashed_grams_count_words_pairs_and_letters():
+    import numpy as np
+
+    q = quality_cotraining
+    texts = ["the cat The cat", "", "x", "cat the", "abc"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = q.grams(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert got.shape == (5, q.WORD_GRAMS + q.LETTER_GRAMS)
+    sums = (got**2).sum(axis=1)
+    assert sums == pytest.approx([2, 0, 1, 2, 2]) and not (got[0] == got[3]).all()
+
+
 def test_classifier_on_awkward_rows(spark, labelled):
     labels = spark.read.parquet(f"{labelled}/labels.parquet")
     docs = spark.read.parquet(f"{labelled}/documents.parquet").unionByName(awkward(spark))
