@@ -127,13 +127,16 @@ def shape_features(shape: str) -> list[str]:
 def identity_features(word: str) -> list[str]:
     """What neighbours see too: the word itself, what stands before a sign inside, and a sign at its end."""
     out = ["w=" + word.strip(_TRIM).lower()[:30]]
-    if (m := re.match(r"[^=:(]+(?=[=:(].)", word)) is not None:
+    if ("=" in word or ":" in word or "(" in word) and (m := _BEFORE_SIGN.match(word)) is not None:
         out.append("k=" + m[0].lower()[:12])
     if word and not word[-1].isalnum():
         out.append("e=" + word[-1])
     return out
 
 
+_BEFORE_SIGN = re.compile(r"[^=:(]+(?=[=:(].)")
+
+
 @dataclass
 class Field:
     """Weights by place and feature, and the scores of tags that follow each other. A word's own shape counts at its own place only."""
@@ -141,19 +144,15 @@ class Field:
     numbers: dict[str, int]
     weights: np.ndarray  # places x features x tags
     follow: np.ndarray
-    by_shape: dict[str, np.ndarray]
-
-    def scores(self, word: str) -> np.ndarray:
-        """What a word adds to the tags of the word at each place from it."""
-        shape = shape_of(word)
-        if (own := self.by_shape.get(shape)) is None:
-            if len(self.by_shape) >= 1 << 16:
-                self.by_shape.clear()
-            own = np.zeros((len(OFFSETS), T), np.float32)
-            own[0] = self.weights[0, [n for f in shape_features(shape) if (n := self.numbers.get(f)) is not None]].sum(axis=0)
-            self.by_shape[shape] = own
-        if at := [n for f in identity_features(word) if (n := self.numbers.get(f)) is not None]:
-            return own + self.weights[:, at].sum(axis=1)
+
+    def kind(self, word: str) -> tuple[str, ...]:
+        """All of a word that counts: its shape, and those features of its identity that have weights."""
+        return (shape_of(word), *[f for f in identity_features(word) if f in self.numbers])
+
+    def scores(self, kind: tuple[str, ...]) -> np.ndarray:
+        """What a word of a kind adds to the tags of the word at each place from it."""
+        own = self.weights[:, [self.numbers[f] for f in kind[1:]]].sum(axis=1)
+        own[0] += self.weights[0, [n for f in shape_features(kind[0]) if (n := self.numbers.get(f)) is not None]].sum(axis=0)
         return own
 
     def reach(self) -> np.ndarray:
@@ -267,7 +266,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]]) -> Field:
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             values[k] -= RATE * (1 - step / (last + 1)) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-    return Field(numbers, values[0].reshape(len(OFFSETS), nf, T), np.where(legal, values[1], _NO), {})
+    return Field(numbers, values[0].reshape(len(OFFSETS), nf, T), np.where(legal, values[1], _NO))
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -358,27 +357,47 @@ def decode(node: np.ndarray, rows: np.ndarray, field: Field, reach: np.ndarray)
 
 
 class Scorer:
-    """Scores of words, kept for each distinct word of a task within a bound."""
+    """Scores of words. Distinct words of a task are numbered within a bound, and so are their kinds, of which there are far fewer."""
 
     def __init__(self, field: Field):
-        self.field, self.table, self.reach = field, Interner(1 << 16), field.reach()
+        self.field, self.table, self.reach = field, Interner(1 << 17), field.reach()
+        self.reset()
+
+    def reset(self) -> None:
+        self.table.reset()
+        self.kinds: dict[tuple[str, ...], int] = {}
+        self.kind_of = np.zeros(1024, np.int32)
         self.rows = np.zeros((1024, len(OFFSETS), T), np.float32)
 
-    def node(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The kind of every word."""
         if self.table.full:
-            self.table.reset()
+            self.reset()
         known = self.table.count
         ids, fresh = self.table.intern(data, starts, ends - starts)
-        if known + len(fresh) > len(self.rows):
-            self.rows = np.concatenate([self.rows[:known], np.zeros((max(len(fresh), known) + 1024, len(OFFSETS), T), np.float32)])
-        for k, word in enumerate(fresh):
-            self.rows[known + k] = self.field.scores(word.decode("utf-8", "replace"))
-        out = self.rows[ids, 0].astype(np.float64)
+        if known + len(fresh) > len(self.kind_of):
+            self.kind_of = np.concatenate([self.kind_of[:known], np.zeros(max(len(fresh), known) + 1024, np.int32)])
+        for k, word in enumerate(fresh, known):
+            kind = self.field.kind(word.decode("utf-8", "replace"))
+            if (at := self.kinds.get(kind)) is None:
+                at = self.kinds[kind] = len(self.kinds)
+                if at >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[at] = self.field.scores(kind)
+            self.kind_of[k] = at
+        return self.kind_of[ids]
+
+    def node(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of all tags of every word."""
+        kinds = self.numbers(data, starts, ends)
+        out = self.rows[kinds, 0].astype(np.float64)
         text = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         for k, offset in enumerate(OFFSETS):
-            if 0 < abs(offset) < len(ids):
+            if 0 < abs(offset) < len(kinds):
                 here, there = (slice(-offset, None), slice(None, offset)) if offset < 0 else (slice(None, -offset), slice(offset, None))
-                out[here] += np.where((text[here] == text[there])[:, None], self.rows[ids[there], k], 0)
+                add = self.rows[kinds[there], k]
+                add[text[here] != text[there]] = 0
+                out[here] += add
         return out
 
 

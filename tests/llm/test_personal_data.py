@@ -59,7 +59,7 @@ def test_decoding_finds_the_best_path():
     legal = pd._legal()
     for _ in range(60):
         follow = np.where(legal, rng.normal(0, 1, (pd.T, pd.T)), pd._NO)
-        f = pd.Field({}, np.zeros((len(pd.OFFSETS), 0, pd.T)), follow, {})
+        f = pd.Field({}, np.zeros((len(pd.OFFSETS), 0, pd.T)), follow)
         sizes = rng.integers(0, 4, 3)
         rows = np.concatenate([[0], np.cumsum(sizes)])
         node = rng.normal(0, 1.5, (rows[-1], pd.T))
