@@ -1,13 +1,15 @@
-"""Vector similarity, exact on arrays and by signatures on counted contexts."""
+"""Vector similarity: cosine of arrays, and whole-number context vectors."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SIGNATURE_BITS = 32
+#: Width of a context vector, and the largest value of an entry.
+DIMENSIONS, LARGEST = 64, 127
+EPS = 1e-6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -15,28 +17,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column, eps: float = 1e-6) -> Column:
+def cosine(a: Column, b: Column, eps: float = EPS) -> Column:
     """C2 on one pair of vectors: each norm is held at ``eps`` or above."""
     norm_a = F.greatest(F.sqrt(dot(a, a)), F.lit(eps))
     norm_b = F.greatest(F.sqrt(dot(b, b)), F.lit(eps))
     return dot(a, b) / (norm_a * norm_b)
 
 
-def signature_hash(token: Column) -> Column:
-    """32 bits fixed by the token."""
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
+def context_hash(token: Column, part: int) -> Column:
+    """32 bits fixed by the token; ``part`` 0 and 1 are independent."""
+    return F.conv(F.substring(F.md5(token), 1 + 8 * part, 8), 16, 10).cast("long")
 
 
-def signature_vote(value: Column, bit: int) -> Column:
-    """+1 or -1: one bit of a :func:`signature_hash`."""
-    return F.lit(1) - 2 * F.shiftright(value, bit).bitwiseAND(F.lit(1))
+def context_vote(hashes: list[Column], dimension: int) -> Column:
+    """+1 or -1: one bit of the hashes of a context."""
+    return F.lit(1) - 2 * F.shiftright(hashes[dimension // 32], dimension % 32).bitwiseAND(F.lit(1))
 
 
-def signature_distance(a: Column, b: Column) -> Column:
-    """Number of differing bits."""
-    return F.bit_count(a.bitwiseXOR(b))
+def context_vector(votes: list[Column]) -> Column:
+    """Summed votes scaled to whole numbers from -127 to 127, rounded half away from zero in whole-number arithmetic."""
+    top = F.greatest(*[F.abs(v) for v in votes], F.lit(1))
+    entry = lambda v: F.signum(v).cast("long") * F.floor((2 * LARGEST * F.abs(v) + top) / (2 * top))
+    return F.array(*[entry(v).cast("tinyint") for v in votes])
 
 
-def signature_cosine(distance: Column) -> Column:
-    """Cosine of the angle that random-hyperplane signatures estimate."""
-    return F.cos(F.lit(math.pi / SIGNATURE_BITS) * distance)
+def whole_dot(a: Column, b: Column) -> Column:
+    """Dot product of two context vectors, term by term: no array is built for it."""
+    terms = [a[i].cast("int") * b[i].cast("int") for i in range(DIMENSIONS)]
+    while len(terms) > 1:
+        terms = [reduce(lambda x, y: x + y, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def context_norm(vector: Column) -> Column:
+    return F.greatest(F.sqrt(whole_dot(vector, vector).cast("double")), F.lit(EPS))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.lexing import pieces
 from nameshift.functions.names import is_valid_name
-from nameshift.functions.similarity import SIGNATURE_BITS, signature_cosine, signature_distance, signature_hash, signature_vote
+from nameshift.functions.similarity import DIMENSIONS, context_hash, context_norm, context_vector, context_vote, whole_dot
 from nameshift.operators.scoring import MICRO
-from nameshift.operators.skew import skew_join
+from nameshift.operators.skew import split_join
 from nameshift.session import stage
 
 TOP_K = 60
 #: Limits of the word composition: positions, pieces per position, prefixes per level.
 MAX_POSITIONS, MAX_OPTIONS, BEAM = 12, 4, 24
+#: Attaches a column ``w`` to rows with the given token column.
+Weigh = Callable[[DataFrame, str], DataFrame]
 
 
 def bigrams(lexed: DataFrame) -> DataFrame:
@@ -31,87 +34,85 @@ def bigrams(lexed: DataFrame) -> DataFrame:
     )
 
 
-def signatures(pairs: DataFrame) -> DataFrame:
-    """``words(tok, n, sig)``: how often a token occurs, and the signature of its counted neighbours.
+def context_words(pairs: DataFrame) -> DataFrame:
+    """``words(tok, n, vec, norm)``: how often a token occurs, and the vector of its counted neighbours.
 
-    Bit i is set when the neighbours vote non-negative; votes are whole numbers, so the result is exact.
+    Every neighbour votes +1 or -1 in each dimension, as its hash says, as often as it was counted. Votes are whole numbers, so
+    the vector does not depend on partitioning.
     """
     neighbours = pairs.select(F.col("a").alias("tok"), F.concat(F.lit("R"), "b").alias("u"), "c", F.col("c").alias("k"))
     neighbours = neighbours.unionByName(
         pairs.select(F.col("b").alias("tok"), F.concat(F.lit("L"), "a").alias("u"), "c", F.lit(0).cast("long").alias("k"))
     ).where(F.col("tok") != "")
-    neighbours = neighbours.withColumn("h", signature_hash(F.col("u")))
-    votes = [F.sum(F.col("c") * signature_vote(F.col("h"), i)).alias(f"v{i}") for i in range(SIGNATURE_BITS)]
+    neighbours = neighbours.select("tok", "c", "k", context_hash(F.col("u"), 0).alias("h0"), context_hash(F.col("u"), 1).alias("h1"))
+    hashes = [F.col("h0"), F.col("h1")]
+    votes = [F.sum(F.col("c") * context_vote(hashes, i)).alias(f"v{i}") for i in range(DIMENSIONS)]
     counted = neighbours.groupBy("tok").agg(F.sum("k").alias("n"), *votes)
-    sig = F.lit(0).cast("long")
-    for i in range(SIGNATURE_BITS):
-        sig = sig + F.when(F.col(f"v{i}") >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return counted.select("tok", "n", sig.alias("sig"))
+    vec = counted.select("tok", "n", context_vector([F.col(f"v{i}") for i in range(DIMENSIONS)]).alias("vec"))
+    return vec.withColumn("norm", context_norm(F.col("vec")))
 
 
-def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, lang: str) -> DataFrame:
-    """The ``k`` most frequent tokens after (or before) every token, as one bounded list per token.
+def micro_log(count: Column) -> Column:
+    """``ln(1 + count)`` in micro-units."""
+    return F.round(F.log1p(count.cast("double")) * float(MICRO)).cast("long")
+
+
+#: An entry of a fill list. ``src`` is 1 for a score alone, which adds to the same token's entry of the other side.
+ENTRY = "struct<tok:string,src:int,score:bigint,ok:boolean,w:bigint,cos:double>"
+
+
+def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, valid: Callable[[Column], Column]) -> DataFrame:
+    """The ``k`` most frequent tokens after (or before) every token, as one bounded list per token: ``(key, list, full)``.
 
     Spark cuts each map task to ``k`` rows per key before the shuffle (window group limit), so a token with
     millions of neighbours still sends few rows. ``ok`` is P9: whether the token may be a name at all; it is settled
-    here, once per list entry, instead of once per gap.
+    here, once per list entry, instead of once per gap. A list that is not ``full`` holds every neighbour.
     """
     key, fill = ("a", "b") if side == "after" else ("b", "a")
     first = Window.partitionBy(key).orderBy(F.desc("c"), fill)
     best = (
-        pairs.where(F.col(fill) != "")
+        pairs.where(valid(F.col(fill)).isNotNull())
         .withColumn("r", F.row_number().over(first))
         .where(F.col("r") <= k)
         .select(F.col(key).alias("key"), F.col(fill).alias("tok"), "c")
     )
-    with_sig = skew_join(best, words, ["tok"], "n", ["key"])
-    score = F.round(F.log1p(F.col("c").cast("double")) * float(MICRO)).cast("long")
-    lists = with_sig.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("tok", score.alias("score"), "sig", is_valid_name(F.col("tok"), lang).alias("ok")))).alias(side), F.sum("c").alias("n")
-    )
-    if side == "before":
-        scores = F.map_from_entries(F.transform("before", lambda x: F.struct(x["tok"], x["score"])))
-        lists = lists.withColumn("before_scores", scores)
-    return lists
+    known = split_join(stage(best, "best-neighbours"), words.select("tok", "vec", "norm", "w"), ["tok"])
+    entry = F.struct("tok", micro_log(F.col("c")).alias("score"), valid(F.col("tok")).alias("ok"), "w", "vec", "norm")
+    return known.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("list"), (F.count("*") >= k).alias("full"))
 
 
-def merge_sides(after: Column, before: Column, before_scores: Column, both: Column, extra: Column, k: int) -> Column:
-    """C1 in one row: fills of a gap, best first. The scores of both sides add up.
+def merge_sides(entries: Column, k: int) -> Column:
+    """C1 in one row: the fills of a gap, best first, from the entries of both sides, sorted by token.
 
-    A token of both lists finds its other score in ``before_scores``, a token of one list in ``extra``: the scores of
-    counted pairs that are too rare for the other list. ``both``, the few shared tokens, and the maps must be plain
-    columns: a lambda would rebuild an expression for every element.
+    A token has at most two entries; their scores add up. ``entries`` must be a plain column: a lambda would rebuild
+    an expression for every element.
     """
 
-    def ranked(x: Column, score: Column) -> Column:
-        return F.struct((-score).alias("neg"), x["tok"].alias("tok"), x["sig"].alias("sig"), x["ok"].alias("ok"))
-
-    def shared(x: Column) -> Column:
-        return F.array_contains(both, x["tok"])
-
-    def more(x: Column) -> Column:
-        return F.coalesce(F.try_element_at(extra, x["tok"]), F.lit(0))
-
-    def added(x: Column) -> Column:
-        return x["score"] + F.when(shared(x), F.try_element_at(before_scores, x["tok"])).otherwise(more(x))
-
-    from_after = F.transform(after, lambda x: ranked(x, added(x)))
-    only_before = F.transform(F.filter(before, lambda y: ~shared(y)), lambda y: ranked(y, y["score"] + more(y)))
-    return F.slice(F.sort_array(F.concat(from_after, only_before)), 1, k)
+    def near(i: Column, step: int, x: Column) -> Column:
+        return F.get(entries, i + step)
+
+    merged = F.transform(
+        entries,
+        lambda x, i: F.when(
+            (i == 0) | (near(i, -1, x)["tok"] != x["tok"]),
+            F.struct(
+                (-(x["score"] + F.when(near(i, 1, x)["tok"] == x["tok"], near(i, 1, x)["score"]).otherwise(F.lit(0)))).alias("neg"),
+                x["tok"].alias("tok"),
+                x["ok"].alias("ok"),
+                x["w"].alias("w"),
+                x["cos"].alias("cos"),
+            ),
+        ),
+    )
+    return F.slice(F.sort_array(F.filter(merged, lambda x: x.isNotNull())), 1, k)
 
 
-def by_similarity(fills: Column, sig: Column) -> Column:
+def by_similarity(fills: Column) -> Column:
     """Fills reordered by similarity to the original word; equal similarity keeps the fill order."""
     return F.sort_array(
         F.transform(
             fills,
-            lambda f, i: F.struct(
-                signature_distance(sig, f["sig"]).alias("dist"),
-                i.alias("idx"),
-                f["tok"].alias("cand"),
-                (-f["neg"]).alias("score"),
-                f["ok"].alias("ok"),
-            ),
+            lambda f, i: F.struct((-f["cos"]).alias("far"), i.alias("idx"), f["tok"].alias("cand"), (-f["neg"]).alias("score"), f["ok"].alias("ok"), f["w"].alias("w")),
         )
     )
 
@@ -123,7 +124,12 @@ def keep_half(similar: Column) -> Column:
 
 def keep_threshold(similar: Column, threshold: float, at_most: int) -> Column:
     """C4: similarity at or above the threshold, then the first ``at_most``. Empty stays empty."""
-    return F.slice(F.filter(similar, lambda s: signature_cosine(s["dist"]) >= threshold), 1, at_most)
+    return F.slice(F.filter(similar, lambda s: -s["far"] >= threshold), 1, at_most)
+
+
+def kept(similar: Column, threshold: float | None, at_most: int | None) -> Column:
+    """C3, or C4 if there is a threshold."""
+    return keep_half(similar) if threshold is None else keep_threshold(similar, threshold, at_most)
 
 
 def cut_scores(fills: Column, threshold: int) -> Column:
@@ -172,7 +178,8 @@ def contexts(lexed: DataFrame, lang: str, block_size: int) -> DataFrame:
 class FillModel:
     """Counts that stand in for a masked language model.
 
-    ``words(tok, n, sig)``, ``after(key, after, n)`` and ``before(key, before, n)`` are staged tables.
+    ``words(tok, n, vec, norm, w)``, ``after`` and ``before`` (``key, list, full``) are staged tables. The model of pieces has the same form
+    over the stream of sub-word pieces.
     """
 
     pairs: DataFrame
@@ -180,65 +187,114 @@ class FillModel:
     after: DataFrame
     before: DataFrame
     top_k: int = TOP_K
+    lang: str = "c"
+    weigh: Weigh | None = None
+    of_pieces: bool = False
+    _pieces: list["FillModel"] = field(default_factory=list, repr=False)
 
     @classmethod
-    def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c") -> "FillModel":
+    def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c", weigh: Weigh | None = None) -> "FillModel":
+        """``weigh`` attaches a scorer's weight to every word, so that candidates carry it from the start."""
         pairs = stage(bigrams(lexed), "bigrams")
-        words = stage(signatures(pairs), "words")
-        return cls._with_lists(pairs, words, top_k, lang)
+        return cls.over(pairs, context_words(pairs), top_k, lang, weigh)
 
     @classmethod
-    def _with_lists(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str) -> "FillModel":
-        after = stage(top_neighbours(pairs, words, top_k, "after", lang), "after")
-        before = stage(top_neighbours(pairs, words, top_k, "before", lang), "before")
-        return cls(pairs, words, after, before, top_k)
+    def over(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str, weigh: Weigh | None = None, of_pieces: bool = False) -> "FillModel":
+        words = stage(words, "words")
+        words = stage(weigh(words, "tok"), "words") if weigh else words.withColumn("w", F.lit(None).cast("long"))
+        return cls._with_lists(pairs, words, top_k, lang, weigh, of_pieces)
 
-    def resized(self, top_k: int, lang: str = "c") -> "FillModel":
-        """The same counts with another number of fills per gap."""
-        return self if top_k == self.top_k else self._with_lists(self.pairs, self.words, top_k, lang)
+    @classmethod
+    def _with_lists(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str, weigh: Weigh | None, of_pieces: bool) -> "FillModel":
+        def valid(tok: Column) -> Column:
+            """Null for what is no fill, true for a possible name."""
+            return F.when(tok.startswith(PIECE_MARK), F.lit(True)) if of_pieces else F.when(tok != "", is_valid_name(tok, lang))
 
-    def missing_scores(self, gaps: DataFrame) -> DataFrame:
-        """``(prev, next, extra map<tok, score>)``: for fills in one list only, the score of their pair on the other side.
+        after = stage(top_neighbours(pairs, words, top_k, "after", valid), "after")
+        before = stage(top_neighbours(pairs, words, top_k, "before", valid), "before")
+        return cls(pairs, words, after, before, top_k, lang, weigh, of_pieces)
 
-        An equi join of the distinct pairs (fill, next) and (prev, fill) with all counted pairs; most were never seen.
+    def resized(self, top_k: int) -> "FillModel":
+        """The same counts with another number of fills per gap."""
+        if top_k == self.top_k:
+            return self
+        out = self._with_lists(self.pairs, self.words, top_k, self.lang, self.weigh, self.of_pieces)
+        out._pieces += [p.resized(top_k) for p in self._pieces]
+        return out
+
+    @property
+    def piece_model(self) -> "FillModel":
+        """The model of pieces in the same texts, made when it is first wanted."""
+        if not self._pieces:
+            links = stage(piece_links(self.pairs, self.words), "piece-links")
+            pieces_only = context_words(links).where(F.col("tok").startswith(PIECE_MARK))
+            self._pieces.append(self.over(links, pieces_only, self.top_k, self.lang, of_pieces=True))
+        return self._pieces[0]
+
+    def missing_scores(self, ends: DataFrame) -> DataFrame:
+        """``(prev, next, extra)``: entries for fills that are in one full list only, with the score of their pair on the other side.
+
+        An equi join of the distinct pairs (fill, next) and (prev, fill) with all counted pairs. A list that is not full holds all
+        there is, so a fill that it lacks was never seen there, and is not looked up.
         """
-        ends = gaps.select("prev", "next").distinct()
-        after = self.after.select(F.col("key").alias("prev"), F.col("after.tok").alias("at"), F.col("n").alias("_n"))
-        before = self.before.select(F.col("key").alias("next"), F.col("before.tok").alias("bt"), F.col("n").alias("_n"))
+        toks = lambda table, key, out: table.select(F.col("key").alias(key), F.col("list.tok").alias(out), F.col("full").alias(f"{out}_full"))
         none = F.array().cast("array<string>")
-        lists = skew_join(skew_join(ends, after, ["prev"], "_n", ["next"]), before, ["next"], "_n", ["prev"])
-        lists = lists.select("prev", "next", F.coalesce("at", none).alias("at"), F.coalesce("bt", none).alias("bt"))
-        counted = self.pairs
-        behind = lists.select("prev", "next", F.explode(F.array_except("at", "bt")).alias("tok")).join(counted.withColumnsRenamed({"a": "tok", "b": "next"}), ["tok", "next"])
-        ahead = lists.select("prev", "next", F.explode(F.array_except("bt", "at")).alias("tok")).join(counted.withColumnsRenamed({"a": "prev", "b": "tok"}), ["prev", "tok"])
+        half = stage(split_join(ends, toks(self.after, "prev", "at"), ["prev"]), "ends")
+        lists = split_join(half, toks(self.before, "next", "bt"), ["next"])
+        lists = lists.withColumn("at", F.coalesce("at", none)).withColumn("bt", F.coalesce("bt", none))
+        lists = stage(lists.where("at_full OR bt_full"), "full-ends")
+        behind = lists.where("bt_full").select("prev", "next", F.explode(F.array_except("at", "bt")).alias("tok")).join(self.pairs.withColumnsRenamed({"a": "tok", "b": "next"}), ["tok", "next"])
+        ahead = lists.where("at_full").select("prev", "next", F.explode(F.array_except("bt", "at")).alias("tok")).join(self.pairs.withColumnsRenamed({"a": "prev", "b": "tok"}), ["prev", "tok"])
         found = behind.select("prev", "next", "tok", "c").unionByName(ahead.select("prev", "next", "tok", "c"))
-        score = F.round(F.log1p(F.col("c").cast("double")) * float(MICRO)).cast("long")
-        return found.groupBy("prev", "next").agg(F.map_from_entries(F.collect_list(F.struct(F.col("tok"), score.alias("score")))).alias("extra"))
+        entry = F.struct("tok", F.lit(1).alias("src"), micro_log(F.col("c")).alias("score"), F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("double").alias("cos"))
+        return found.groupBy("prev", "next").agg(F.collect_list(entry).cast(f"array<{ENTRY}>").alias("extra"))
+
+    def side(self, gaps: DataFrame, key: str, table: DataFrame) -> DataFrame:
+        """``(name, key, entries)``: the list of one side of a gap, with the exact cosine of every fill and the name.
+
+        Vectors meet here and go no further: a row brings the name's vector to the list of its neighbour, which holds those of
+        the fills. A name or fill that the corpus lacks has similarity 0.
+        """
+        vectors = self.words.select(F.col("tok").alias("name"), F.col("vec").alias("own"), F.col("norm").alias("own_norm"))
+        known = stage(split_join(stage(gaps.select("name", key).distinct(), f"names-{key}"), vectors, ["name"]), f"vectors-{key}")
+        both = split_join(known, table.select(F.col("key").alias(key), "list"), [key], "inner")
+        cos = lambda x: F.coalesce(whole_dot(F.col("own"), x["vec"]) / (F.col("own_norm") * x["norm"]), F.lit(0.0))
+        entries = F.transform("list", lambda x: F.struct(x["tok"], F.lit(0).alias("src"), x["score"], x["ok"], x["w"], cos(x).alias("cos")))
+        return both.select("name", key, entries.cast(f"array<{ENTRY}>").alias("entries"))
 
     def fills(self, gaps: DataFrame) -> DataFrame:
-        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``: the best ``top_k`` of the
+        """Distinct gaps ``(name, prev, next, n)`` with ``fills array<struct<neg, tok, ok, w, cos>>``: the best ``top_k`` of the
         ``top_k`` most frequent tokens on either side."""
-        spread = [c for c in gaps.columns if c in ("name", "prev", "next", "sample_id")]
-        out = skew_join(gaps, self.after.withColumnRenamed("key", "prev").withColumnRenamed("n", "_n"), ["prev"], "_n", spread)
-        out = skew_join(out, self.before.withColumnRenamed("key", "next").withColumnRenamed("n", "_n"), ["next"], "_n", spread)
-        none = F.array().cast("array<struct<tok:string,score:bigint,sig:bigint,ok:boolean>>")
-        no_map = F.create_map().cast("map<string,bigint>")
-        out = out.join(self.missing_scores(gaps), ["prev", "next"], "left")
-        out = out.select(
-            *gaps.columns,
-            F.coalesce("extra", no_map).alias("extra"),
-            F.coalesce("after", none).alias("after"),
-            F.coalesce("before", none).alias("before"),
-            F.coalesce("before_scores", no_map).alias("before_scores"),
-        ).withColumn("both", F.array_intersect(F.col("after.tok"), F.col("before.tok")))
-        merged = merge_sides(*[F.col(c) for c in ("after", "before", "before_scores", "both", "extra")], self.top_k)
-        return out.select(*gaps.columns, merged.alias("fills"))
+        gaps = stage(gaps, "distinct-gaps")
+        none = F.array().cast(f"array<{ENTRY}>")
+        extra = self.missing_scores(stage(gaps.select("prev", "next").distinct(), "ends"))
+        out = (
+            gaps.join(self.side(gaps, "prev", self.after).withColumnRenamed("entries", "e1"), ["name", "prev"], "left")
+            .join(self.side(gaps, "next", self.before).withColumnRenamed("entries", "e2"), ["name", "next"], "left")
+            .join(extra, ["prev", "next"], "left")
+        )
+        entries = F.sort_array(F.concat(*[F.coalesce(c, none) for c in ("e1", "e2", "extra")]))
+        return out.select(*gaps.columns, entries.alias("entries")).select(*gaps.columns, merge_sides(F.col("entries"), self.top_k).alias("fills"))
 
     def similar_fills(self, gaps: DataFrame) -> DataFrame:
-        """C1 + similarity order: gaps ``(name, prev, next, n)`` with ``similar``. A name the corpus lacks has signature 0."""
-        sigs = self.words.select(F.col("tok").alias("name"), "sig", F.col("n").alias("_n"))
-        with_sig = skew_join(self.fills(gaps), sigs, ["name"], "_n", ["prev", "next"])
-        return with_sig.withColumn("similar", by_similarity(F.col("fills"), F.coalesce("sig", F.lit(0)))).drop("fills", "sig")
+        """C1 + similarity order: gaps ``(name, prev, next, n)`` with ``similar``."""
+        return self.fills(gaps).withColumn("similar", by_similarity(F.col("fills"))).drop("fills")
+
+
+#: Keys of the stream of pieces: a piece inside a word, or a whole token on either side of it.
+PIECE_MARK, TOKEN_MARK = "P", "T"
+
+
+def piece_links(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Counts ``(a, b, c)`` of neighbours in the stream of pieces: inside words, and between a word's end pieces and the next tokens."""
+    mark = lambda m, c: F.concat(F.lit(m), c)
+    parts = words.select("n", pieces(F.col("tok")).alias("ps")).where(F.size("ps") > 1)
+    chain = F.arrays_zip(F.slice("ps", F.lit(1), F.size("ps") - 1).alias("a"), F.slice("ps", F.lit(2), F.size("ps") - 1).alias("b"))
+    inside = parts.select("n", F.explode(chain).alias("x")).select(mark(PIECE_MARK, F.col("x.a")).alias("a"), mark(PIECE_MARK, F.col("x.b")).alias("b"), F.col("n").alias("c"))
+    ends = pairs.withColumn("pa", pieces(F.col("a"))).withColumn("pb", pieces(F.col("b")))
+    left = ends.where(F.size("pb") > 0).select(mark(TOKEN_MARK, F.col("a")).alias("a"), mark(PIECE_MARK, F.get("pb", F.lit(0))).alias("b"), "c")
+    right = ends.where(F.size("pa") > 0).select(mark(PIECE_MARK, F.element_at("pa", -1)).alias("a"), mark(TOKEN_MARK, F.col("b")).alias("b"), "c")
+    return inside.unionByName(left).unionByName(right).groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def piece_pairs(words: DataFrame) -> DataFrame:
@@ -253,14 +309,6 @@ def piece_pairs(words: DataFrame) -> DataFrame:
     )
 
 
-def piece_options(pairs: DataFrame) -> DataFrame:
-    """The most frequent pieces after each piece: ``(p, options, n)``."""
-    best = Window.partitionBy("p").orderBy(F.desc("c"), "q")
-    top = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= MAX_OPTIONS)
-    lists = top.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("r", "q"))).alias("l"), F.sum("c").alias("n"))
-    return lists.select("p", F.transform("l", lambda x: x["q"]).alias("options"), "n")
-
-
 def beam(options: Column) -> Column:
     """Words built from the options of each position, at most 24 prefixes going into a level and out of the last."""
     start = F.transform(F.get(options, F.lit(0)), lambda o: F.array(o))
@@ -274,72 +322,111 @@ def beam(options: Column) -> Column:
     )
 
 
-def compose_words(names: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates of multi-piece names ``(name, cand_no, cand, nll, score)``.
+def piece_slots(gaps: DataFrame) -> DataFrame:
+    """A row for every piece of the names of distinct gaps: ``name, prev, next, i, size``, the piece, and its neighbours in the stream."""
+    parts = gaps.select("name", "prev", "next", pieces(F.col("name")).alias("ps")).where(F.size("ps") > 1)
+    rows = parts.select("name", "prev", "next", "ps", F.posexplode("ps").alias("i", "piece"))
+    inner = lambda step: F.concat(F.lit(PIECE_MARK), F.get("ps", F.col("i") + step))
+    return rows.select(
+        "name",
+        "prev",
+        "next",
+        "i",
+        F.size("ps").alias("size"),
+        F.concat(F.lit(PIECE_MARK), "piece").alias("piece"),
+        F.coalesce(F.when(F.col("i") > 0, inner(-1)), F.concat(F.lit(TOKEN_MARK), "prev")).alias("left"),
+        F.coalesce(inner(1), F.concat(F.lit(TOKEN_MARK), "next")).alias("right"),
+    )
+
+
+def cell(fills: Column, r: Column) -> Column:
+    return F.get(fills, F.least(r, F.size(fills) - 1))
+
+
+def piece_columns(slots: DataFrame, model: FillModel) -> DataFrame:
+    """``name, prev, next, cells, columns``: the fills of every piece, and the columns of fills in order of mean similarity.
+
+    Column r takes the r-th fill of every piece, or its last one; there are as many columns as the longest list has fills. Lists are as
+    long as a name has pieces times ``top_k``. A name with a piece without any fill has no columns.
+    """
+    distinct = slots.groupBy(F.col("piece").alias("name"), F.col("left").alias("prev"), F.col("right").alias("next")).agg(F.count("*").alias("n"))
+    slim = F.transform("fills", lambda f: F.struct(F.substring(f["tok"], F.lit(2), F.length(f["tok"])).alias("q"), f["cos"].alias("cos")))
+    lists = stage(model.fills(distinct).select(F.col("name").alias("piece"), F.col("prev").alias("left"), F.col("next").alias("right"), slim.alias("fills")), "piece-fills")
+    rows = split_join(slots, lists, ["piece", "left", "right"])
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("i", "fills"))), lambda x: x["fills"])
+    grouped = rows.groupBy("name", "prev", "next").agg(cells.alias("cells"))
+    sizes = F.transform("cells", lambda c: F.coalesce(F.size(c), F.lit(0)))
+    grouped = grouped.withColumn("sizes", sizes).where(F.array_min("sizes") > 0).withColumn("width", F.array_max("sizes"))
+
+    def column(r: Column) -> Column:
+        total = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + cell(c, r)["cos"])
+        return F.struct((-F.round(total / F.size("cells"), 9)).alias("far"), r.alias("r"))
+
+    columns = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("width") - 1), column))
+    return grouped.select("name", "prev", "next", "cells", columns.alias("columns"))
+
+
+def compose_words(gaps: DataFrame, model: FillModel, threshold: float | None = None, at_most: int | None = None) -> DataFrame:
+    """Candidates of the multi-piece names of distinct gaps: ``(name, prev, next, cand_no, cand, nll, score)``.
 
-    Works on distinct names only. A candidate's pieces are looked up by an equi join on (previous piece, piece);
+    Options of a position are the fills of its own gap in the stream of pieces, cut by similarity (C3 or C4) before they are
+    composed. A candidate's pieces are looked up once per distinct candidate by an equi join on (previous piece, piece);
     ``nll`` is the summed add-one smoothed negative log probability in micro-units, and its mean is the
     log-perplexity that orders candidates.
     """
-    pairs = stage(piece_pairs(words), "piece-pairs")
-    multi = names.select("name").distinct().withColumn("ps", pieces(F.col("name"))).where(F.size("ps") > 1)
-    slots = multi.select(
-        "name", F.posexplode(F.slice(F.concat(F.array(F.lit("")), "ps"), F.lit(1), F.least(F.size("ps"), F.lit(MAX_POSITIONS)))).alias("slot", "p")
-    )
-    filled = skew_join(slots, piece_options(pairs), ["p"], "n", ["name"], "inner")
-    options = filled.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("slot", "options"))).alias("o"))
-    built = options.select(
-        "name", F.posexplode(beam(F.transform("o", lambda x: x["options"]))).alias("cand_no", "parts")
-    )
+    found = piece_columns(stage(piece_slots(gaps), "piece-slots"), model.piece_model)
+    chosen = found.select("name", "prev", "next", "cells", F.slice(kept(F.col("columns"), threshold, at_most), 1, MAX_OPTIONS).alias("top")).where(F.size("top") > 0)
+    options = F.transform(F.slice("cells", 1, MAX_POSITIONS), lambda c: F.array_distinct(F.transform("top", lambda x: cell(c, x["r"])["q"])))
+    built = chosen.select("name", "prev", "next", options.alias("options")).select("name", "prev", "next", F.posexplode(beam(F.col("options"))).alias("cand_no", "parts"))
+    built = stage(built, "composed")
+    scored = piece_scores(built.select("parts").distinct(), stage(piece_pairs(model.words), "piece-pairs"))
+    return built.join(scored, "parts").select("name", "prev", "next", F.col("cand_no").cast("long").alias("cand_no"), F.array_join("parts", "").alias("cand"), "nll", "score")
+
+
+def piece_scores(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``parts, nll, score`` of distinct words given as arrays of pieces."""
     links = F.arrays_zip(F.concat(F.array(F.lit("")), "parts").alias("p"), F.col("parts").alias("q"))
-    steps = built.select("name", "cand_no", F.array_join("parts", "").alias("cand"), F.explode(links).alias("x")).where(
-        F.col("x.q").isNotNull()
-    )
-    steps = steps.select("name", "cand_no", "cand", F.col("x.p").alias("p"), F.col("x.q").alias("q"))
-    totals = pairs.groupBy("p").agg(F.sum("c").alias("t"), F.sum("c").alias("n"))
+    steps = stage(words.select("parts", F.explode(links).alias("x")).where(F.col("x.q").isNotNull()).select("parts", "x.p", "x.q"), "piece-steps")
+    totals = pairs.groupBy("p").agg(F.sum("c").alias("t"))
     v = pairs.agg(F.countDistinct("q")).scalar()
-    known = skew_join(steps, pairs.withColumn("n", F.col("c")), ["p", "q"], "n", ["name", "cand_no"])
-    known = skew_join(known, totals, ["p"], "n", ["name", "cand_no"])
-    nll = F.round(
-        -F.log((F.coalesce("c", F.lit(0)) + 1.0) / (F.coalesce("t", F.lit(0)) + v)) * float(MICRO)
-    ).cast("long")
-    scored = known.groupBy("name", "cand_no", "cand").agg(F.sum(nll).alias("nll"), F.count("*").alias("n_pieces"))
-    return scored.select(
-        "name", "cand_no", "cand", "nll", (-F.floor(F.col("nll") / F.col("n_pieces"))).cast("long").alias("score")
-    )
+    known = split_join(stage(split_join(steps, pairs, ["p", "q"]), "piece-counts"), totals, ["p"])
+    nll = F.round(-F.log((F.coalesce("c", F.lit(0)) + 1.0) / (F.coalesce("t", F.lit(0)) + v)) * float(MICRO)).cast("long")
+    return known.groupBy("parts").agg(F.sum(nll).alias("nll"), (-F.floor(F.sum(nll) / F.count("*"))).cast("long").alias("score"))
 
 
 GAP = ["name", "prev", "next"]
-KEPT = "array<struct<cand:string,score:bigint>>"
+KEPT = "array<struct<cand:string,score:bigint,w:bigint>>"
 
 
 def gap_candidates(gaps: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each gap of a sample takes the list of its distinct gap ``(name, prev, next, n, kept)``.
+    """Each gap of a sample takes the list of its distinct gap ``(name, prev, next, kept)``, which may be one of a large share of samples."""
+    return split_join(gaps, lists.select(*GAP, "kept"), GAP, "inner").select("sample_id", "name", "kept")
 
-    The same gap may occur in a large share of all samples, so the join is salted.
-    """
-    return skew_join(gaps, lists, GAP, "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
 
+def first_of_each(sorted_entries: Column) -> Column:
+    """The first entry of every candidate; ``sorted_entries`` is a plain column, sorted by candidate."""
+    return F.filter(sorted_entries, lambda x, i: (i == 0) | (F.get(sorted_entries, i - 1)["cand"] != x["cand"]))
 
-def merge_candidates(lists: DataFrame) -> DataFrame:
-    """The distinct candidates of a name over all its occurrences, with their best score.
 
-    One shuffle by sample; the lists are unpacked behind it, and grouping by (sample, name, cand) needs no other.
+def merge_candidates(lists: DataFrame, own_names: DataFrame | None = None) -> DataFrame:
+    """C7, and P11 with ``own_names``: ``(sample_id, name, cands)``, a row per name with its distinct candidates over all its
+    occurrences, best score first, then by word. ``cands array<struct<neg, cand, w>>`` holds at most window times ``top_k`` entries.
     """
-    rows = lists.repartition("sample_id").select("sample_id", "name", F.explode("kept").alias("k"))
-    return rows.groupBy("sample_id", "name", F.col("k.cand").alias("cand")).agg(F.max("k.score").alias("score"))
+    entries = F.flatten(F.collect_list(F.transform("kept", lambda k: F.struct(k["cand"].alias("cand"), (-k["score"]).alias("neg"), k["w"].alias("w")))))
+    rows = lists.groupBy("sample_id", "name").agg(F.sort_array(entries).alias("entries"))
+    rows = rows.select("sample_id", "name", first_of_each(F.col("entries")).alias("entries"))
+    if own_names is not None:
+        own = own_names.groupBy("sample_id").agg(F.collect_set("name").alias("own"))
+        rows = rows.join(own, "sample_id", "left").withColumn("struck", F.array_intersect(F.col("entries.cand"), F.coalesce("own", F.array().cast("array<string>"))))
+        rows = rows.select("sample_id", "name", F.filter("entries", lambda x: ~F.array_contains("struck", x["cand"])).alias("entries"))
+    ordered = F.sort_array(F.transform("entries", lambda x: F.struct(x["neg"].alias("neg"), x["cand"].alias("cand"), x["w"].alias("w"))))
+    return rows.select("sample_id", "name", ordered.alias("cands")).where(F.size("cands") > 0)
 
 
-def merge_foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
-    """C7 + P11 on the same partitioning: own names ride along as rows without a name and strike out their word."""
-    own = own_names.select(
-        "sample_id",
-        F.lit(None).cast("string").alias("name"),
-        F.array(F.struct(F.col("name").alias("cand"), F.lit(0).cast("long").alias("score"))).cast(KEPT).alias("kept"),
-    )
-    merged = merge_candidates(lists.unionByName(own))
-    is_own = F.max(F.col("name").isNull()).over(Window.partitionBy("sample_id", "cand"))
-    return merged.withColumn("own", is_own).where(~F.col("own")).drop("own")
+def candidate_rows(lists: DataFrame) -> DataFrame:
+    """``(sample_id, name, idx, cand, score, w_cand)``: the lists of ``merge_candidates`` as rows."""
+    rows = lists.select("sample_id", "name", F.posexplode("cands").alias("i", "c"))
+    return rows.select("sample_id", "name", (F.col("i") + 1).cast("long").alias("idx"), "c.cand", (-F.col("c.neg")).alias("score"), F.col("c.w").alias("w_cand"))
 
 
 def drop_own_names(candidates: DataFrame, own_names: DataFrame) -> DataFrame:
@@ -348,7 +435,7 @@ def drop_own_names(candidates: DataFrame, own_names: DataFrame) -> DataFrame:
     return candidates.join(own, ["sample_id", "cand"], "left_anti")
 
 
-def search_space(
+def search_lists(
     lexed: DataFrame,
     own_names: DataFrame,
     model: FillModel,
@@ -359,42 +446,32 @@ def search_space(
     score_cut: int = 0,
     compose: bool = True,
 ) -> DataFrame:
-    """``(sample_id, name, idx, cand, score)`` for every valid name in the window that has a substitute.
+    """``(sample_id, name, cands)`` for every valid name in the window that has a substitute, ordered by score, then by word.
 
-    Fills are looked up once per distinct gap, cut to the better half (or by threshold), joined back to the
-    samples and merged per name (C7). Multi-piece names are composed instead. Invalid words (P9) and the
-    sample's own names (P11) are removed; the rest is ordered by score, then by word.
+    Fills are looked up once per distinct gap and cut to the better half (or by threshold); names of several pieces are composed
+    from the fills of their pieces, under the same cuts. Lists are joined back to the samples and merged per name (C7). Invalid
+    words (P9) and the sample's own names (P11) are removed. The score cut (P13) is for single-piece names.
     """
-    gaps = contexts(lexed, lang, block_size)
-    single = gaps.where(F.size(pieces(F.col("name"))) == 1)
-    distinct = stage(single.groupBy(*GAP).agg(F.count("*").alias("n")), "gaps")
-    similar = F.col("similar")
-    kept = keep_half(similar) if similarity_threshold is None else keep_threshold(similar, similarity_threshold, at_most)
-    valid = F.filter(cut_scores(kept, score_cut), lambda s: s["ok"])
-    slim = F.transform(valid, lambda s: F.struct(s["cand"].alias("cand"), s["score"].alias("score")))
-    lists = stage(model.similar_fills(distinct).select(*GAP, "n", slim.alias("kept")), "gap-fills")
-    found = gap_candidates(single, lists)
+    gaps = stage(contexts(lexed, lang, block_size), "sample-gaps")
+    several = F.size(pieces(F.col("name"))) > 1
+    distinct = gaps.where(~several).groupBy(*GAP).agg(F.count("*").alias("n"))
+    cut = cut_scores(kept(F.col("similar"), similarity_threshold, at_most), score_cut)
+    slim = F.transform(F.filter(cut, lambda s: s["ok"]), lambda s: F.struct(s["cand"].alias("cand"), s["score"].alias("score"), s["w"].alias("w")))
+    lists = stage(model.similar_fills(distinct).select(*GAP, slim.cast(KEPT).alias("kept")), "gap-fills")
+    found = gap_candidates(gaps.where(~several), lists)
     if compose:
-        multi = gaps.where(F.size(pieces(F.col("name"))) > 1).select("sample_id", "name").distinct()
-        composed = compose_words(multi, model.words).where(is_valid_name(F.col("cand"), lang))
-        composed = composed.groupBy("name").agg(F.collect_list(F.struct("cand", "score")).cast(KEPT).alias("kept"))
-        lists = composed.join(multi.groupBy("name").agg(F.count("*").alias("n")), "name")
-        found = found.unionByName(
-            skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
-        )
-    order = Window.partitionBy("sample_id", "name").orderBy(F.desc("score"), "cand")
-    return (
-        merge_foreign_candidates(found, own_names)
-        .withColumn("idx", F.row_number().over(order).cast("long"))
-        .select("sample_id", "name", "idx", "cand", "score")
-    )
+        multi = gaps.where(several)
+        composed = compose_words(multi.select(*GAP).distinct(), model, similarity_threshold, at_most).where(is_valid_name(F.col("cand"), lang))
+        composed = stage(composed, "composed-valid")
+        composed = model.weigh(composed, "cand") if model.weigh else composed.withColumn("w", F.lit(None).cast("long"))
+        lists = stage(composed.groupBy(*GAP).agg(F.collect_list(F.struct("cand", "score", "w")).cast(KEPT).alias("kept")), "composed-lists")
+        found = found.unionByName(gap_candidates(multi, lists))
+    return merge_candidates(found, own_names)
 
 
 def space_map(candidates: DataFrame) -> DataFrame:
     """The search space as one map per sample."""
-    per_name = candidates.groupBy("sample_id", "name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("idx", "cand"))), lambda x: x["cand"]).alias("cands")
-    )
+    per_name = candidates.select("sample_id", "name", F.col("cands.cand").alias("cands"))
     return per_name.groupBy("sample_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "cands")))).alias("search_space")
     )

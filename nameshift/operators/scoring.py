@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nameshift.operators.skew import skew_join
+from nameshift.operators.skew import split_join
 from nameshift.operators.tokens import token_rows
 from nameshift.session import stage
 
@@ -146,12 +146,10 @@ class LinearScorer:
     def unseen_weight(self) -> Column:
         return F.coalesce(self.unseen.scalar(), F.lit(0).cast("long"))
 
-    def weigh_rows(self, df: DataFrame, token: str, spread: list[str], out: str = "w") -> DataFrame:
+    def weigh_rows(self, df: DataFrame, token: str, out: str = "w") -> DataFrame:
         """Attach the weight of ``df[token]``."""
-        table = self.weights.select(F.col("tok").alias(token), F.col("w").alias(out), F.col("n").alias("_n"))
-        return skew_join(df, table, [token], "_n", spread).withColumn(
-            out, F.coalesce(F.col(out), self.unseen_weight())
-        )
+        table = self.weights.select(F.col("tok").alias(token), F.col("w").alias(out))
+        return split_join(df, table, [token]).withColumn(out, F.coalesce(F.col(out), self.unseen_weight()))
 
     def score(self, df: DataFrame) -> DataFrame:
         """General form: score rows that carry their whole token array."""
@@ -163,7 +161,7 @@ class LinearScorer:
             .agg(F.count("*").alias("k"))
         )
         totals = (
-            self.weigh_rows(counted, "tok", ["_row"])
+            self.weigh_rows(stage(counted, "counted"), "tok")
             .groupBy("_row")
             .agg(F.sum(F.col("k") * F.col("w")).alias("_total"), F.sum("k").alias("_n"))
         )

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.names import identifiers, is_valid_name
-from nameshift.operators.candidates import TOP_K, FillModel, search_space
+from nameshift.operators.candidates import TOP_K, FillModel, candidate_rows, search_lists
 from nameshift.operators.importance import occurrence_importance
 from nameshift.operators.scoring import BLOCK_SIZE, LinearScorer, margin, predicted, prob_of, sigmoid
-from nameshift.operators.search import flips
+from nameshift.operators.search import flips, moves, ranked_names
 from nameshift.operators.tokens import with_tokens
 from nameshift.session import stage
 
@@ -41,7 +41,7 @@ def weighted_terms(lexed: DataFrame, scorer: LinearScorer) -> DataFrame:
     )
     by_sample = Window.partitionBy("sample_id")
     return (
-        scorer.weigh_rows(counted, "tok", ["sample_id"])
+        scorer.weigh_rows(stage(counted, "counted-terms"), "tok")
         .withColumn("total", F.sum(F.col("n_win") * F.col("w")).over(by_sample))
         .withColumn("enter_w", F.coalesce(F.max(F.when(F.col("enters"), F.col("w"))).over(by_sample), F.lit(0)))
         .withColumn("n", F.least("n_tokens", F.lit(block).cast("long")))
@@ -87,7 +87,7 @@ class AttackInputs:
         texts, which waits until candidates are wanted."""
         train = samples if train is None else train
         scorer = LinearScorer.train(with_tokens(train, lang=lang), block_size, smoothing)
-        return cls(samples, scorer, lambda: FillModel.train(with_tokens(fill_corpus, lang=lang), top_k, lang), lang, names_mode)
+        return cls(samples, scorer, lambda: FillModel.train(with_tokens(fill_corpus, lang=lang), top_k, lang, scorer.weigh_rows), lang, names_mode)
 
     @cached_property
     def fills(self) -> FillModel:
@@ -108,7 +108,7 @@ class AttackInputs:
 
     @cached_property
     def lexed(self) -> DataFrame:
-        return with_tokens(self.samples, lang=self.lang).select("sample_id", "label", "tokens")
+        return stage(with_tokens(self.samples, lang=self.lang).select("sample_id", "label", "tokens").repartition("sample_id"), "lexed")
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -146,21 +146,22 @@ class AttackInputs:
         """P5 on tokens."""
         return self.lexed.join(gate(self.predictions).select("sample_id"), "sample_id", "left_semi")
 
-    def space(self, top_k: int | None = None, **limits) -> DataFrame:
-        """C8 with the scorer's weight of each candidate; ``top_k`` fills per gap, by default those of the model."""
+    def space_lists(self, top_k: int | None = None, **limits) -> DataFrame:
+        """C8 as one row per name with its ordered candidates; ``top_k`` fills per gap, by default those of the model."""
         key = (top_k, *sorted(limits.items()))
         if key not in self._spaces:
-            model = self.fills if top_k is None else self.fills.resized(top_k, self.lang)
+            model = self.fills if top_k is None else self.fills.resized(top_k)
             words = self.lexed.select("sample_id", F.explode(identifiers(F.col("tokens"), self.lang)).alias("name"))
             own = self.names.select("sample_id", "name") if self.names_mode == "all" else words
-            found = search_space(self.attackable, own, model, self.lang, self.block, **limits)
+            found = search_lists(self.attackable, own, model, self.lang, self.block, **limits)
             if self.names_mode != "all":
                 found = found.join(self.names.select("sample_id", "name"), ["sample_id", "name"], "left_semi")
-            self._spaces[key] = stage(self.prepare_space(found), "space")
+            self._spaces[key] = stage(found, "space")
         return self._spaces[key]
 
-    def prepare_space(self, found: DataFrame) -> DataFrame:
-        return self.scorer.weigh_rows(found, "cand", ["sample_id", "name"], "w_cand")
+    def space(self, top_k: int | None = None, **limits) -> DataFrame:
+        """The candidates as rows ``sample_id, name, idx, cand, score, w_cand`` (the scorer's weight)."""
+        return candidate_rows(self.space_lists(top_k, **limits))
 
     @cached_property
     def _spaces(self) -> dict:
@@ -210,6 +211,23 @@ class AttackInputs:
         )
         return ranked(rows)
 
+    def name_lists(self, lists: DataFrame, importance: str | None) -> DataFrame:
+        """Ranked names with all their renames as ``moves``: the search rows without a row per candidate."""
+        rows = lists.join(self.name_rows(importance), ["sample_id", "name"])
+        return ranked_names(rows.withColumn("moves", moves(F.col("cands"), F.col("label"), F.col("n_win"), F.col("w"))).drop("cands"))
+
+    def proposal_names(self) -> tuple[DataFrame, Callable[[Column], Column]]:
+        """Names in text order with their candidates, and what turns a drawn candidate into struct<cand, delta, flips, prob>."""
+        rows = ranked_names(self.space_lists().join(self.name_rows(None), ["sample_id", "name"]))
+        sign = F.when(F.col("label") == 1, F.lit(1)).otherwise(F.lit(-1))
+
+        def move(c: Column) -> Column:
+            delta = sign * F.col("n_win") * (c["w"] - F.col("w"))
+            changed = F.col("margin") + delta
+            return F.struct(c["cand"].alias("cand"), delta.alias("delta"), flips(F.col("label"), changed).alias("flips"), sigmoid(margin(changed, F.col("n"))).alias("prob"))
+
+        return rows, move
+
     def plain_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
         """Search rows for strategies that score no more than their budget; weights are at hand, so all are scored."""
         return self.search_rows(space, importance)
