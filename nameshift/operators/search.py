@@ -71,48 +71,3 @@ def first_flip(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("so_far", F.col("margin") + earlier)
     hit = flips(F.col("label"), F.col("so_far") + F.col("delta"))
     return rows.withColumn("flip", F.min(F.when(hit, F.struct("rank", "idx", "name", "cand"))).over(by_sample()))
-
-
-# The same on one row per name with its candidates as an array ``moves<struct<delta, idx, cand>>``; nothing is exploded.
-
-
-def ranked_names(rows: DataFrame) -> DataFrame:
-    """I5 on name rows."""
-    by_importance = Window.partitionBy("sample_id").orderBy(F.desc("importance"), "first_pos")
-    return rows.withColumn("rank", F.row_number().over(by_importance).cast("long"))
-
-
-def moves(cands: Column, label: Column, n_win: Column, w: Column) -> Column:
-    """The candidates of a name with the signed effect of each rename and its place."""
-    sign = F.when(label == 1, F.lit(1)).otherwise(F.lit(-1))
-    return F.transform(cands, lambda c, i: F.struct((sign * n_win * (c["w"] - w)).alias("delta"), (i + 1).cast("long").alias("idx"), c["cand"].alias("cand")))
-
-
-def budget_of_names(rows: DataFrame, max_iter: int | None) -> DataFrame:
-    """G4 by sums of list sizes over the earlier names; ``moves`` is cut to what is queried before the budget ends."""
-    m = F.size("moves").cast("long")
-    before = F.col("q0") + F.coalesce(F.sum(m).over(earlier_ranks()), F.lit(0))
-    sized = rows.withColumn("before", before)
-    if max_iter is None:
-        return sized.withColumn("used", F.col("before")).withColumn("evaluated", m).drop("before")
-    past = F.col("before") >= max_iter
-    sized = sized.withColumn("first_past", F.min(F.when(past, F.col("rank"))).over(by_sample()))
-    used = F.when(past, F.greatest("q0", F.lit(max_iter)) + F.col("rank") - F.col("first_past")).otherwise(F.col("before"))
-    evaluated = F.when(past, F.lit(1)).otherwise(F.least(m, F.lit(max_iter) - F.col("before"))).cast("long")
-    cut = sized.withColumn("used", used).withColumn("evaluated", evaluated)
-    return cut.withColumn("moves", F.slice("moves", F.lit(1), F.col("evaluated").cast("int"))).drop("before", "first_past")
-
-
-def best_of_names(rows: DataFrame) -> DataFrame:
-    """The largest drop of each list, first on a tie, null if nothing drops."""
-    best = F.array_min("moves")
-    return rows.withColumn("best", best).withColumn("best", F.when(F.col("best.delta") < 0, F.col("best")))
-
-
-def first_flip_of_names(rows: DataFrame) -> DataFrame:
-    """The first move that flips the label on top of the best renames of all earlier names."""
-    earlier = F.coalesce(F.sum(F.coalesce("best.delta", F.lit(0))).over(earlier_ranks()), F.lit(0))
-    rows = rows.withColumn("so_far", F.col("margin") + earlier)
-    hit = F.get(F.filter("moves", lambda x: flips(F.col("label"), F.col("so_far") + x["delta"])), F.lit(0))
-    own = F.when(hit.isNotNull(), F.struct("rank", hit["idx"].alias("idx"), "name", hit["cand"].alias("cand")))
-    return rows.withColumn("own_flip", own).withColumn("flip", F.min("own_flip").over(by_sample())).drop("own_flip")

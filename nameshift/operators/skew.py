@@ -1,31 +1,38 @@
-"""Joins whose keys may be hot on the left: a third of all left rows may share one."""
+"""Joins against per-key tables whose hot keys may hold a large share of the left rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameshift.session import stage
-
-#: A key is hot from this share of the left rows on, so there are at most so many of them.
 HOT_SHARE = 1000
-
-
-def hot_keys(left: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``1/share`` of the rows of ``left``: at most ``share`` rows. Counts are taken before the shuffle."""
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = left.agg(F.count("*")).scalar()
-    return stage(counts.where(F.col("_n") * share >= total).select(*keys), "hot-keys")
-
-
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = HOT_SHARE) -> DataFrame:
-    """Join ``left`` to ``right`` (one row per key); rows of hot keys stay where they are, the rest is shuffled.
-
-    What is broadcast are the hot keys and their right rows, at most ``share`` of each whatever the size of the tables. Hotness is
-    counted on the left, where it matters. ``left`` is read three times, so it should be a staged table or cheap.
+SALTS = 32
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    weight: str,
+    spread: list[str],
+    how: str = "left",
+    salts: int = SALTS,
+    share: int = HOT_SHARE,
+) -> DataFrame:
+    """Join ``left`` to ``right`` (one row per key) with hot keys split over ``salts`` tasks.
+
+    ``right[weight]`` says how often a key occurs. A key is hot when it holds at least ``1/share`` of the
+    total weight, so there are at most ``share`` of them: that bound is what makes broadcasting the hot list
+    safe and limits the copies on the right to ``share * salts``. Left rows of a hot key are dealt to salts by
+    the hash of ``spread``. All other rows take the plain shuffle join, which Catalyst turns into a broadcast
+    join by itself when ``right`` is small enough.
     """
-    hot = F.broadcast(hot_keys(left, keys, share))
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
-    in_place = left.join(hot, keys, "left_semi").join(few, keys, how)
-    rest = left.join(hot, keys, "left_anti").join(right, keys, how)
-    return in_place.unionByName(rest)
+    total = right.agg(F.sum(weight)).scalar()
+    is_hot = F.col(weight) * share >= total
+    hot = right.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    )
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(copies)).drop(weight)
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_hot", "_salt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from nameshift.functions.names import TYPE_WORDS
 from nameshift.functions.reserved import RESERVED, reserved_words
+from nameshift.oracles import context_tables  # noqa: F401  (adds its tables)
 from nameshift.oracles.tables import (
     BLANK,
     COMMENT,
@@ -113,6 +114,10 @@ def composed_query(out: str) -> str:
     return f"SELECT name, prev, next, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY nll, cand_no)) AS digest, min(nll) AS best_nll FROM {out}_composed GROUP BY name, prev, next"
 
 
+def space_query(space: str) -> str:
+    return f"SELECT sample_id, name, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY idx)) AS digest FROM {space} GROUP BY sample_id, name"
+
+
 def genes_query(prefix: str) -> str:
     pairs = "list_sort(list_transform(list_filter(map_values(genes), lambda g: g.name <> g.cand), lambda g: g.name || '>' || g.cand))"
     return f"SELECT sample_id, array_to_string({pairs}, ' ') AS child, change FROM {prefix}_child1"
@@ -207,11 +212,13 @@ STATEMENTS = {
     "cosine_pairs": "SELECT occurrence, count(*) AS n, round(avg(sim), 6) AS mean_sim FROM vec_pairs GROUP BY occurrence",
     "similar_top_half": "SELECT occurrence, vec_id, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY occurrence ORDER BY sim DESC, vec_id) AS r, count(*) OVER (PARTITION BY occurrence) AS k FROM vec_pairs) WHERE r <= floor(k / 2)",
     "similar_threshold_topn": "SELECT occurrence, vec_id, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY occurrence ORDER BY sim DESC, vec_id) AS r FROM vec_pairs WHERE sim >= 0) WHERE r <= 3",
-    "compose_beam": composed_query("joined"),
-    "compose_threshold": composed_query("strict"),
+    "compose_beam": "SELECT name, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY nll, cand_no)) AS digest, min(nll) AS best_nll FROM all_composed GROUP BY name",
+    "compose_context": composed_query("joined"),
+    "compose_context_threshold": composed_query("strict"),
+    "search_space_exact": space_query("exact_space"),
+    "search_space_exact_near": space_query("exact_near_space"),
     "candidate_union": "SELECT sample_id, name, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY score DESC, cand)) AS digest FROM conv_union GROUP BY sample_id, name",
     "search_space": "SELECT sample_id, name, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY idx)) AS digest FROM space GROUP BY sample_id, name",
-    "search_space_near": "SELECT sample_id, name, count(*) AS n_cands, md5(string_agg(cand, ' ' ORDER BY idx)) AS digest FROM near_space GROUP BY sample_id, name",
     "importance_unk": occurrence_query("unk"),
     "importance_mask": occurrence_query("unk"),
     "importance_delete": occurrence_query("delete"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -66,8 +65,8 @@ class ModelInputs(AttackInputs):
         )
         return stage(self.declared_only(found), "names")
 
-    def space(self, top_k: int | None = None, **limits) -> DataFrame:
-        return super().space(top_k, **limits).drop("w_cand")
+    def prepare_space(self, found: DataFrame) -> DataFrame:
+        return found
 
     @cached_property
     def _gated(self) -> DataFrame:
@@ -94,12 +93,6 @@ class ModelInputs(AttackInputs):
         scores = self.occurrence_scores(importance).groupBy("sample_id", "name")
         return names.join(scores.agg(F.round(F.sum("score"), 9).alias("importance")), ["sample_id", "name"])
 
-    def proposal_names(self) -> tuple[DataFrame, Callable[[Column], Column]]:
-        """All candidates of all names are scored, once each."""
-        rows = self.search_rows(self.space(), None)
-        cands = F.sort_array(F.collect_list(F.struct("idx", "cand", "delta", F.col("flips_alone").alias("flips"), "prob")))
-        return rows.groupBy("sample_id", "label", "margin", "n", "rank", "name").agg(cands.alias("cands")), lambda c: c.dropFields("idx")
-
     def plain_rows(self, space: DataFrame, importance: str | None) -> DataFrame:
         """Ranked candidates without a score: only the names' importance has asked the model."""
         rows = ranked(space.join(self.name_rows(importance), ["sample_id", "name"]))

@@ -12,7 +12,7 @@ from nameshift.functions.names import filter_valid_names, identifiers, is_uid, i
 from nameshift.functions.reserved import reserved_table
 from nameshift.functions.similarity import cosine
 from nameshift.operators import candidates as cand_ops
-from nameshift.operators import dataflow, genetic, importance, search, variants
+from nameshift.operators import context_fills, dataflow, genetic, importance, search, variants
 from nameshift.operators import tokens as token_ops
 from nameshift.operators.proposals import proposals
 from nameshift.operators.scoring import class_counts, label_prob, margin, prob_of, score_distinct, sigmoid, weigh, with_prediction
@@ -33,7 +33,8 @@ CUT = 3_000_000
 
 _prepared: dict[tuple[str, str], AttackInputs] = {}
 _matrix: dict[tuple[str, str], DataFrame] = {}
-_joined: dict[tuple[str, str], tuple[cand_ops.FillModel, DataFrame]] = {}
+_joined: dict[tuple[str, str], tuple[context_fills.ContextFillModel, DataFrame]] = {}
+_exact: dict[tuple[str, str], context_fills.ContextFillModel] = {}
 
 
 def prepared(spark: SparkSession, folder: str) -> AttackInputs:
@@ -149,7 +150,7 @@ def attack_gate(spark, folder):
 
 def outcome_notes(spark, folder):
     inputs = prepared(spark, folder)
-    found = inputs.space_lists().groupBy("sample_id").agg(F.sum(F.size("cands")).alias("n_subst"))
+    found = inputs.space().groupBy("sample_id").agg(F.count("*").alias("n_subst"))
     rows = inputs.predictions.join(inputs.name_counts(), "sample_id", "left").join(found, "sample_id", "left")
     zero = F.lit(0).cast("long")
     note = outcome_note(F.col("predict_label") != F.col("label"), F.coalesce("n_names", zero), F.coalesce("n_subst", zero))
@@ -448,19 +449,20 @@ def fill_score_cut(spark, folder):
 def _conversation_union(spark, folder):
     gaps, distinct = _conversation_gaps(spark, folder)
     similar = prepared(spark, folder).fills.similar_fills(distinct)
-    kept = F.transform(cand_ops.keep_half(F.col("similar")), lambda s: F.struct(s["cand"], s["score"], s["w"]))
-    lists = stage(similar.select("name", "prev", "next", kept.cast(cand_ops.KEPT).alias("kept")), "conversation-fills")
-    return cand_ops.merge_candidates(cand_ops.gap_candidates(stage(gaps, "conversation-gaps"), lists))
+    kept = F.transform(cand_ops.keep_half(F.col("similar")), lambda s: F.struct(s["cand"], s["score"]))
+    lists = similar.select("name", "prev", "next", "n", kept.cast(cand_ops.KEPT).alias("kept"))
+    return cand_ops.merge_candidates(cand_ops.gap_candidates(gaps, stage(lists, "conversation-fills")))
 
 
 def candidate_union(spark, folder):
-    union = _conversation_union(spark, folder)
-    return union.select("sample_id", "name", size("cands").alias("n_cands"), digest(F.col("cands.cand")).alias("digest"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "cand")))
+    union = _conversation_union(spark, folder).groupBy("sample_id", "name").agg(ordered.alias("l"))
+    return union.select("sample_id", "name", size("l").alias("n_cands"), digest(F.col("l.cand")).alias("digest"))
 
 
 def candidate_not_own(spark, folder):
     own = _names_of(lexed_conversations(spark, folder))
-    foreign = cand_ops.drop_own_names(cand_ops.candidate_rows(_conversation_union(spark, folder)), own)
+    foreign = cand_ops.drop_own_names(_conversation_union(spark, folder), own)
     return foreign.groupBy("sample_id", "name").agg(F.count("*").alias("n_cands"))
 
 
@@ -489,6 +491,23 @@ def similar_threshold_topn(spark, folder):
     return kept.select("occurrence", "vec_id", F.col("r").cast("long").alias("r"), "sim")
 
 
+def compose_beam(spark, folder):
+    model = prepared(spark, folder).fills
+    names = model.words.where(is_valid_name(F.col("tok"), LANG)).select(F.col("tok").alias("name"))
+    rows = cand_ops.compose_words(names, model.words)
+    listed = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("nll", "cand_no", "cand"))).alias("l"))
+    return listed.select("name", size("l").alias("n_cands"), digest(F.col("l.cand")).alias("digest"), F.get("l.nll", F.lit(0)).alias("best_nll"))
+
+
+def search_space(spark, folder):
+    space = prepared(spark, folder).space()
+    listed = space.groupBy("sample_id", "name").agg(F.sort_array(F.collect_list(F.struct("idx", "cand"))).alias("l"))
+    return listed.select("sample_id", "name", size("l").alias("n_cands"), digest(F.col("l.cand")).alias("digest"))
+
+
+# Candidates in context
+
+
 def _joined_gaps(spark, folder):
     """Documents whose neighbouring small words are joined in pairs, as names are in programs; a fill model of them, and the gaps of all names."""
     key = (spark.sparkContext.applicationId, folder)
@@ -496,29 +515,34 @@ def _joined_gaps(spark, folder):
         code = F.regexp_replace("code", r"(\p{Ll}+) (\p{Ll}+)", "$1_$2")
         lexed = stage(token_ops.with_tokens(documents(spark, folder).withColumn("code", code)).select("sample_id", "tokens"), "joined-words")
         gaps = stage(cand_ops.contexts(lexed, LANG, 510).select(*cand_ops.GAP).distinct(), "joined-gaps")
-        _joined[key] = cand_ops.FillModel.train(lexed, lang=LANG), gaps
+        _joined[key] = context_fills.ContextFillModel.train(lexed, lang=LANG), gaps
     return _joined[key]
 
 
 def _compose(threshold=None, at_most=None):
     def query(spark, folder):
         model, gaps = _joined_gaps(spark, folder)
-        rows = cand_ops.compose_words(gaps, model, threshold, at_most)
+        rows = context_fills.compose_words(gaps, model, threshold, at_most)
         listed = rows.groupBy(*cand_ops.GAP).agg(F.sort_array(F.collect_list(F.struct("nll", "cand_no", "cand"))).alias("l"))
         return listed.select(*cand_ops.GAP, size("l").alias("n_cands"), digest(F.col("l.cand")).alias("digest"), F.get("l.nll", F.lit(0)).alias("best_nll"))
 
     return query
 
 
-def search_space(spark, folder):
-    space = prepared(spark, folder).space_lists()
-    return space.select("sample_id", "name", size("cands").alias("n_cands"), digest(F.col("cands.cand")).alias("digest"))
+def _exact_space(top_k=None, **limits):
+    """C8 by exact similarity and with names composed in context; a list per name."""
 
+    def query(spark, folder):
+        inputs = prepared(spark, folder)
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _exact:
+            _exact[key] = context_fills.ContextFillModel.train(lexed_documents(spark, folder), lang=LANG)
+        model = _exact[key] if top_k is None else _exact[key].resized(top_k)
+        own = inputs.names.select("sample_id", "name")
+        lists = context_fills.search_lists(inputs.attackable, own, model, LANG, inputs.block, **limits)
+        return lists.select("sample_id", "name", size("cands").alias("n_cands"), digest(F.col("cands.cand")).alias("digest"))
 
-def search_space_near(spark, folder):
-    """C8 with a similarity threshold and a bound on the fills of an occurrence."""
-    space = FoolerAttack().space(prepared(spark, folder))
-    return space.select("sample_id", "name", size("cands").alias("n_cands"), digest(F.col("cands.cand")).alias("digest"))
+    return query
 
 
 # Importance
@@ -679,8 +703,7 @@ def ga_replace(spark, folder):
 
 def mhm_proposals(spark, folder):
     inputs = prepared(spark, folder)
-    names, move = inputs.proposal_names()
-    rows = proposals(names, 100, 30, SEED, move)
+    rows = proposals(inputs.search_rows(inputs.space(), None), 100, 30, SEED)
     return rows.select("sample_id", F.col("iteration").cast("long").alias("iteration"), "name", size("proposed").alias("n_proposed"), digest(F.col("proposed.cand")).alias("digest"))
 
 
@@ -779,11 +802,13 @@ QUERIES = {
     "cosine_pairs": cosine_pairs,
     "similar_top_half": similar_top_half,
     "similar_threshold_topn": similar_threshold_topn,
-    "compose_beam": _compose(),
-    "compose_threshold": _compose(0.2, 6),
+    "compose_beam": compose_beam,
+    "compose_context": _compose(),
+    "compose_context_threshold": _compose(0.2, 6),
+    "search_space_exact": _exact_space(),
+    "search_space_exact_near": _exact_space(150, similarity_threshold=0.7, at_most=50),
     "candidate_union": candidate_union,
     "search_space": search_space,
-    "search_space_near": search_space_near,
     "importance_unk": _importance("unk"),
     "importance_delete": _importance("delete"),
     "importance_mask": _importance("mask"),
