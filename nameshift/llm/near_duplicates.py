@@ -10,6 +10,8 @@ bucket of a shared key, members are compared with the one that has the smallest
 copies, what they were copied from), and linked members form components. What is left are the members of buckets that hold
 several components. Of these, pairs from different components are compared that share one of their rarest shingles at a place
 that still allows a link (prefix and position filter): this finds all links among them without going through a group's pairs.
+A shingle that leaves its holder too little room even for its smallest possible partner is not sent, and holders in a shingle's
+most frequent component don't meet each other, so a template's documents just below the threshold give no rows to meet.
 Candidates are confirmed on the whole sets. A pair at the threshold 0.85 shares no bucket with probability
 2 * (1 - 0.85**3)**16, that is 5e-7 (2e-5 at 0.8), and differs too much in its sketch with probability 3e-7.
 
@@ -24,6 +26,7 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -178,12 +181,19 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return centre.alias("x").join(members.alias("y"), meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``nodes`` from different components that may be linked.
+def size_band(percent: int) -> Column:
+    """Sizes in bands as wide as the threshold: a linked pair lies in one band or in two that adjoin."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1.000001 * math.log(100 / percent), 1e-6)))
+
+
+def prefix_rows(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``shingle``, what ``similar`` compares, ``room`` and ``main`` of the prefix shingles that a link may start with.
 
     A node's shingles are ordered by how many nodes have them. Of n shingles, n - ceil(t * n) + 1 stand in its prefix: linked
     nodes share one there. The first shared one leaves room for all the others behind it on either side, or there is no link.
-    Shingles that only one node has come first and are not sent.
+    Shingles that only one node has come first and are not sent. A row goes if its room is too small even for the smallest
+    holder of its shingle in reach of its size, or if all holders are of its own component. ``main`` marks the rows of the
+    component that has most of a shingle's holders: they need not meet each other.
     """
     each = sets.select(F.col("doc_id").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     common = shared_counts(each)
@@ -193,10 +203,26 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = ordered.join(nodes, "node").withColumn("alone", alone).withColumn("length", F.greatest(length, F.lit(0)).cast("int"))
     rows = first.where("length > 0").select("node", "n", "s0", "s1", "component", "alone", F.posexplode(F.slice("rest", F.lit(1), F.col("length"))).alias("at", "x"))
     rows = rows.select("node", "n", "component", "s0", "s1", F.lit(0).alias("own"), F.col("x.shingle").alias("shingle"), (n - F.col("alone") - F.col("at")).alias("room"))
+    # no partner is smaller than percent * n / 100: what lacks the room for that one needs no look at the other holders
+    rows = stage(rows.where(100 * (100 + percent) * F.col("room") >= percent * (100 + percent) * n), "prefix-rows").withColumn("band", size_band(percent))
+    sizes = rows.groupBy("shingle", "band").agg(F.min("n").alias("least")).groupBy("shingle").agg(F.collect_list(F.struct("band", "least")).alias("bands"))
+    held = rows.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("components"))
+    met = rows.join(held.where("components > 1"), "shingle").join(sizes, "shingle")
+    near = F.array_min(F.transform(F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1), lambda x: x["least"]))
+    fits = 100 * (100 + percent) * F.col("room") >= percent * (100 * n + F.greatest(100 * near, percent * n))
+    main = F.col("component") == F.col("most.component")
+    return met.where(fits).select("shingle", "node", "n", "component", "s0", "s1", "own", "room", main.alias("main"))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` from different components that may be linked: they share a row of ``prefix_rows``."""
+    rows = stage(prefix_rows(nodes, sets, percent), "prefix-met")
     c = lambda side, name: F.col(f"{side}.{name}")
     room = (100 + percent) * F.least(c("x", "room"), c("y", "room")) >= percent * (c("x", "n") + c("y", "n"))
-    meet = (c("x", "shingle") == c("y", "shingle")) & (c("x", "node") < c("y", "node")) & (c("x", "component") != c("y", "component")) & room & similar("x", "y", percent)
-    return rows.alias("x").join(rows.alias("y"), meet).select(c("x", "node").alias("a"), c("y", "node").alias("b")).distinct()
+    once = c("y", "main") | (c("x", "node") < c("y", "node"))
+    meet = (c("x", "shingle") == c("y", "shingle")) & once & (c("x", "component") != c("y", "component")) & room & similar("x", "y", percent)
+    pairs = rows.where("NOT main").alias("x").join(rows.alias("y"), meet)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def shared_counts(each: DataFrame) -> DataFrame:

@@ -64,6 +64,52 @@ def test_components_equal_brute_force(spark, size, percent):
     assert got == brute(rows, size, percent)
 
 
+def template(n, own, seed=3):
+    """Documents of 300 words of one template, of which each replaces the last ``own`` by words of its own."""
+    words = [f"t{k}" for k in range(300)]
+    return [(i, " ".join(words[: 300 - own] + [f"d{i}x{k}" for k in range(own)])) for i in range(n)]
+
+
+def prefix_work(spark, rows, component, size=3, percent=85):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_duplicates.shingle_sets(docs, size)
+    nodes = near_duplicates.sketches(docs, "doc_id", "text", size).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "s0", "s1", component.alias("component"))
+    met = near_duplicates.prefix_rows(nodes, sets, percent)
+    by = met.groupBy("shingle").agg(F.count(F.expr("CASE WHEN NOT main THEN 1 END")).alias("rest"), F.count("*").alias("all"))
+    return by.agg(F.coalesce(F.sum(F.col("rest") * F.col("all")), F.lit(0))).first()[0]
+
+
+def test_a_template_just_below_the_threshold_meets_nothing(spark):
+    # 10 % of own words: similarity 0.81, 0.04 below the threshold
+    assert [prefix_work(spark, template(n, 30), F.col("doc_id")) for n in (100, 300)] == [0, 0]
+
+
+def test_one_component_with_outsiders_meets_in_proportion(spark):
+    # 3 % of own words: every document is linked with every other; two stay outside the component
+    small, large = (prefix_work(spark, template(n, 9), F.least(F.col("doc_id"), F.lit(2))) for n in (100, 300))
+    assert 0 < large <= 3.1 * small
+
+
+def test_links_of_mixed_sizes_equal_brute_force(spark):
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        cut = r.choice((0, 5, 12, 20, 30))
+        own = base[: 200 - cut] + [f"v{r.randrange(12)}x{k}" for k in range(r.choice((0, 4, 9, 14, 18, 25)))]
+        rows.append((i, " ".join(own)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85)
+    # every document a component of its own: all links come from the prefixes
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_duplicates.shingle_sets(docs, 3)
+    nodes = near_duplicates.sketches(docs, "doc_id", "text", 3).groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1")).drop("digest")
+    nodes = nodes.withColumn("component", F.col("node"))
+    found = {(x.a, x.b) for x in near_duplicates.confirm(near_duplicates.prefix_pairs(nodes, sets, 85), sets, 85).collect()}
+    kept, sets_of = {x.node for x in nodes.collect()}, {i: shingles(t, 3) for i, t in rows}
+    assert found == {(a, b) for a in kept for b in kept if a < b and 100 * len(sets_of[a] & sets_of[b]) >= 85 * len(sets_of[a] | sets_of[b])}
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     docs = clashing(awkward(spark))
     got = near_duplicates.near_duplicates(docs).collect()
