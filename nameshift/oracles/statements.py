@@ -83,6 +83,37 @@ CTES["edges"] = """SELECT sample_id, name, pos, 'comesFrom' AS rel, CASE WHEN d
     SELECT u.sample_id, t.name, u.t, 'computedFrom', [u.name], [u.pos] FROM (
       SELECT *, max(CASE WHEN is_def THEN pos END) OVER (PARTITION BY sample_id, stmt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM page_names) u
     JOIN page_names t ON t.sample_id = u.sample_id AND t.pos = u.t"""
+
+# branches and loops, pair by pair: a definition reaches a use if no other one between them hides it
+CTES["page_flow"] = """SELECT sample_id, pos, tok, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos,
+    sum(CASE tok WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER w AS brace, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS paren
+    FROM page_rows WHERE tok <> chr(10) WINDOW w AS (PARTITION BY sample_id ORDER BY pos)"""
+CTES["page_heads"] = """SELECT h.sample_id, h.pos, h.tok, h.prev,
+    max(CASE WHEN h.tok = 'if' AND h.prev IS DISTINCT FROM 'else' THEN h.pos END) OVER (PARTITION BY h.sample_id, h.brace ORDER BY h.pos) AS chain,
+    CASE WHEN h.tok IN ('else', 'do') THEN h.pos WHEN h.nxt = '(' THEN c.pos END AS anchor
+    FROM (SELECT * FROM page_flow WHERE tok IN ('if', 'else', 'do', 'while', 'for')) h
+    ASOF LEFT JOIN (SELECT sample_id, pos, paren FROM page_flow WHERE tok = ')') c ON c.sample_id = h.sample_id AND c.paren = h.paren AND c.pos > h.pos"""
+CTES["page_blocks"] = """SELECT sample_id, CASE WHEN arm THEN coalesce(chain, pos) END AS chain, CASE WHEN tok IN ('while', 'for') OR prev = 'else' THEN pos ELSE start END AS start, stop FROM (
+      SELECT h.*, h.tok IN ('if', 'else') AS arm, a.npos AS start, a.nxt, CASE WHEN a.nxt = '{' THEN b.pos ELSE s.pos END AS stop
+      FROM page_heads h JOIN page_flow a ON a.sample_id = h.sample_id AND a.pos = h.anchor
+      ASOF LEFT JOIN (SELECT sample_id, pos, brace FROM page_flow WHERE tok = '}') b ON b.sample_id = a.sample_id AND b.brace = a.brace AND b.pos > a.pos
+      ASOF LEFT JOIN (SELECT sample_id, pos, brace, paren FROM page_flow WHERE tok = ';') s ON s.sample_id = a.sample_id AND s.brace = a.brace AND s.paren = a.paren AND s.pos > a.pos)
+    WHERE stop IS NOT NULL AND NOT (tok = 'else' AND nxt = 'if') AND (arm OR nxt <> ';')"""
+CTES["page_inner"] = """SELECT n.sample_id, n.name, n.pos, n.is_def, max_by(b.start, b.start) AS s, max_by(b.stop, b.start) AS e
+    FROM page_names n LEFT JOIN page_blocks b ON b.sample_id = n.sample_id AND b.chain IS NOT NULL AND n.pos BETWEEN b.start AND b.stop
+    WHERE (n.sample_id, n.name) IN (SELECT (sample_id, name) FROM page_names WHERE is_def) GROUP BY n.sample_id, n.name, n.pos, n.is_def"""
+CTES["page_defs"] = "SELECT * FROM page_inner WHERE is_def"
+CTES["page_reach"] = """SELECT d.sample_id, d.name, u.pos, d.pos AS src FROM page_defs d JOIN page_inner u ON u.sample_id = d.sample_id AND u.name = d.name AND d.pos < u.pos
+    WHERE NOT EXISTS (SELECT 1 FROM page_defs k WHERE k.sample_id = d.sample_id AND k.name = d.name AND k.pos > d.pos AND k.pos < u.pos
+        AND (k.s IS NULL OR d.pos BETWEEN k.s AND k.e OR u.pos BETWEEN k.s AND k.e))
+      AND NOT EXISTS (SELECT 1 FROM page_blocks x JOIN page_blocks y ON x.sample_id = y.sample_id AND x.chain = y.chain AND x.start <> y.start
+        WHERE x.sample_id = d.sample_id AND d.pos BETWEEN x.start AND x.stop AND u.pos BETWEEN y.start AND y.stop)
+    UNION
+    SELECT d.sample_id, d.name, u.pos, d.pos FROM (SELECT * FROM page_blocks WHERE chain IS NULL) l
+    JOIN page_defs d ON d.sample_id = l.sample_id AND d.pos BETWEEN l.start AND l.stop
+    JOIN page_inner u ON u.sample_id = d.sample_id AND u.name = d.name AND u.pos BETWEEN l.start AND l.stop
+    WHERE NOT EXISTS (SELECT 1 FROM page_defs k WHERE k.sample_id = d.sample_id AND k.name = d.name AND k.pos > d.pos AND k.pos <= l.stop AND (k.s IS NULL OR d.pos BETWEEN k.s AND k.e))
+      AND NOT EXISTS (SELECT 1 FROM page_defs k WHERE k.sample_id = u.sample_id AND k.name = u.name AND k.pos >= l.start AND k.pos < u.pos AND (k.s IS NULL OR u.pos BETWEEN k.s AND k.e))"""
 _edge_columns = "sample_id, name, pos, rel, array_to_string(src_names, ' ') AS src_names, array_to_string(src_pos, ' ') AS src_pos"
 
 CTES["conv_kept"] = "SELECT * FROM conv_similar WHERE place <= floor(n_fills / 2)"
@@ -192,6 +223,10 @@ STATEMENTS = {
     "def_use_edges": f"SELECT {_edge_columns} FROM edges",
     "merge_edges": """SELECT sample_id, name, pos, rel, array_to_string(list_sort(list_distinct(flatten(list(src_names)))), ' ') AS src_names,
         array_to_string(list_sort(list_distinct(flatten(list(src_pos)))), ' ') AS src_pos FROM edges GROUP BY sample_id, name, pos, rel""",
+    "flow_edges": """SELECT n.sample_id, n.name, n.pos, 'comesFrom' AS rel, CASE WHEN count(r.src) > 0 THEN n.name ELSE '' END AS src_names, coalesce(string_agg(r.src::VARCHAR, ' ' ORDER BY r.src), '') AS src_pos
+        FROM page_names n LEFT JOIN page_reach r ON r.sample_id = n.sample_id AND r.name = n.name AND r.pos = n.pos GROUP BY n.sample_id, n.name, n.pos, n.is_def HAVING n.is_def OR count(r.src) > 0
+        UNION ALL SELECT sample_id, name, pos, rel, array_to_string(list_sort(list_distinct(flatten(list(src_names)))), ' '), array_to_string(list_sort(list_distinct(flatten(list(src_pos)))), ' ')
+        FROM edges WHERE rel = 'computedFrom' GROUP BY sample_id, name, pos, rel""",
     "merge_defs": "SELECT sample_id, name, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS def_pos FROM page_names WHERE is_def GROUP BY sample_id, name",
     "changed_positions": """SELECT sample_id, a, (length(code) - length(replace(code, a, ''))) // length(a) AS n_substring,
         len(list_filter(tokens, lambda t: t = a)) AS n_token FROM doc_first""",

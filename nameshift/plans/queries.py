@@ -12,7 +12,7 @@ from nameshift.functions.names import filter_valid_names, identifiers, is_uid, i
 from nameshift.functions.reserved import reserved_table
 from nameshift.functions.similarity import cosine
 from nameshift.operators import candidates as cand_ops
-from nameshift.operators import context_fills, dataflow, genetic, importance, search, variants
+from nameshift.operators import context_fills, dataflow, flow, genetic, importance, search, variants
 from nameshift.operators import tokens as token_ops
 from nameshift.operators.proposals import proposals
 from nameshift.operators.scoring import class_counts, label_prob, margin, prob_of, score_distinct, sigmoid, weigh, with_prediction
@@ -326,6 +326,10 @@ def merge_edges(spark, folder):
     return _edge_rows(dataflow.merge_edges(dataflow.def_use_edges(dataflow.statement_rows(pages(spark, folder), LANG))))
 
 
+def flow_edges(spark, folder):
+    return _edge_rows(flow.flow_edges(pages(spark, folder), LANG))
+
+
 def merge_defs(spark, folder):
     rows = dataflow.statement_rows(pages(spark, folder), LANG)
     arms = dataflow.definitions(rows.where("stmt = 0")), dataflow.definitions(rows.where("stmt > 0"))
@@ -788,6 +792,7 @@ QUERIES = {
     "def_use_edges": def_use_edges,
     "merge_edges": merge_edges,
     "merge_defs": merge_defs,
+    "flow_edges": flow_edges,
     "changed_positions": changed_positions,
     "variants_unk": variants_unk,
     "variants_unk_all": variants_unk_all,
