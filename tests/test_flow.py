@@ -2,7 +2,11 @@
 
 import random
 
+import duckdb
+
 from nameshift.operators import dataflow, flow
+from nameshift.oracles import ORACLES
+from nameshift.plans.queries import QUERIES
 
 
 class Program:
@@ -116,3 +120,14 @@ def test_edges_are_joined_by_keys(spark):
     samples = spark.createDataFrame([(1, "a = b ;")], "sample_id long, code string")
     plan = flow.flow_edges(samples, "c")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("CartesianProduct", "NestedLoop", "Python", "Arrow"))
+
+
+def test_the_sql_agrees_on_random_programs(spark, tmp_path):
+    rows = [(k, " ".join(Program(k).tokens)) for k in range(40)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = "sample_id, name, pos, rel, src_names, src_pos"
+    want = con.sql(f"SELECT {columns} FROM ({ORACLES['flow_edges']})").fetchall()
+    assert any(" " in row[-1] for row in want)
+    assert sorted(map(tuple, QUERIES["flow_edges"](spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect())) == sorted(want)
