@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PARAMS_SCHEMA = "test_set string, test_size long, tokenizer string, model string, block_size long, start_time string, run_time_seconds double, language string, attack string, params map<string,string>"
+
 
 def run_params(
     samples: DataFrame,
@@ -37,19 +39,45 @@ def run_params(
 
 
 def write_results(results: DataFrame, params: DataFrame, folder: str, run_id: str | None = None, fmt: str = "json") -> str:
-    """Results partitioned by (attack, model) and the parameter row, under a folder per run.
+    """Results partitioned by (attack, model) and the parameter rows, under a folder per run.
 
-    Every task writes its own rows, and a run never overwrites another one.
+    Every task writes its own rows, and a run never overwrites another one. The parameters come last, and their mark of
+    success is the run's: without it nothing is read. A run that fails is removed.
     """
     run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
     path = f"{folder.rstrip('/')}/run={run_id}"
-    results.write.format(fmt).partitionBy("attack", "model").save(f"{path}/results")
-    params.write.format(fmt).save(f"{path}/params")
+    files, where = _files(results.sparkSession, path)
+    if files.exists(where):
+        raise ValueError(f"{path} exists")
+    try:
+        results.write.format(fmt).partitionBy("attack", "model").save(f"{path}/results")
+        params.write.format(fmt).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").save(f"{path}/params")
+    except Exception:
+        files.delete(where, True)
+        raise
     return path
 
 
-def read_results(spark, path: str, fmt: str = "json") -> DataFrame:
-    """Results of one run, with the shared schema."""
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _complete(spark: SparkSession, path: str) -> None:
+    files, mark = _files(spark, f"{path}/params/_SUCCESS")
+    if not files.exists(mark):
+        raise ValueError(f"{path} is not a complete run")
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Results of one complete run, with the shared schema."""
     from nameshift.plans.results import RESULT_SCHEMA
 
+    _complete(spark, path)
     return spark.read.schema(RESULT_SCHEMA).format(fmt).load(f"{path}/results").select(*RESULT_SCHEMA.fieldNames())
+
+
+def read_params(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """The parameter rows of one complete run."""
+    _complete(spark, path)
+    return spark.read.schema(PARAMS_SCHEMA).format(fmt).load(f"{path}/params")

@@ -1,12 +1,14 @@
 """Corpora, result sink, metrics."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from nameshift.operators.skew import skew_join
 from nameshift.plans import metrics
 from nameshift.plans.results import RESULT_SCHEMA
 from nameshift.sources.corpus import assign_split, binary_label, check_language, harmonise, load_corpus
-from nameshift.sources.results import read_results, run_params, write_results
+from nameshift.sources.results import read_params, read_results, run_params, write_results
 
 
 def result(sample, attack, is_attack, is_success, queries):
@@ -42,6 +44,22 @@ def test_sink_round_trip(spark, tmp_path):
     assert row.test_size == 3 and row.params["max_iter"] == "100"
 
 
+def test_a_failed_run_leaves_nothing_to_read(spark, tmp_path):
+    results = spark.createDataFrame([result(1, "greedy", True, True, 5)], RESULT_SCHEMA)
+    params = run_params(results, "set", "linear", "lexical", 510, "c", "greedy", {})
+    broken = params.withColumn("test_size", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        write_results(results, broken, str(tmp_path), "one")
+    assert not (tmp_path / "run=one").exists()
+    path = write_results(results, params, str(tmp_path), "one")
+    assert read_results(spark, path).count() == 1 and read_params(spark, path).first().attack == "greedy"
+    with pytest.raises(ValueError, match="exists"):
+        write_results(results, params, str(tmp_path), "one")
+    results.write.format("json").partitionBy("attack", "model").save(f"{tmp_path}/run=two/results")
+    with pytest.raises(ValueError, match="complete"):
+        read_results(spark, f"{tmp_path}/run=two")
+
+
 def test_metrics(spark):
     rows = [result(1, "greedy", True, True, 5), result(2, "greedy", True, False, 9), result(3, "greedy", False, False, 0), result(1, "mhm", False, False, 0)]
     results = spark.createDataFrame(rows, RESULT_SCHEMA)
