@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from nameshift.functions.lexing import tokenize_with_newlines
 from nameshift.operators.dataflow import COMES_FROM, COMPUTED_FROM, def_use_edges, statement_rows
+from nameshift.session import stage
 
 ROOT = -1
+STRUCTURE = ("{", "}", "(", ")", ";", "if", "else", "do", "while", "for")
 
 
 def _following(value: Column, *by: str) -> Column:
@@ -34,19 +36,22 @@ def code_blocks(samples: DataFrame, lang: str, text: str = "code") -> DataFrame:
     tok, at = F.col("tok"), Window.partitionBy("sample_id").orderBy("pos")
     until = at.rowsBetween(Window.unboundedPreceding, 0)
     depth = lambda a, b: F.sum(F.when(tok == a, 1).when(tok == b, -1).otherwise(0)).over(until)
-    rows = samples.select("sample_id", F.posexplode(tokenize_with_newlines(F.col(text), lang)).alias("pos", "tok")).where("tok <> '\n'")
+    numbered = F.filter(F.transform(tokenize_with_newlines(F.col(text), lang), lambda x, i: F.struct(i.alias("pos"), x.alias("tok"))), lambda x: x["tok"] != "\n")
+    beside = F.transform("s", lambda x, i: F.struct(x["pos"].alias("pos"), x["tok"].alias("tok"), F.get("s", i - 1)["tok"].alias("prev"), F.get("s", i + 1).alias("next")))
+    # only what makes the structure is sent, with its neighbours
+    rows = samples.select("sample_id", numbered.alias("s")).select("sample_id", F.inline(F.filter(beside, lambda x: x["tok"].isin(*STRUCTURE))))
     rows = rows.withColumn("brace", depth("{", "}")).withColumn("paren", depth("(", ")"))
     rows = rows.withColumn("b", F.col("brace") + (tok == "}").cast("int")).withColumn("p", F.col("paren") + (tok == ")").cast("int"))
     closed = F.when(tok == "{", _following(F.when(tok == "}", F.col("pos")), "b"))
     rows = rows.withColumn("closed", closed).withColumn("semi", _following(F.when(tok == ";", F.col("pos")), "brace", "paren"))
     # what follows a token as a body: its first token, and where it ends
-    end = F.when(F.lead("tok").over(at) == "{", F.lead("closed").over(at)).otherwise(F.col("semi"))
-    body = F.when(end.isNotNull() & F.lead("pos").over(at).isNotNull(), F.struct(F.lead("tok").over(at).alias("tok"), F.lead("pos").over(at).alias("start"), end.alias("end")))
+    end = F.when(F.col("next.tok") == "{", F.lead("closed").over(at)).otherwise(F.col("semi"))
+    body = F.when(end.isNotNull() & F.col("next").isNotNull(), F.struct(F.col("next.tok").alias("tok"), F.col("next.pos").alias("start"), end.alias("end")))
     rows = rows.withColumn("body", body)
     rows = rows.withColumn("after", F.when(tok == "(", _following(F.when(tok == ")", F.struct("body")), "p")["body"]))
-    own = F.when(tok.isin("else", "do"), F.col("body")).when(tok.isin("if", "while", "for"), F.lead("after").over(at))
+    own = F.when(tok.isin("else", "do"), F.col("body")).when(tok.isin("if", "while", "for") & (F.col("next.tok") == "("), F.lead("after").over(at))
     chained = F.last(F.when((tok == "if") & ~F.col("prev").eqNullSafe("else"), F.col("pos")), ignorenulls=True)
-    heads = rows.withColumn("own", own).withColumn("prev", F.lag("tok").over(at)).where(tok.isin("if", "else", "do", "while", "for"))
+    heads = rows.withColumn("own", own).where(tok.isin("if", "else", "do", "while", "for"))
     heads = heads.withColumn("chain", chained.over(Window.partitionBy("sample_id", "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     is_arm = tok.isin("if", "else")
     wanted = F.col("own").isNotNull() & ~((tok == "else") & (F.col("own.tok") == "if")) & (is_arm | (F.col("own.tok") != ";"))
@@ -100,9 +105,11 @@ def flow_edges(samples: DataFrame, lang: str, text: str = "code") -> DataFrame:
 
     A definition that nothing reaches has no source; ``computedFrom`` holds within a statement.
     """
-    names = statement_rows(samples, lang, text)
-    found = reaching(occurrences(names, code_blocks(samples, lang, text))).groupBy("sample_id", "name", "pos").agg(F.sort_array(F.collect_list("src")).alias("src_pos"))
-    comes = names.select("sample_id", "name", "pos", "is_def").join(found, ["sample_id", "name", "pos"], "left").where("is_def OR src_pos IS NOT NULL")
+    names = stage(statement_rows(samples, lang, text), "flow-names")
+    defined = names.join(names.where("is_def").select("sample_id", "name").distinct(), ["sample_id", "name"], "left_semi")
+    rows = stage(occurrences(defined, code_blocks(samples, lang, text)), "flow-rows")
+    found = reaching(rows).groupBy("sample_id", "name", "pos").agg(F.sort_array(F.collect_list("src")).alias("src_pos"))
+    comes = rows.select("sample_id", "name", "pos", "is_def").join(found, ["sample_id", "name", "pos"], "left").where("is_def OR src_pos IS NOT NULL")
     src_names = F.when(F.col("src_pos").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>"))
     comes = comes.select("sample_id", "name", "pos", F.lit(COMES_FROM).alias("rel"), src_names.alias("src_names"), F.coalesce("src_pos", F.array().cast("array<int>")).alias("src_pos"))
     computed = def_use_edges(names).where(F.col("rel") == COMPUTED_FROM).groupBy("sample_id", "name", "pos", "rel").agg(
