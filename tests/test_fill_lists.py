@@ -64,3 +64,22 @@ def test_a_gap_sends_one_list_once(spark):
     assert sent
     lists = [s for s in sent if re.search(r"\bname#", s) and re.search(r"\b(after|before|fills|atoks|btoks|toks|sigs)#", s)]
     assert len(lists) == 1
+
+
+def test_search_space_lexes_its_samples_once(spark, snippets, inputs, monkeypatch):
+    """Texts are read for the gaps alone; distinct gaps, join and names of several pieces start from the staged gaps."""
+    from nameshift.operators import candidates
+
+    model, plans, stage = inputs.fills, [], candidates.stage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+
+    def recorded(df, label):
+        seen(df)
+        return stage(df, label)
+
+    monkeypatch.setattr(candidates, "stage", recorded)
+    own = inputs.names.select("sample_id", "name")
+    seen(candidates.search_space(inputs.lexed, own, model, "c", 20))
+    assert sum(text.count("code#") > 0 for text in plans) == 1
