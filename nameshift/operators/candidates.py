@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,30 +135,31 @@ def contexts(lexed: DataFrame, lang: str, block_size: int) -> DataFrame:
 class FillModel:
     """Counts that stand in for a masked language model.
 
-    ``words(tok, n, sig)``, ``after`` and ``before`` (``key, toks, scores, sigs, full, n``) are staged tables.
+    ``words(tok, n, sig)``, ``after`` and ``before`` (``key, toks, scores, sigs, full, n``) are staged tables; the lists are made when
+    the first gap wants them.
     """
 
     pairs: DataFrame
     words: DataFrame
-    after: DataFrame
-    before: DataFrame
     top_k: int = TOP_K
+    lang: str = "c"
 
     @classmethod
     def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c") -> "FillModel":
         pairs = stage(bigrams(lexed), "bigrams")
-        words = stage(signatures(pairs), "words")
-        return cls._with_lists(pairs, words, top_k, lang)
+        return cls(pairs, stage(signatures(pairs), "words"), top_k, lang)
 
-    @classmethod
-    def _with_lists(cls, pairs: DataFrame, words: DataFrame, top_k: int, lang: str) -> "FillModel":
-        after = stage(top_neighbours(pairs, words, top_k, "after", lang), "after")
-        before = stage(top_neighbours(pairs, words, top_k, "before", lang), "before")
-        return cls(pairs, words, after, before, top_k)
+    @cached_property
+    def after(self) -> DataFrame:
+        return stage(top_neighbours(self.pairs, self.words, self.top_k, "after", self.lang), "after")
+
+    @cached_property
+    def before(self) -> DataFrame:
+        return stage(top_neighbours(self.pairs, self.words, self.top_k, "before", self.lang), "before")
 
     def resized(self, top_k: int, lang: str = "c") -> "FillModel":
         """The same counts with another number of fills per gap."""
-        return self if top_k == self.top_k else self._with_lists(self.pairs, self.words, top_k, lang)
+        return self if top_k == self.top_k else FillModel(self.pairs, self.words, top_k, lang)
 
     def _side(self, table: DataFrame, key: str, prefix: str, *columns: str) -> DataFrame:
         return table.select(F.col("key").alias(key), *[F.col(c).alias(prefix + c) for c in columns], F.col("n").alias("_n"))

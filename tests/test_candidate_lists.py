@@ -67,3 +67,15 @@ def test_names_are_ranked_before_they_meet_their_candidates(inputs):
     assert ranked.count("Join") < plan.count("Join")
     names = rows.groupBy("sample_id", "name").agg(F.countDistinct("rank").alias("n"))
     assert not names.where("n > 1").count()
+
+
+def test_word_composition_makes_no_lists_of_neighbours(spark, monkeypatch):
+    """Lists are made for gaps; names composed from the counted words alone need none."""
+    lexed = spark.createDataFrame([(1, ["max_size", "=", "min_size", "+", "max_len"])], "sample_id long, tokens array<string>")
+    made, stage = [], candidates.stage
+    monkeypatch.setattr(candidates, "stage", lambda df, label: made.append(label) or stage(df, label))
+    model = candidates.FillModel.train(lexed)
+    names = model.words.where(F.col("tok").contains("_")).select(F.col("tok").alias("name"))
+    assert candidates.compose_words(names, model.words).count()
+    assert made == ["bigrams", "words", "piece-pairs"]
+    assert model.resized(7).after.count() and made[-1] == "after"
