@@ -66,3 +66,12 @@ def test_names_are_checked_once_for_each_word(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.index("filter(") < plan.index("array_distinct(")
     assert token_rows(lexed).count() == 6
+
+
+def test_terms_send_arrays_and_no_row_per_token(spark, texts):
+    """What is sent before the weights are joined is a sample's array of tokens."""
+    terms = weighted_terms(texts.tokens, texts.scorer, places=True)
+    plan = terms._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if "posexplode" in line)
+    aggregates = [i for i, line in enumerate(plan) if "Aggregate(" in line and "places" in line or "collect_list" in line]
+    assert aggregates and not any("Exchange" in line for line in plan[min(aggregates) : made])
