@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.names import identifiers, is_valid_name
+from nameshift.functions.token_batches import token_count_batches
 from nameshift.operators.candidates import TOP_K, FillModel, search_space
 from nameshift.operators.importance import occurrence_importance
 from nameshift.operators.scoring import BLOCK_SIZE, LinearScorer, margin, predicted, prob_of, sigmoid
@@ -52,11 +53,11 @@ def weighted_terms(lexed: DataFrame, scorer: LinearScorer, places: bool = False)
 
 
 def window_scores(lexed: DataFrame, scorer: LinearScorer) -> DataFrame:
-    """``(sample_id, total, n)``: weight sum and size of the model window. Its tokens are counted before they are sent, the rest of
-    the text is left out."""
-    block = scorer.block_size
-    rows = lexed.select("sample_id", F.least(F.size("tokens"), F.lit(block)).cast("long").alias("n"), F.explode(F.slice("tokens", 1, block)).alias("tok"))
-    counted = rows.groupBy("sample_id", "tok").agg(F.count("*").alias("n_win"), F.first("n").alias("n"))
+    """``(sample_id, total, n)``: weight sum and size of the model window. Its tokens are counted in their own text, so they are sent
+    once, for their weights; the rest of the text is left out."""
+    window = lexed.select("sample_id", F.slice("tokens", 1, scorer.block_size).alias("tokens"))
+    kind = lexed.schema["sample_id"].dataType.simpleString()
+    counted = window.mapInArrow(token_count_batches, f"sample_id {kind}, n long, tok string, n_win long")
     weighed = scorer.weigh_rows(counted, "tok", ["sample_id"])
     return weighed.groupBy("sample_id").agg(F.sum(F.col("n_win") * F.col("w")).alias("total"), F.first("n").alias("n"))
 
