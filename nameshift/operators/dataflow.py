@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nameshift.functions.lexing import tokenize_with_newlines
 from nameshift.functions.names import is_valid_name
+from nameshift.functions.token_batches import STATEMENT_ENDS, statement_batches
 
 COMES_FROM = "comesFrom"
 COMPUTED_FROM = "computedFrom"
@@ -19,13 +20,26 @@ def statement_rows(samples: DataFrame, lang: str, text: str = "code") -> DataFra
 
     A statement ends at ``;`` or a line break.
     """
+    return marked_rows(samples, lang, text).drop("defined", "beside_def")
+
+
+def marked_rows(samples: DataFrame, lang: str, text: str = "code") -> DataFrame:
+    """``statement_rows``, with ``defined`` where the text may define the name and ``beside_def`` where the statement may define any.
+
+    A text numbers its own statements; only rows that share a ``sample_id`` are brought
+    together and numbered as one text.
+    """
+    lexed = samples.select("sample_id", tokenize_with_newlines(F.col(text), lang).alias("tokens"))
+    kind = lexed.schema["sample_id"].dataType.simpleString()
+    several = F.broadcast(samples.groupBy(F.col("sample_id").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared"))
+    shared = F.col("sample_id").eqNullSafe(F.col("shared"))
+    alone = lexed.join(several, shared, "left_anti").mapInArrow(statement_batches, f"sample_id {kind}, stmt long, pos int, name string, is_def boolean, defined boolean, beside_def boolean")
     by_pos = Window.partitionBy("sample_id").orderBy("pos")
-    rows = samples.select("sample_id", F.posexplode(tokenize_with_newlines(F.col(text), lang)).alias("pos", "tok"))
-    ends = F.col("tok").isin(";", "\n").cast("int")
-    rows = rows.withColumn("stmt", F.sum(ends).over(by_pos).cast("long")).withColumn("next", F.lead("tok").over(by_pos))
-    return rows.where(is_valid_name(F.col("tok"), lang)).select(
-        "sample_id", "stmt", "pos", F.col("tok").alias("name"), F.coalesce(F.col("next") == "=", F.lit(False)).alias("is_def")
-    )
+    rows = lexed.join(several, shared, "left_semi").select("sample_id", F.posexplode("tokens").alias("pos", "name"))
+    ends = F.col("name").isin(*STATEMENT_ENDS).cast("int")
+    rows = rows.withColumn("stmt", F.sum(ends).over(by_pos).cast("long")).withColumn("is_def", F.coalesce(F.lead("name").over(by_pos) == "=", F.lit(False)))
+    rows = rows.withColumns({"defined": F.lit(True), "beside_def": F.lit(True)})
+    return alone.unionByName(rows).where(is_valid_name(F.col("name"), lang))
 
 
 def definitions(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameshift.functions.lexing import tokenize_with_newlines
-from nameshift.operators.dataflow import COMES_FROM, COMPUTED_FROM, def_use_edges, statement_rows
+from nameshift.functions.token_batches import structure_batches
+from nameshift.operators.dataflow import COMES_FROM, COMPUTED_FROM, def_use_edges, marked_rows
 from nameshift.session import stage
 
 ROOT = -1
@@ -36,10 +37,12 @@ def code_blocks(samples: DataFrame, lang: str, text: str = "code") -> DataFrame:
     tok, at = F.col("tok"), Window.partitionBy("sample_id").orderBy("pos")
     until = at.rowsBetween(Window.unboundedPreceding, 0)
     depth = lambda a, b: F.sum(F.when(tok == a, 1).when(tok == b, -1).otherwise(0)).over(until)
-    numbered = F.filter(F.transform(tokenize_with_newlines(F.col(text), lang), lambda x, i: F.struct(i.alias("pos"), x.alias("tok"))), lambda x: x["tok"] != "\n")
-    beside = F.transform("s", lambda x, i: F.struct(x["pos"].alias("pos"), x["tok"].alias("tok"), F.get("s", i - 1)["tok"].alias("prev"), F.get("s", i + 1).alias("next")))
     # only what makes the structure is sent, with its neighbours
-    rows = samples.select("sample_id", numbered.alias("s")).select("sample_id", F.inline(F.filter(beside, lambda x: x["tok"].isin(*STRUCTURE))))
+    lexed = samples.select("sample_id", tokenize_with_newlines(F.col(text), lang).alias("tokens"))
+    kind = lexed.schema["sample_id"].dataType.simpleString()
+    rows = lexed.mapInArrow(
+        lambda batches: structure_batches(batches, list(STRUCTURE)), f"sample_id {kind}, pos int, tok string, prev string, next struct<pos:int,tok:string>"
+    )
     rows = rows.withColumn("brace", depth("{", "}")).withColumn("paren", depth("(", ")"))
     rows = rows.withColumn("b", F.col("brace") + (tok == "}").cast("int")).withColumn("p", F.col("paren") + (tok == ")").cast("int"))
     closed = F.when(tok == "{", _following(F.when(tok == "}", F.col("pos")), "b"))
@@ -105,14 +108,16 @@ def flow_edges(samples: DataFrame, lang: str, text: str = "code") -> DataFrame:
 
     A definition that nothing reaches has no source; ``computedFrom`` holds within a statement.
     """
-    names = stage(statement_rows(samples, lang, text), "flow-names")
+    # each text tells which names and statements have definitions, so that no others are sent
+    names = stage(marked_rows(samples, lang, text), "flow-names")
+    beside, names = names.where("beside_def"), names.where("defined").drop("defined", "beside_def")
     defined = names.join(names.where("is_def").select("sample_id", "name").distinct(), ["sample_id", "name"], "left_semi")
     rows = stage(occurrences(defined, code_blocks(samples, lang, text)), "flow-rows")
     found = reaching(rows).groupBy("sample_id", "name", "pos").agg(F.sort_array(F.collect_list("src")).alias("src_pos"))
     comes = rows.select("sample_id", "name", "pos", "is_def").join(found, ["sample_id", "name", "pos"], "left").where("is_def OR src_pos IS NOT NULL")
     src_names = F.when(F.col("src_pos").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>"))
     comes = comes.select("sample_id", "name", "pos", F.lit(COMES_FROM).alias("rel"), src_names.alias("src_names"), F.coalesce("src_pos", F.array().cast("array<int>")).alias("src_pos"))
-    computed = def_use_edges(names).where(F.col("rel") == COMPUTED_FROM).groupBy("sample_id", "name", "pos", "rel").agg(
+    computed = def_use_edges(beside).where(F.col("rel") == COMPUTED_FROM).groupBy("sample_id", "name", "pos", "rel").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("src_names")))).alias("src_names"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("src_pos")))).alias("src_pos"),
     )
