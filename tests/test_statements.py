@@ -42,4 +42,4 @@ def test_marks_hold_every_definition(spark):
 
 def test_structure_keeps_places_over_line_breaks(spark):
     samples = spark.createDataFrame([(1, "if (a)\n\n b; else\n{ c; }"), (2, None)], "sample_id long, code string")
-    assert sorted((r.start, r.end) for r in code_blocks(samples, "c").collect()) == [(6, 7), (8, 13)]
+    assert sorted((r.start, r.end) for r in code_blocks(samples, "c").collect()) == [(6, 7), (10, 13)]
