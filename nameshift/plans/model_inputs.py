@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nameshift.functions.names import is_valid_name
 from nameshift.functions.renaming import rename_many
 from nameshift.operators import genetic
+from nameshift.operators.candidates import FillModel
 from nameshift.operators.scoring import BLOCK_SIZE, label_prob, score_distinct, with_prediction
 from nameshift.operators.tokens import token_rows
 from nameshift.operators.variants import MASK, UNKNOWN, delete_each, mask_each
@@ -65,6 +66,10 @@ class ModelInputs(AttackInputs):
         )
         return stage(self.declared_only(found), "names")
 
+    @property
+    def candidate_fills(self) -> FillModel:
+        return self.fills
+
     def prepare_space(self, found: DataFrame) -> DataFrame:
         return found
 
