@@ -8,14 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Signatures and scores travel as 32-bit numbers: a signature less this, a score doubled with its validity in the last bit.
-SIGNATURE_SHIFT = 1 << 31
-#: A token's weight, if there is one, travels above its signature.
-WEIGHT_SHIFT = 32
-#: List entries that are sorted at once.
-ENTRIES = 1 << 20
-#: Columns of a gap's lists that tell how many entries each list has.
-SIZED = (1, 5, 8)
+from nameshift.functions.fill_index import FillIndex, gap_slices
 
 
 def _owners(lists: pa.Array) -> np.ndarray:
@@ -56,105 +49,59 @@ def _places(owner: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
 
 
-def merged(columns: list[pa.Array], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best fills of every gap: owner, token, score, signature, validity, weight; best first, equal scores by token.
-
-    ``columns`` are the text of the tokens, their lengths, packed scores and signatures of the lists after and before, then tokens
-    and scores that are in one list only, from the other side. A token's scores add up.
-    """
-    n = len(columns[0])
-    owner = np.concatenate([_owners(columns[i]) for i in SIZED])
-    toks = pa.concat_arrays([_words(columns[0], columns[1]), _words(columns[4], columns[5]), columns[8].flatten()])
-    packed = np.concatenate([np.asarray(columns[i].flatten()) for i in (2, 6)]).astype(np.int64)
-    score = np.concatenate([packed >> 1, np.asarray(columns[9].flatten()).astype(np.int64)])
-    sig = np.concatenate([np.asarray(columns[i].flatten()) for i in (3, 7)]).astype(np.int64) + SIGNATURE_SHIFT
-    tok, size = _byte_order(toks)
-    alone = np.arange(len(tok)) >= len(packed)
-    order = np.argsort((owner * size + tok) * 2 + alone)
-    by, tok = owner[order], tok[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (by[1:] != by[:-1]) | (tok[1:] != tok[:-1])
-    at = np.flatnonzero(first)
-    score = np.add.reduceat(score[order], at) if len(at) else score
-    by, order = by[at], order[at]
-    best = np.argsort(by * (1 << 40) - score, kind="stable")
-    best = best[_places(by[best], n) < k]
-    order = order[best]
-    sig = sig[order]
-    return by[best], toks.take(pa.array(order)), score[best], sig & (1 << WEIGHT_SHIFT) - 1, (packed[order] & 1).astype(bool), sig >> WEIGHT_SHIFT
-
-
 def _lists(owner: np.ndarray, n: int, fields: list[tuple[str, pa.Array]]) -> pa.Array:
     values = pa.StructArray.from_arrays([v for _, v in fields], [name for name, _ in fields])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
 
 
-def _slices(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of a bounded number of list entries, one row at least."""
-    sizes = sum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(first + i)), 0)).astype(np.int64) for i in SIZED)
-    begin, ends = 0, np.cumsum(sizes)
-    while begin < batch.num_rows:
-        before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + ENTRIES, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
+def fill_batches(batches: Iterator[pa.RecordBatch], index: FillIndex) -> Iterator[pa.RecordBatch]:
+    """All columns but the last, the hashes of name and neighbours, and ``fills``."""
+    for batch in batches:
+        for part in gap_slices(batch, index.k):
+            _, prev, following = index.numbers(part.columns[-1])
+            owner, tok, score = index.fills(prev, following)
+            words, sig, ok = index.vocabulary.texts(tok), index.signatures(tok), index.vocabulary.column("valid", tok)
+            fields = [("neg", pa.array(-score)), ("tok", words), ("sig", pa.array(sig)), ("ok", pa.array(ok))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(owner, part.num_rows, fields)], [*part.schema.names[:-1], "fills"])
 
 
-def fill_batches(batches: Iterator[pa.RecordBatch], keep: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The first ``keep`` columns and ``fills``."""
-    for batch in batches:
-        for part in _slices(batch, keep):
-            owner, toks, score, sig, ok, _ = merged(part.columns[keep:], k)
-            fields = [("neg", pa.array(-score)), ("tok", toks), ("sig", pa.array(sig)), ("ok", pa.array(ok))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:keep], _lists(owner, part.num_rows, fields)], [*part.schema.names[:keep], "fills"])
-
-
-def _similar(part: pa.RecordBatch, keep: int, k: int) -> tuple[np.ndarray, ...]:
-    """Owner, token, score, validity, distance, place among the fills and weight; the most similar to the name, the last column, first,
-    equal distances in the order of the fills."""
-    owner, toks, score, sig, ok, weight = merged(part.columns[keep:-1], k)
-    own = np.asarray(part.columns[-1]).astype(np.int64)
-    dist = np.bitwise_count(sig ^ own[owner]).astype(np.int32)
-    index = _places(owner, part.num_rows).astype(np.int32)
-    near = np.argsort(owner * 64 + dist, kind="stable")
-    return owner, toks, score[near], ok[near], dist[near], index[near], weight[near], near
-
-
-def similar_batches(batches: Iterator[pa.RecordBatch], keep: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The first ``keep`` columns and ``similar``: the fills by the distance of their signature to that of the name, the last
-    column; equal distances keep the order of the fills."""
+def similar_batches(batches: Iterator[pa.RecordBatch], index: FillIndex) -> Iterator[pa.RecordBatch]:
+    """All columns but the last, the hashes of name and neighbours, and ``similar``: the fills by the distance of their signature to that of
+    the name; equal distances keep the order of the fills."""
     for batch in batches:
-        for part in _slices(batch, keep):
-            owner, toks, score, ok, dist, index, _, near = _similar(part, keep, k)
-            fields = [("dist", pa.array(dist)), ("idx", pa.array(index)), ("cand", toks.take(pa.array(near))), ("score", pa.array(score)), ("ok", pa.array(ok))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:keep], _lists(owner, part.num_rows, fields)], [*part.schema.names[:keep], "similar"])
+        for part in gap_slices(batch, index.k):
+            s = index.similar(part.columns[-1])
+            words, ok = index.vocabulary.texts(s.tok), index.vocabulary.column("valid", s.tok)
+            fields = [("dist", pa.array(s.dist.astype(np.int32))), ("idx", pa.array(s.index.astype(np.int32))), ("cand", words), ("score", pa.array(s.score)), ("ok", pa.array(ok))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(s.owner, part.num_rows, fields)], [*part.schema.names[:-1], "similar"])
 
 
 def kept_batches(
-    batches: Iterator[pa.RecordBatch], keep: int, k: int, cut: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], lowest: int, weighed: bool = False
+    batches: Iterator[pa.RecordBatch], index: FillIndex, cut: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], lowest: int, weighed: bool = False
 ) -> Iterator[pa.RecordBatch]:
-    """The first ``keep`` columns, then ``toks, lens, scores``, and ``weights`` if wanted: the similar fills that are left of each gap, most
-    similar first.
+    """All columns but the last, the hashes of name and neighbours, then ``toks, lens, scores``, and ``weights`` if wanted: the similar fills
+    that are left of each gap, most similar first.
 
     ``cut`` tells from the place, the distance and the number of its gap's fills whether a fill is similar enough. The rest ends before the
     first score below ``lowest`` (0: none is); words that are no valid names are left out.
     """
     for batch in batches:
-        for part in _slices(batch, keep):
-            n = part.num_rows
-            owner, toks, score, ok, dist, _, weight, near = _similar(part, keep, k)
-            place = _places(owner, n)
-            left = cut(place, dist, np.bincount(owner, minlength=n)[owner])
+        for part in gap_slices(batch, index.k):
+            n, s = part.num_rows, index.similar(part.columns[-1])
+            place = _places(s.owner, n)
+            left = cut(place, s.dist, s.sizes[s.owner])
             if lowest:
-                low = np.flatnonzero(left & (score < lowest))
-                ends = np.full(n, k, np.int64)
-                np.minimum.at(ends, owner[low], place[low])
-                left &= place < ends[owner]
-            at = np.flatnonzero(left & ok)
-            begins = np.searchsorted(owner[at], np.arange(n + 1))
-            texts, lens = _flat(toks.take(pa.array(near[at])), begins)
-            numbers = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x[at].astype(np.int32))) for x in (score, weight)[: 1 + weighed]]
-            yield pa.RecordBatch.from_arrays([*part.columns[:keep], texts, lens, *numbers], [*part.schema.names[:keep], "toks", "lens", "scores", "weights"][: keep + 3 + weighed])
+                low = np.flatnonzero(left & (s.score < lowest))
+                ends = np.full(n, index.k, np.int64)
+                np.minimum.at(ends, s.owner[low], place[low])
+                left &= place < ends[s.owner]
+            at = np.flatnonzero(left)
+            at = at[index.vocabulary.column("valid", s.tok[at])]
+            begins = np.searchsorted(s.owner[at], np.arange(n + 1))
+            texts, lens = _flat(index.vocabulary.texts(s.tok[at]), begins)
+            values = [s.score[at], *([index.weight(s.tok[at])] if weighed else [])]
+            numbers = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x.astype(np.int32))) for x in values]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts, lens, *numbers], [*part.schema.names[:-1], "toks", "lens", "scores", "weights"][: part.num_columns + 2 + weighed])
 
 
 def _whole_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

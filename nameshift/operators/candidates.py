@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameshift.functions.fill_lists import SIGNATURE_SHIFT, WEIGHT_SHIFT, candidate_batches, fill_batches, kept_batches, similar_batches
+from nameshift.functions import fill_index
+from nameshift.functions.fill_index import FillIndex, Pairs, Vocabulary
+from nameshift.functions.fill_lists import candidate_batches, fill_batches, kept_batches, similar_batches
 from nameshift.functions.lexing import pieces
 from nameshift.functions.names import is_valid_name
+from nameshift.functions.shared_arrays import drop_files
 from nameshift.functions.similarity import SIGNATURE_BITS, signature_cosine, signature_hash, signature_vote
 from nameshift.operators.scoring import MICRO
 from nameshift.operators.skew import skew_join
-from nameshift.session import stage
+from nameshift.session import new_folder, stage
 
 #: Attaches a column ``w`` to rows with the given token column.
 Weigh = Callable[[DataFrame, str], DataFrame]
@@ -62,8 +67,7 @@ def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, lang:
 
     Spark cuts each map task to ``k`` rows per key before the shuffle (window group limit), so a token with
     millions of neighbours still sends few rows. P9, whether the token may be a name at all, is settled here, once per list
-    entry, instead of once per gap. Lists are three flat arrays, with the validity packed into the score: they travel with
-    every gap. A list that is not ``full`` holds every neighbour. If ``words`` bring a weight ``w``, it travels with the signature.
+    entry. Lists are three flat arrays, with the validity packed into the score. A list that is not ``full`` holds every neighbour.
     """
     key, fill = ("a", "b") if side == "after" else ("b", "a")
     first = Window.partitionBy(key).orderBy(F.desc("c"), fill)
@@ -75,9 +79,7 @@ def top_neighbours(pairs: DataFrame, words: DataFrame, k: int, side: str, lang:
     )
     with_sig = skew_join(best, words, ["tok"], "n", ["key"])
     valid = F.when(is_valid_name(F.col("tok"), lang), 1).otherwise(0)
-    sig = F.col("sig") - SIGNATURE_SHIFT
-    sig = F.shiftleft("w", WEIGHT_SHIFT) + sig if "w" in words.columns else sig.cast("int")
-    entry = F.struct("tok", (2 * pair_score() + valid).cast("int").alias("score"), sig.alias("sig"))
+    entry = F.struct("tok", (2 * pair_score() + valid).cast("int").alias("score"), (F.col("sig") - (1 << 31)).cast("int").alias("sig"))
     lists = with_sig.groupBy("key").agg(F.collect_list(entry).alias("l"), F.sum("c").alias("n"))
     return lists.select("key", F.col("l.tok").alias("toks"), F.col("l.score").alias("scores"), F.col("l.sig").alias("sigs"), (F.size("l") >= k).alias("full"), "n")
 
@@ -152,11 +154,45 @@ def contexts(lexed: DataFrame, lang: str, block_size: int) -> DataFrame:
     return lexed.select("sample_id", F.explode(distinct).alias("g")).select("sample_id", "g.name", "g.prev", "g.next")
 
 
+def run_parts(spark: SparkSession, n: int, make: Callable[[Iterator[int]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The rows that ``make`` returns for the parts 0 to ``n`` - 1, a task each."""
+    return spark.range(0, n, 1, n).mapInArrow(lambda batches: (out for batch in batches for out in make(iter(batch.column(0).to_pylist()))), schema)
+
+
+def in_order(rows: DataFrame) -> tuple[str, ...]:
+    """The files that the tasks of all parts wrote, by part."""
+    return tuple(r["place"] for r in sorted(rows.collect(), key=lambda r: r["part"]))
+
+
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def vocabulary(tokens: DataFrame, lang: str, n: int) -> Vocabulary:
+    """All distinct ``tok``, numbered by their bytes, with what the fill model asks of a token alone."""
+    spark, folder = tokens.sparkSession, new_folder(tokens.sparkSession, "vocabulary")
+    distinct = tokens.where("tok != ''").distinct().unionByName(spark.range(1).select(F.lit("").alias("tok")))
+    hashed = distinct.repartitionByRange("tok").sortWithinPartitions("tok").select(
+        "tok",
+        F.xxhash64("tok").alias("hash"),
+        signature_hash(F.concat(F.lit("R"), "tok")).alias("right"),
+        signature_hash(F.concat(F.lit("L"), "tok")).alias("left"),
+        is_valid_name(F.col("tok"), lang).alias("valid"),
+    )
+    made = hashed.mapInArrow(lambda batches: fill_index.word_files(batches, folder, TaskContext.get().partitionId()), "partition long, n long, place string")
+    rows = sorted(made.collect(), key=lambda r: r["partition"])
+    starts = np.cumsum([0, *(r["n"] for r in rows)]).tolist()
+    words = Vocabulary(tuple(r["place"] for r in rows), tuple(starts))
+    hashes = run_parts(spark, n, lambda parts: fill_index.hash_files(parts, words, n, folder), "part long, place string")
+    return replace(words, hashes=in_order(hashes))
+
+
 @dataclass
 class FillModel:
     """Counts that stand in for a masked language model.
 
-    ``words(tok, n, sig)``, ``after`` and ``before`` (``key, toks, scores, sigs, full, n``) are staged tables; the lists are made when
+    ``pairs(a, b, c)`` and ``words(tok, n, sig)`` are its tables. Gaps are filled from mapped files of the same counts, so neither
+    pairs nor lists of neighbours are sent: ``seen`` numbers the tokens, ``counted`` holds the pairs by number, and the lists are made when
     the first gap wants them. ``weigh`` attaches a scorer's weight to every word, so that candidates carry it from the start.
     """
 
@@ -165,11 +201,34 @@ class FillModel:
     top_k: int = TOP_K
     lang: str = "c"
     weigh: Weigh | None = None
+    seen: Vocabulary | None = None
+    counted: Pairs | None = None
+    lists: tuple[str, ...] | None = None
 
     @classmethod
     def train(cls, lexed: DataFrame, top_k: int = TOP_K, lang: str = "c") -> "FillModel":
-        pairs = stage(bigrams(lexed), "bigrams")
-        return cls(pairs, stage(signatures(pairs), "words"), top_k, lang)
+        spark = lexed.sparkSession
+        n, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), new_folder(spark, "pairs")
+        seen = vocabulary(lexed.select(F.explode("tokens").alias("tok")), lang, n)
+        # a text's tokens travel to its task's Python as numbers, and nowhere else
+        hashes = lexed.select(token_hashes(F.col("tokens")).alias("hashes"))
+        chunks = [r["uri"] for r in hashes.mapInArrow(lambda batches: fill_index.pair_chunks(batches, seen, n, folder), "uri string").collect()]
+        size = seen.size
+        files = stage(run_parts(spark, n, lambda parts: fill_index.pair_files(parts, chunks, n, size, folder), "part long, place string"), "bigrams")
+        counted = Pairs(in_order(files))
+        drop_files(chunks)
+        pairs = files.mapInArrow(lambda batches: fill_index.pair_rows(batches, seen, n), "a string, b string, c long")
+        lists = cls._lists(spark, seen, counted, top_k)
+        words = run_parts(spark, n, lambda parts: fill_index.word_rows(parts, seen, lists), "tok string, n long, sig long")
+        return cls(pairs, stage(words, "words"), top_k, lang, None, seen, counted, lists)
+
+    @staticmethod
+    def _lists(spark: SparkSession, seen: Vocabulary, counted: Pairs, k: int) -> tuple[str, ...]:
+        folder, kind = new_folder(spark, "lists"), "part long, place string"
+        dealt = list(in_order(run_parts(spark, counted.n, lambda parts: fill_index.dealt_files(parts, counted, folder), kind)))
+        lists = in_order(run_parts(spark, counted.n, lambda parts: fill_index.list_files(parts, seen, counted, dealt, k, folder), kind))
+        drop_files(dealt)
+        return lists
 
     @cached_property
     def list_words(self) -> DataFrame:
@@ -177,82 +236,64 @@ class FillModel:
 
     @cached_property
     def after(self) -> DataFrame:
-        return stage(top_neighbours(self.pairs, self.list_words, self.top_k, "after", self.lang), "after")
+        return stage(top_neighbours(self.pairs, self.words, self.top_k, "after", self.lang), "after")
 
     @cached_property
     def before(self) -> DataFrame:
-        return stage(top_neighbours(self.pairs, self.list_words, self.top_k, "before", self.lang), "before")
+        return stage(top_neighbours(self.pairs, self.words, self.top_k, "before", self.lang), "before")
+
+    @cached_property
+    def index(self) -> FillIndex:
+        spark, seen, counted = self.words.sparkSession, self.seen, self.counted
+        lists = self.lists or self._lists(spark, seen, counted, self.top_k)
+        if not self.weigh:
+            return FillIndex(seen, counted, lists, self.top_k)
+        folder, n = new_folder(spark, "weights"), counted.n
+        # parts of the words go by place in the vocabulary, as those of the lists do
+        weighed = self.list_words.select(F.xxhash64("tok").alias("hash"), "w")
+        numbered = weighed.mapInArrow(lambda batches: fill_index.numbered(batches, seen, n), "part long, number long, w long")
+        files = numbered.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: fill_index.weight_files(batches, seen.size, n, folder), "part long, place string")
+        return FillIndex(seen, counted, lists, self.top_k, fill_index.all_parts(files.collect(), n))
 
     def resized(self, top_k: int, lang: str = "c") -> "FillModel":
         """The same counts with another number of fills per gap."""
-        return self if top_k == self.top_k else FillModel(self.pairs, self.words, top_k, lang, self.weigh)
-
-    def _side(self, table: DataFrame, key: str, prefix: str, *columns: str) -> DataFrame:
-        return table.select(F.col("key").alias(key), *[F.col(c).alias(prefix + c) for c in columns], F.col("n").alias("_n"))
-
-    def missing_scores(self, gaps: DataFrame) -> DataFrame:
-        """``(prev, next, extra array<struct<tok, score>>)``: for fills in one list only, the score of their pair on the other side.
-
-        An equi join of the distinct pairs (fill, next) and (prev, fill) with all counted pairs. A list that is not full holds
-        all there is, so a fill that it lacks was never seen there, and is not looked up.
-        """
-        ends = gaps.select("prev", "next").distinct()
-        none = F.array().cast("array<string>")
-        lists = skew_join(ends, self._side(self.after, "prev", "a", "toks", "full"), ["prev"], "_n", ["next"], hashed=True)
-        lists = skew_join(lists, self._side(self.before, "next", "b", "toks", "full"), ["next"], "_n", ["prev"], hashed=True)
-        # a counted pair is one row, so the many pairs that are looked up need not be sorted
-        pairs = self.pairs.hint("shuffle_hash")
-        lists = lists.where("afull OR bfull").select("prev", "next", "afull", "bfull", F.coalesce("atoks", none).alias("at"), F.coalesce("btoks", none).alias("bt"))
-        behind = lists.where("bfull").select("prev", "next", F.explode(F.array_except("at", "bt")).alias("tok")).join(pairs.withColumnsRenamed({"a": "tok", "b": "next"}), ["tok", "next"])
-        ahead = lists.where("afull").select("prev", "next", F.explode(F.array_except("bt", "at")).alias("tok")).join(pairs.withColumnsRenamed({"a": "prev", "b": "tok"}), ["prev", "tok"])
-        found = behind.select("prev", "next", "tok", "c").unionByName(ahead.select("prev", "next", "tok", "c"))
-        return found.groupBy("prev", "next").agg(F.collect_list(F.struct("tok", pair_score().alias("score"))).alias("extra"))
-
-    def with_lists(self, gaps: DataFrame) -> DataFrame:
-        """Gaps ``(…, prev, next, …)`` with the lists that their fills come from.
-
-        The few extra scores are joined first, so of the long lists only the first one is shuffled, once.
-        """
-        spread = [c for c in gaps.columns if c in ("name", "prev", "next", "sample_id")]
-        out = gaps.join(self.missing_scores(gaps), ["prev", "next"], "left")
-        columns = ("toks", "lens", "scores", "sigs")
-        out = skew_join(out, self._side(flat_words(self.after), "prev", "a", *columns), ["prev"], "_n", spread, hashed=True)
-        out = skew_join(out, self._side(flat_words(self.before), "next", "b", *columns), ["next"], "_n", spread, hashed=True)
-        return out.select(*gaps.columns, *[s + c for s in "ab" for c in columns], F.col("extra.tok").alias("xtoks"), F.col("extra.score").alias("xscores"))
+        if top_k == self.top_k:
+            return self
+        seen = self.seen if lang == self.lang else vocabulary(self.words.select("tok"), lang, self.counted.n)
+        return FillModel(self.pairs, self.words, top_k, lang, self.weigh, seen, self.counted)
+
+    def _together(self, gaps: DataFrame) -> DataFrame:
+        """Gaps with the hashes of their name and neighbours as ``toks``. Those of the same neighbours come together, so that they are filled
+        once; a gap is sent once, and of ``toks`` only the name's."""
+        hashed = gaps.withColumn("toks", token_hashes(F.array("name")))
+        return hashed.repartition("prev", "next").sortWithinPartitions("prev", "next").withColumn("toks", F.concat("toks", token_hashes(F.array("prev", "next"))))
 
     def fills(self, gaps: DataFrame) -> DataFrame:
-        """Gaps ``(…, prev, next, n)`` with ``fills array<struct<neg, tok, sig, ok>>``: the best ``top_k`` of the
+        """Gaps ``(name, prev, next, …)`` with ``fills array<struct<neg, tok, sig, ok>>``: the best ``top_k`` of the
         ``top_k`` most frequent tokens on either side."""
-        keep, k = len(gaps.columns), self.top_k
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gaps.schema)
+        index, fields = self.index, _fields(gaps)
         schema = f"{fields}, fills array<struct<neg:bigint,tok:string,sig:bigint,ok:boolean>>"
-        return self.with_lists(gaps).mapInArrow(lambda batches: fill_batches(batches, keep, k), schema)
+        return self._together(gaps).mapInArrow(lambda batches: fill_batches(batches, index), schema)
 
     def similar_fills(self, gaps: DataFrame) -> DataFrame:
-        """C1 + similarity order: gaps ``(name, prev, next, n)`` with ``similar array<struct<dist, idx, cand, score, ok>>``, by the
+        """C1 + similarity order: gaps ``(name, prev, next, …)`` with ``similar array<struct<dist, idx, cand, score, ok>>``, by the
         signature's distance to that of the name; equal ones keep the fill order. A name the corpus lacks has signature 0."""
-        keep, k = len(gaps.columns), self.top_k
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gaps.schema)
+        index, fields = self.index, _fields(gaps)
         schema = f"{fields}, similar array<struct<dist:int,idx:int,cand:string,score:bigint,ok:boolean>>"
-        return self._with_signatures(gaps).mapInArrow(lambda batches: similar_batches(batches, keep, k), schema)
+        return self._together(gaps).mapInArrow(lambda batches: similar_batches(batches, index), schema)
 
     def kept_fills(self, gaps: DataFrame, threshold: float | None, at_most: int | None, score_cut: int) -> DataFrame:
         """``similar_fills`` after C3 or C4, P13 and P9: gaps with ``toks, lens, scores``, the words that are left as one text and
         their lengths, and ``weights`` if there are any. A list crosses to Arrow and back as a few values, not as one per word."""
-        keep, k = len(gaps.columns), self.top_k
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gaps.schema)
+        index, fields = self.index, _fields(gaps)
         cut = similarity_cut(threshold, at_most)
         weighed = self.weigh is not None
         kind = f"{FLAT}, weights array<int>" if weighed else FLAT
-        return self._with_signatures(gaps).mapInArrow(lambda batches: kept_batches(batches, keep, k, cut, score_cut, weighed), f"{fields}, {kind}")
-
-    def _with_signatures(self, gaps: DataFrame) -> DataFrame:
-        """``with_lists`` and the signature of the name, the last column."""
-        keep = len(gaps.columns)
-        sigs = self.words.select(F.col("tok").alias("name"), "sig", F.col("n").alias("_n"))
-        known = skew_join(gaps, sigs, ["name"], "_n", ["prev", "next"]).select(*gaps.columns, F.coalesce("sig", F.lit(0)).alias("sig"))
-        rows = self.with_lists(known)
-        return rows.select(*gaps.columns, *rows.columns[keep + 1 :], "sig")
+        return self._together(gaps).mapInArrow(lambda batches: kept_batches(batches, index, cut, score_cut, weighed), f"{fields}, {kind}")
+
+
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
 def piece_pairs(words: DataFrame) -> DataFrame:

@@ -110,11 +110,19 @@ class AttackInputs:
         names_mode: str = "all",
     ) -> "AttackInputs":
         """Built-in models: the scorer trained on ``train`` (else on the samples themselves), the fill model on a corpus of
-        texts, which waits until candidates are wanted."""
+        texts. Either waits until it is wanted."""
         inputs = cls(samples, None, lambda: FillModel.train(with_tokens(fill_corpus, lang=lang), top_k, lang), lang, names_mode)
-        inputs.scorer = LinearScorer.train(inputs.tokens if train is None else with_tokens(train, lang=lang), block_size, smoothing)
+        del inputs.scorer
+        inputs.train_scorer = lambda: LinearScorer.train(inputs.tokens if train is None else with_tokens(train, lang=lang), block_size, smoothing)
         return inputs
 
+    def __getattr__(self, name: str):
+        """The scorer that ``prepare`` announced, trained when it is first asked for."""
+        if name != "scorer" or "train_scorer" not in self.__dict__:
+            raise AttributeError(name)
+        self.scorer = self.train_scorer()
+        return self.scorer
+
     @cached_property
     def fills(self) -> FillModel:
         return self.fill_model() if callable(self.fill_model) else self.fill_model

@@ -50,6 +50,11 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder for files of our own formats, beside the staged tables."""
+    return f"{scratch_dir(spark)}/nameshift/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -57,7 +62,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     file size lets Catalyst decide whether a later join may broadcast it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/nameshift/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
