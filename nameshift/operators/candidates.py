@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from nameshift.functions import fill_index
 from nameshift.functions.fill_index import FillIndex, Pairs, Vocabulary
-from nameshift.functions.fill_lists import candidate_batches, fill_batches, kept_batches, similar_batches
+from nameshift.functions.fill_lists import candidate_batches, fill_batches, kept_batches, merged_batches, near_batches, similar_batches, struck_batches
 from nameshift.functions.lexing import pieces
-from nameshift.functions.names import is_valid_name
+from nameshift.functions.names import identifiers, is_valid_name
 from nameshift.functions.shared_arrays import drop_files
 from nameshift.functions.similarity import SIGNATURE_BITS, signature_cosine, signature_hash, signature_vote
 from nameshift.operators.scoring import MICRO
@@ -137,8 +137,22 @@ def threshold_top_n(rows: DataFrame, group: list[str], similarity: str, order: s
     return rows.where(F.col(similarity) >= threshold).withColumn("r", F.row_number().over(best)).where(F.col("r") <= n)
 
 
-def contexts(lexed: DataFrame, lang: str, block_size: int) -> DataFrame:
-    """The distinct gaps ``(sample_id, name, prev, next)`` of valid names inside the model window."""
+def sample_texts(lexed: DataFrame) -> DataFrame:
+    """``(sample_id, texts)``: the tokens of all texts that share an id."""
+    return lexed.where(F.col("tokens").isNotNull()).groupBy("sample_id").agg(F.collect_list("tokens").alias("texts"))
+
+
+def whole_samples(lexed: DataFrame) -> DataFrame:
+    """``(sample_id, tokens)``: the texts of a sample, if several share its id, lie one after another in one task.
+
+    What a sample needs of its own texts is then made where they lie, and of all that is made only the outcome is sent.
+    """
+    return sample_texts(lexed).select("sample_id", F.explode("texts").alias("tokens"))
+
+
+def contexts(lexed: DataFrame, lang: str, block_size: int, own_names: bool = False) -> DataFrame:
+    """The distinct gaps ``(sample_id, name, prev, next)`` of valid names inside the model window. If ``own_names`` are
+    wanted, the names of the whole text come with them, as ``prev`` of rows without a name."""
     tokens = F.col("tokens")
 
     def gap(t: Column, i: Column) -> Column:
@@ -151,6 +165,10 @@ def contexts(lexed: DataFrame, lang: str, block_size: int) -> DataFrame:
 
     gaps = F.filter(F.transform(tokens, gap), lambda g: (g["pos"] < block_size) & is_valid_name(g["name"], lang))
     distinct = F.array_distinct(F.transform(gaps, lambda g: g.dropFields("pos")))
+    if own_names:
+        none = F.lit(None).cast("string")
+        own = F.transform(identifiers(tokens, lang), lambda t: F.struct(none.alias("name"), t.alias("prev"), none.alias("next")))
+        distinct = F.concat(distinct, own)
     return lexed.select("sample_id", F.explode(distinct).alias("g")).select("sample_id", "g.name", "g.prev", "g.next")
 
 
@@ -292,6 +310,15 @@ class FillModel:
         return self._together(gaps).mapInArrow(lambda batches: kept_batches(batches, index, cut, score_cut, weighed), f"{fields}, {kind}")
 
 
+    def near_fills(self, gaps: DataFrame, threshold: float | None = None, at_most: int | None = None, score_cut: int = 0, valid_only: bool = True) -> DataFrame:
+        """``kept_fills`` of gaps ``(sample_id, name, prev, next)``, made where the gaps lie: ``sample_id, name, numbers, scores``. A row without
+        a name has the number of the word that it brings as ``prev``."""
+        index, cut = self.index, similarity_cut(threshold, at_most)
+        toks = F.when(F.col("name").isNull(), token_hashes(F.array("prev"))).otherwise(token_hashes(F.array("name", "prev", "next")))
+        rows = gaps.select("sample_id", "name", toks.alias("toks"))
+        return rows.mapInArrow(lambda batches: near_batches(batches, index, cut, score_cut, valid_only), f"{_fields(rows.drop('toks'))}, numbers array<int>, scores array<int>")
+
+
 def _fields(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -378,22 +405,35 @@ def flat_kept(lists: DataFrame) -> DataFrame:
     return flat_words(cands)
 
 
-def gap_candidates(gaps: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each gap of a sample takes the list of its distinct gap ``(name, prev, next, n, kept)``, or ``toks, lens, scores`` for ``kept``.
+def gap_candidates(gaps: DataFrame, fills: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each gap of a sample takes the list of its fills, ``(sample_id, name, numbers, scores)``: made where the gap lies, so that no list is sent.
 
-    The same gap may occur in a large share of all samples, so the join is salted.
+    The same gap may occur in a large share of all samples; gaps of the same neighbours that are worked on at once are filled once.
     """
-    columns = [c for c in lists.columns if c not in (*GAP, "n")]
-    return skew_join(gaps, lists, GAP, "n", ["sample_id"], "inner").select("sample_id", "name", *columns)
+    return fills(gaps).select("sample_id", "name", "numbers", "scores")
 
 
-def merge_candidates(lists: DataFrame) -> DataFrame:
-    """The distinct candidates of a name over all its occurrences, with their best score.
+def drop_own_names(lists: DataFrame) -> DataFrame:
+    """P11 on its own, on ``gap_candidates`` of gaps that came with their sample's own names."""
+    kind = lists.schema["sample_id"].dataType.simpleString()
+    return lists.mapInArrow(struck_batches, f"sample_id {kind}, name string, numbers array<int>, scores array<int>")
+
+
+def merged_rows(lists: DataFrame, model: FillModel) -> DataFrame:
+    """C7 as rows ``(sample_id, name, idx, cand, score)``, with ``w_cand`` if the model weighs its words."""
+    index, weighed, kind = model.index, model.weigh is not None, lists.schema["sample_id"].dataType.simpleString()
+    weight = ", w_cand long" if weighed else ""
+    return lists.mapInArrow(lambda batches: merged_batches(batches, index, weighed, False), f"sample_id {kind}, name string, idx long, cand string, score long{weight}")
+
 
-    One shuffle by sample; the lists are unpacked behind it, and grouping by (sample, name, cand) needs no other.
+def merge_candidates(lists: DataFrame, model: FillModel) -> DataFrame:
+    """``(sample_id, name, cands, scores)``, the distinct candidates of a name over all its occurrences, with their best score, best first,
+    equal scores by word.
+
+    ``lists`` are those of ``near_fills``, the rows of a sample together in one task; they are merged there by number.
     """
-    rows = lists.repartition("sample_id").select("sample_id", "name", F.explode("kept").alias("k"))
-    return rows.groupBy("sample_id", "name", F.col("k.cand").alias("cand")).agg(F.max("k.score").alias("score"))
+    index, kind = model.index, lists.schema["sample_id"].dataType.simpleString()
+    return lists.mapInArrow(lambda batches: merged_batches(batches, index, False, True), f"sample_id {kind}, name string, cands array<string>, scores array<bigint>")
 
 
 def foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
@@ -414,15 +454,19 @@ def foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
     return rows.mapInArrow(candidate_batches, f"sample_id {kind}, name string, idx long, cand string, score long{weight}")
 
 
-def drop_own_names(candidates: DataFrame, own_names: DataFrame) -> DataFrame:
-    """P11 on its own."""
-    own = own_names.select("sample_id", F.col("name").alias("cand"))
-    return candidates.join(own, ["sample_id", "cand"], "left_anti")
+def several_pieces_own(samples: DataFrame, lang: str, block_size: int) -> DataFrame:
+    """``(sample_id, name)``: all names of the samples that have one of several pieces in their window; the others need no more than their gaps."""
+
+    def several(word: Column) -> Column:
+        return is_valid_name(word, lang) & (F.size(pieces(word)) > 1)
+
+    wanted = samples.where(F.exists("texts", lambda t: F.exists(F.slice(t, 1, block_size), several)))
+    return wanted.select("sample_id", F.explode(F.array_distinct(F.flatten("texts"))).alias("name")).where(is_valid_name(F.col("name"), lang))
 
 
 def search_space(
     lexed: DataFrame,
-    own_names: DataFrame,
+    own_names: DataFrame | None,
     model: FillModel,
     lang: str,
     block_size: int,
@@ -433,16 +477,16 @@ def search_space(
 ) -> DataFrame:
     """``(sample_id, name, idx, cand, score)`` for every valid name in the window that has a substitute.
 
-    Fills are looked up once per distinct gap, cut to the better half (or by threshold), joined back to the
-    samples and merged per name (C7). Multi-piece names are composed instead. Invalid words (P9) and the
-    sample's own names (P11) are removed; the rest is ordered by score, then by word. A model that weighs its words gives every
-    candidate's weight ``w_cand``, looked up once per word.
+    The texts of a sample are brought together once. Its gaps are filled there, cut to the better half (or by threshold) and merged per
+    name (C7), so no list is sent. Multi-piece names are composed instead. Invalid words (P9) and the sample's own names (P11), all
+    valid words of its texts, are removed; the rest is ordered by score, then by word. ``own_names`` may bring them for composed words. A
+    model that weighs its words gives every candidate's weight ``w_cand``, looked up once per word.
     """
-    gaps = stage(contexts(lexed, lang, block_size), "sample-gaps")
-    single = gaps.where(F.size(pieces(F.col("name"))) == 1)
-    distinct = stage(single.groupBy(*GAP).agg(F.count("*").alias("n")), "gaps")
-    lists = stage(model.kept_fills(distinct, similarity_threshold, at_most, score_cut), "gap-fills")
-    found = gap_candidates(single, lists)
+    samples = stage(sample_texts(lexed), "sample-texts")
+    gaps = contexts(samples.select("sample_id", F.explode("texts").alias("tokens")), lang, block_size, own_names=True)
+    single = gaps.where(F.col("name").isNull() | (F.size(pieces(F.col("name"))) == 1))
+    lists = gap_candidates(single, lambda rows: model.near_fills(rows, similarity_threshold, at_most, score_cut))
+    found = merged_rows(drop_own_names(lists), model)
     if compose:
         multi = gaps.where(F.size(pieces(F.col("name"))) > 1).select("sample_id", "name").distinct()
         composed = compose_words(multi, model.words).where(is_valid_name(F.col("cand"), lang))
@@ -451,10 +495,9 @@ def search_space(
             composed, fields, kind = model.weigh(composed.select("name", "cand", "score"), "cand"), [*fields, "w"], KEPT_WEIGHED
         composed = composed.groupBy("name").agg(F.collect_list(F.struct(*fields)).cast(kind).alias("kept"))
         lists = composed.join(multi.groupBy("name").agg(F.count("*").alias("n")), "name")
-        found = found.unionByName(
-            flat_kept(skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner").select("sample_id", "name", "kept"))
-        )
-    return foreign_candidates(found, own_names)
+        lists = skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
+        found = found.unionByName(foreign_candidates(lists, several_pieces_own(samples, lang, block_size) if own_names is None else own_names))
+    return found
 
 
 def space_map(candidates: DataFrame) -> DataFrame:

@@ -450,24 +450,23 @@ def fill_score_cut(spark, folder):
     return cut.select("name", "prev", "next", size("cut").alias("n_kept"), digest(F.col("cut.cand")).alias("digest"))
 
 
-def _conversation_union(spark, folder):
-    gaps, distinct = _conversation_gaps(spark, folder)
-    similar = prepared(spark, folder).fills.similar_fills(distinct)
-    kept = F.transform(cand_ops.keep_half(F.col("similar")), lambda s: F.struct(s["cand"], s["score"]))
-    lists = similar.select("name", "prev", "next", "n", kept.cast(cand_ops.KEPT).alias("kept"))
-    return cand_ops.merge_candidates(cand_ops.gap_candidates(gaps, stage(lists, "conversation-fills")))
+def _conversation_lists(spark, folder, own_names=False):
+    """The better half of the fills of every gap of a turn."""
+    model = prepared(spark, folder).fills
+    gaps = cand_ops.contexts(cand_ops.whole_samples(lexed_conversations(spark, folder)), LANG, 510, own_names)
+    return model, cand_ops.gap_candidates(gaps, lambda rows: model.near_fills(rows, valid_only=False))
 
 
 def candidate_union(spark, folder):
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "cand")))
-    union = _conversation_union(spark, folder).groupBy("sample_id", "name").agg(ordered.alias("l"))
-    return union.select("sample_id", "name", size("l").alias("n_cands"), digest(F.col("l.cand")).alias("digest"))
+    model, lists = _conversation_lists(spark, folder)
+    union = cand_ops.merge_candidates(lists, model)
+    return union.select("sample_id", "name", size("cands").alias("n_cands"), digest(F.col("cands")).alias("digest"))
 
 
 def candidate_not_own(spark, folder):
-    own = _names_of(lexed_conversations(spark, folder))
-    foreign = cand_ops.drop_own_names(_conversation_union(spark, folder), own)
-    return foreign.groupBy("sample_id", "name").agg(F.count("*").alias("n_cands"))
+    model, lists = _conversation_lists(spark, folder, own_names=True)
+    foreign = cand_ops.merge_candidates(cand_ops.drop_own_names(lists), model)
+    return foreign.select("sample_id", "name", size("cands").alias("n_cands"))
 
 
 def _vector_pairs(spark, folder):

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from nameshift.functions import shared_arrays
+from nameshift.operators import candidates
 from nameshift.operators.candidates import FillModel
 from nameshift.plans.inputs import AttackInputs
 
@@ -62,3 +63,30 @@ def test_dealt_rows_come_back_by_receiver(tmp_path):
     assert [read[0].tolist() for read in (shared_arrays.read_dealt(uris, p, 2) for p in range(3))] == [[-1, -1], [], [5, 2**31 - 1, 0] * 2]
     lists = pa.array([[1] * 5, None, [], [2] * 3, [3]])
     assert [len(x) for x in shared_arrays.slices(lists, 4)] == [1, 4]
+
+
+def _merged(model, lists):
+    return {(r.sample_id, r.name): list(zip(r.cands, r.scores)) for r in candidates.merge_candidates(lists, model).collect()}
+
+
+def test_candidates_are_merged_where_the_sample_lies(spark):
+    """Against plain loops over ``similar_fills``: texts that share an id, ids that are null, own names beyond the window; no list is sent."""
+    texts = [(1, "a b a c d a b e".split()), (1, "b c b q".split()), (2, "x y z x w y".split()), (None, "a b c".split()), (3, None), (4, [])]
+    lexed = spark.createDataFrame(texts, "sample_id long, tokens array<string>")
+    model = candidates.FillModel.train(lexed, 4)
+    gaps = candidates.contexts(candidates.whole_samples(lexed), "c", 4, own_names=True)
+    lists = candidates.gap_candidates(gaps, lambda rows: model.near_fills(rows, valid_only=False))
+    plain = candidates.contexts(lexed, "c", 4)
+    want, own = {}, {}
+    for r in model.similar_fills(plain).collect():
+        best = want.setdefault((r.sample_id, r.name), {})
+        for s in r.similar[: len(r.similar) // 2]:
+            best[s.cand] = max(s.score, best.get(s.cand, 0))
+    for sample, toks in texts:
+        own.setdefault(sample, set()).update(toks or [])
+    for struck in (True, False):
+        kept = {k: sorted(((c, s) for c, s in v.items() if not struck or c not in own[k[0]]), key=lambda e: (-e[1], e[0])) for k, v in want.items()}
+        made = candidates.drop_own_names(lists) if struck else lists.where("name IS NOT NULL")
+        assert _merged(model, made) == {k: v for k, v in kept.items() if v}
+    plan = candidates.merge_candidates(lists, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
