@@ -12,14 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from nameshift.functions.shared_arrays import CHUNK, arrays, deal, read_dealt, slices, write_arrays, write_dealt
+from nameshift.functions.shared_arrays import CHUNK, arrays, deal, forget, read_dealt, slices, write_arrays, write_dealt
 
 MICRO = 1_000_000
 SIGNATURE_BITS = 32
 #: Counts from this one on lie apart, with their places.
 LARGE = 255
 #: List entries that are merged at once; an entry's place and score are parts of one sorted number.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
 PLACE_BITS, SCORE_BITS = 22, 27
 
 
@@ -38,6 +38,11 @@ def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
+def _ends(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both tokens of counted pairs: the place of the first one in its part, and the number of the second."""
+    return keys >> 32, keys & 0xFFFFFFFF
+
+
 def _row_ends(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1)).astype(np.int64)
 
@@ -105,6 +110,7 @@ class Vocabulary:
 
 def word_files(batches: Iterator[pa.RecordBatch], folder: str, partition: int) -> Iterator[pa.RecordBatch]:
     """Rows ``tok, hash, right, left, valid`` sorted by token, as one file: ``partition, n, place``."""
+    forget()
     filled = [b for b in batches if b.num_rows]
     if not filled:
         return
@@ -149,6 +155,7 @@ def _count_chunk(lists: list[pa.Array], vocabulary: Vocabulary, n: int, folder:
 
 def pair_chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, n: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Hashes of texts' tokens to files of counted pairs, dealt by their first token."""
+    forget()
     waiting, held = [], 0
     for batch in batches:
         lists = batch.column(0)
@@ -162,7 +169,7 @@ def pair_chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, n: in
         yield _row(uri=_count_chunk(waiting, vocabulary, n, folder))
 
 
-def pair_files(parts: Iterator[int], chunks: list[str], n: int, size: int, folder: str) -> Iterator[pa.RecordBatch]:
+def pair_files(parts: Iterator[int], chunks: list[str], folder: str) -> Iterator[pa.RecordBatch]:
     """Counted pairs by their first token, sorted."""
     for p in parts:
         row, b, c = read_dealt(chunks, p, 3)
@@ -171,10 +178,7 @@ def pair_files(parts: Iterator[int], chunks: list[str], n: int, size: int, folde
         key = key[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         c = np.add.reduceat(c[order].astype(np.int64), at) if len(at) else c.astype(np.int64)
-        row, b = key[at] >> 32, key[at] & 0xFFFFFFFF
-        ends = _row_ends(row, -(-(size - p) // n))
-        place = write_arrays(folder, {"ends": ends, "b": b.astype(np.int32)} | _small(c))
-        yield _row(part=p, place=place)
+        yield _row(part=p, place=write_arrays(folder, {"key": key[at]} | _small(c)))
 
 
 def dealt_files(parts: Iterator[int], pairs: "Pairs", folder: str) -> Iterator[pa.RecordBatch]:
@@ -182,8 +186,9 @@ def dealt_files(parts: Iterator[int], pairs: "Pairs", folder: str) -> Iterator[p
     n = pairs.n
     for p in parts:
         file = arrays(pairs.files[p])
-        order = np.argsort(file["b"], kind="stable")
-        b, row = file["b"][order], np.repeat(np.arange(len(file["ends"]) - 1), np.diff(file["ends"]))[order]
+        row, b = _ends(file["key"])
+        order = np.argsort(b, kind="stable")
+        row, b = row[order], b[order]
         yield _row(part=p, place=write_dealt(folder, n, b % n, [b // n, row * n + p, _counts(file, slice(None))[order]]))
 
 
@@ -216,8 +221,7 @@ def list_files(parts: Iterator[int], vocabulary: Vocabulary, pairs: "Pairs", dea
     for p in parts:
         file, n = arrays(pairs.files[p]), pairs.n
         size = -(-(vocabulary.size - p) // n)
-        after = np.repeat(np.arange(size), np.diff(file["ends"]))
-        b, count = file["b"].astype(np.int64), _counts(file, slice(None))
+        (after, b), count = _ends(file["key"]), _counts(file, slice(None))
         before, a, seen = (x.astype(np.int64) for x in read_dealt(dealt, p, 3))
         order = np.lexsort((a, before))
         before, a, seen = before[order], a[order], seen[order]
@@ -239,21 +243,14 @@ class Pairs:
         return len(self.files)
 
     def counts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How often each pair was seen: by bisection of its first token's row."""
+        """How often each pair was seen."""
         out, n = np.zeros(len(a), np.int64), self.n
         for p, at in deal(a % n, n):
             file = arrays(self.files[p])
-            row, want = a[at] // n, b[at]
-            low, high = file["ends"][row], file["ends"][row + 1]
-            end, found = high.copy(), file["b"]
-            while len(open_ := np.flatnonzero(low < high)):
-                middle = (low[open_] + high[open_]) >> 1
-                less = found[middle] < want[open_]
-                low[open_[less]] = middle[less] + 1
-                high[open_[~less]] = middle[~less]
-            at, want, low = at[low < end], want[low < end], low[low < end]
-            hit = found[low] == want
-            out[at[hit]] = _counts(file, low[hit])
+            keys, want = file["key"], (a[at] // n << 32) | b[at]
+            place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == want) if len(keys) else np.zeros(0, np.int64)
+            out[at[hit]] = _counts(file, place[hit])
         return out
 
 
@@ -379,10 +376,10 @@ def pair_rows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, n: int)
     for batch in batches:
         for p, place in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
             file = arrays(place)
-            row = np.repeat(np.arange(len(file["ends"]) - 1), np.diff(file["ends"])) * n + p
-            for begin in range(0, len(row), ENTRIES):
-                part = slice(begin, min(begin + ENTRIES, len(row)))
-                yield pa.RecordBatch.from_pydict({"a": vocabulary.texts(row[part]), "b": vocabulary.texts(file["b"][part].astype(np.int64)), "c": pa.array(_counts(file, part))})
+            for begin in range(0, len(file["key"]), ENTRIES):
+                part = slice(begin, begin + ENTRIES)
+                row, b = _ends(file["key"][part])
+                yield pa.RecordBatch.from_pydict({"a": vocabulary.texts(row * n + p), "b": vocabulary.texts(b), "c": pa.array(_counts(file, part))})
 
 
 def word_rows(parts: Iterator[int], vocabulary: Vocabulary, lists: tuple[str, ...]) -> Iterator[pa.RecordBatch]:

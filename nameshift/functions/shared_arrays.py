@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyarrow import fs
 
 #: Tokens that a task counts, and pairs that it holds, at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _ALIGN = 64
 _open: dict[str, dict[str, np.ndarray]] = {}
 
@@ -64,6 +64,12 @@ def arrays(place: str) -> dict[str, np.ndarray]:
     return _open[place]
 
 
+def forget() -> None:
+    """A new model is made: files of earlier ones are mapped again if anything asks for them."""
+    _open.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def deal(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of each value of ``part``, of which there are ``n``."""
     order = np.argsort(part.astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")

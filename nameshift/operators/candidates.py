@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +205,22 @@ def vocabulary(tokens: DataFrame, lang: str, n: int) -> Vocabulary:
     return replace(words, hashes=in_order(hashes))
 
 
+@dataclass(frozen=True)
+class InPlace:
+    """Rows and what is done to their Arrow batches, step after step, where they lie: all steps run in one Python worker."""
+
+    rows: DataFrame
+    steps: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ...]
+
+    def then(self, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> "InPlace":
+        return replace(self, steps=(*self.steps, step))
+
+    def run(self, columns: str) -> DataFrame:
+        """``sample_id, name`` and the columns that the last step adds."""
+        steps, kind = self.steps, self.rows.schema["sample_id"].dataType.simpleString()
+        return self.rows.mapInArrow(lambda batches: reduce(lambda made, step: step(made), steps, batches), f"sample_id {kind}, name string, {columns}")
+
+
 @dataclass
 class FillModel:
     """Counts that stand in for a masked language model.
@@ -231,8 +247,7 @@ class FillModel:
         # a text's tokens travel to its task's Python as numbers, and nowhere else
         hashes = lexed.select(token_hashes(F.col("tokens")).alias("hashes"))
         chunks = [r["uri"] for r in hashes.mapInArrow(lambda batches: fill_index.pair_chunks(batches, seen, n, folder), "uri string").collect()]
-        size = seen.size
-        files = stage(run_parts(spark, n, lambda parts: fill_index.pair_files(parts, chunks, n, size, folder), "part long, place string"), "bigrams")
+        files = stage(run_parts(spark, n, lambda parts: fill_index.pair_files(parts, chunks, folder), "part long, place string"), "bigrams")
         counted = Pairs(in_order(files))
         drop_files(chunks)
         pairs = files.mapInArrow(lambda batches: fill_index.pair_rows(batches, seen, n), "a string, b string, c long")
@@ -310,13 +325,13 @@ class FillModel:
         return self._together(gaps).mapInArrow(lambda batches: kept_batches(batches, index, cut, score_cut, weighed), f"{fields}, {kind}")
 
 
-    def near_fills(self, gaps: DataFrame, threshold: float | None = None, at_most: int | None = None, score_cut: int = 0, valid_only: bool = True) -> DataFrame:
+    def near_fills(self, gaps: DataFrame, threshold: float | None = None, at_most: int | None = None, score_cut: int = 0, valid_only: bool = True) -> InPlace:
         """``kept_fills`` of gaps ``(sample_id, name, prev, next)``, made where the gaps lie: ``sample_id, name, numbers, scores``. A row without
         a name has the number of the word that it brings as ``prev``."""
         index, cut = self.index, similarity_cut(threshold, at_most)
         toks = F.when(F.col("name").isNull(), token_hashes(F.array("prev"))).otherwise(token_hashes(F.array("name", "prev", "next")))
         rows = gaps.select("sample_id", "name", toks.alias("toks"))
-        return rows.mapInArrow(lambda batches: near_batches(batches, index, cut, score_cut, valid_only), f"{_fields(rows.drop('toks'))}, numbers array<int>, scores array<int>")
+        return InPlace(rows, (lambda batches: near_batches(batches, index, cut, score_cut, valid_only),))
 
 
 def _fields(rows: DataFrame) -> str:
@@ -405,35 +420,33 @@ def flat_kept(lists: DataFrame) -> DataFrame:
     return flat_words(cands)
 
 
-def gap_candidates(gaps: DataFrame, fills: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def gap_candidates(gaps: DataFrame, fills: Callable[[DataFrame], InPlace]) -> InPlace:
     """Each gap of a sample takes the list of its fills, ``(sample_id, name, numbers, scores)``: made where the gap lies, so that no list is sent.
 
     The same gap may occur in a large share of all samples; gaps of the same neighbours that are worked on at once are filled once.
     """
-    return fills(gaps).select("sample_id", "name", "numbers", "scores")
+    return fills(gaps)
 
 
-def drop_own_names(lists: DataFrame) -> DataFrame:
+def drop_own_names(lists: InPlace) -> InPlace:
     """P11 on its own, on ``gap_candidates`` of gaps that came with their sample's own names."""
-    kind = lists.schema["sample_id"].dataType.simpleString()
-    return lists.mapInArrow(struck_batches, f"sample_id {kind}, name string, numbers array<int>, scores array<int>")
+    return lists.then(struck_batches)
 
 
-def merged_rows(lists: DataFrame, model: FillModel) -> DataFrame:
+def merged_rows(lists: InPlace, model: FillModel) -> DataFrame:
     """C7 as rows ``(sample_id, name, idx, cand, score)``, with ``w_cand`` if the model weighs its words."""
-    index, weighed, kind = model.index, model.weigh is not None, lists.schema["sample_id"].dataType.simpleString()
-    weight = ", w_cand long" if weighed else ""
-    return lists.mapInArrow(lambda batches: merged_batches(batches, index, weighed, False), f"sample_id {kind}, name string, idx long, cand string, score long{weight}")
+    index, weighed = model.index, model.weigh is not None
+    return lists.then(lambda batches: merged_batches(batches, index, weighed, False)).run("idx long, cand string, score long" + ", w_cand long" * weighed)
 
 
-def merge_candidates(lists: DataFrame, model: FillModel) -> DataFrame:
+def merge_candidates(lists: InPlace, model: FillModel) -> DataFrame:
     """``(sample_id, name, cands, scores)``, the distinct candidates of a name over all its occurrences, with their best score, best first,
     equal scores by word.
 
     ``lists`` are those of ``near_fills``, the rows of a sample together in one task; they are merged there by number.
     """
-    index, kind = model.index, lists.schema["sample_id"].dataType.simpleString()
-    return lists.mapInArrow(lambda batches: merged_batches(batches, index, False, True), f"sample_id {kind}, name string, cands array<string>, scores array<bigint>")
+    index = model.index
+    return lists.then(lambda batches: merged_batches(batches, index, False, True)).run("cands array<string>, scores array<bigint>")
 
 
 def foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
@@ -454,14 +467,16 @@ def foreign_candidates(lists: DataFrame, own_names: DataFrame) -> DataFrame:
     return rows.mapInArrow(candidate_batches, f"sample_id {kind}, name string, idx long, cand string, score long{weight}")
 
 
-def several_pieces_own(samples: DataFrame, lang: str, block_size: int) -> DataFrame:
-    """``(sample_id, name)``: all names of the samples that have one of several pieces in their window; the others need no more than their gaps."""
+def several_pieces(samples: DataFrame, lang: str, block_size: int) -> DataFrame:
+    """Samples with ``several``, the valid names of several pieces in their windows; those without one are left out."""
+    windows = F.flatten(F.transform("texts", lambda t: F.slice(t, 1, block_size)))
+    several = F.filter(F.array_distinct(windows), lambda t: is_valid_name(t, lang) & (F.size(pieces(t)) > 1))
+    return samples.withColumn("several", several).where(F.size("several") > 0)
 
-    def several(word: Column) -> Column:
-        return is_valid_name(word, lang) & (F.size(pieces(word)) > 1)
 
-    wanted = samples.where(F.exists("texts", lambda t: F.exists(F.slice(t, 1, block_size), several)))
-    return wanted.select("sample_id", F.explode(F.array_distinct(F.flatten("texts"))).alias("name")).where(is_valid_name(F.col("name"), lang))
+def own_words(samples: DataFrame, lang: str) -> DataFrame:
+    """``(sample_id, name)``: all names of the samples."""
+    return samples.select("sample_id", F.explode(F.array_distinct(F.flatten("texts"))).alias("name")).where(is_valid_name(F.col("name"), lang))
 
 
 def search_space(
@@ -488,7 +503,8 @@ def search_space(
     lists = gap_candidates(single, lambda rows: model.near_fills(rows, similarity_threshold, at_most, score_cut))
     found = merged_rows(drop_own_names(lists), model)
     if compose:
-        multi = gaps.where(F.size(pieces(F.col("name"))) > 1).select("sample_id", "name").distinct()
+        few = several_pieces(samples, lang, block_size)
+        multi = few.select("sample_id", F.explode("several").alias("name"))
         composed = compose_words(multi, model.words).where(is_valid_name(F.col("cand"), lang))
         fields, kind = ["cand", "score"], KEPT
         if model.weigh:
@@ -496,7 +512,7 @@ def search_space(
         composed = composed.groupBy("name").agg(F.collect_list(F.struct(*fields)).cast(kind).alias("kept"))
         lists = composed.join(multi.groupBy("name").agg(F.count("*").alias("n")), "name")
         lists = skew_join(multi, lists, ["name"], "n", ["sample_id"], "inner").select("sample_id", "name", "kept")
-        found = found.unionByName(foreign_candidates(lists, several_pieces_own(samples, lang, block_size) if own_names is None else own_names))
+        found = found.unionByName(foreign_candidates(lists, own_words(few, lang) if own_names is None else own_names))
     return found
 
 

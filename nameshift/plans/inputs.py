@@ -197,12 +197,20 @@ class AttackInputs:
         key = (top_k, *sorted(limits.items()))
         if key not in self._spaces:
             model = self.candidate_fills if top_k is None else self.candidate_fills.resized(top_k, self.lang)
-            found = search_space(self.attackable, None, model, self.lang, self.block, **limits)
-            if self.names_mode != "all":
-                found = found.join(self.names.select("sample_id", "name"), ["sample_id", "name"], "left_semi")
-            self._spaces[key] = stage(self.prepare_space(found), "space")
+            self._spaces[key] = stage(self.prepare_space(self.found_space(model, **limits)), "space")
         return self._spaces[key]
 
+    def found_space(self, model: FillModel, **limits) -> DataFrame:
+        """C8, made anew by each reader."""
+        found = search_space(self.attackable, None, model, self.lang, self.block, **limits)
+        return found if self.names_mode == "all" else found.join(self.names.select("sample_id", "name"), ["sample_id", "name"], "left_semi")
+
+    def space_counts(self) -> DataFrame:
+        """``(sample_id, n_subst)``: how many candidates a sample has. If nothing else has asked for them, they are counted as they are
+        made, and not kept."""
+        space = self.space() if (None,) in self._spaces else self.found_space(self.fills)
+        return space.groupBy("sample_id").agg(F.count("*").alias("n_subst"))
+
     def prepare_space(self, found: DataFrame) -> DataFrame:
         return found if "w_cand" in found.columns else self.scorer.weigh_rows(found, "cand", ["sample_id", "name"], "w_cand")
 
@@ -278,6 +286,11 @@ class AttackInputs:
         )
 
     def name_counts(self) -> DataFrame:
+        if self.additive and self.names_mode == "all" and "terms" not in self.__dict__:
+            # names are counted in their own texts, as in ``terms``: texts that share an id, a label and a size are one
+            texts = self.tokens.select("sample_id", "label", F.size("tokens").alias("n_tokens"), identifiers(F.col("tokens"), self.lang).alias("names"))
+            merged = texts.where("n_tokens > 0").groupBy("sample_id", "label", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+            return merged.where(F.size("names") > 0).groupBy("sample_id").agg(F.sum(F.size("names")).alias("n_names"))
         return self.names.groupBy("sample_id").agg(F.count("*").alias("n_names"))
 
 

@@ -150,8 +150,7 @@ def attack_gate(spark, folder):
 
 def outcome_notes(spark, folder):
     inputs = prepared(spark, folder)
-    found = inputs.space().groupBy("sample_id").agg(F.count("*").alias("n_subst"))
-    rows = inputs.predictions.join(inputs.name_counts(), "sample_id", "left").join(found, "sample_id", "left")
+    rows = inputs.predictions.join(inputs.name_counts(), "sample_id", "left").join(inputs.space_counts(), "sample_id", "left")
     zero = F.lit(0).cast("long")
     note = outcome_note(F.col("predict_label") != F.col("label"), F.coalesce("n_names", zero), F.coalesce("n_subst", zero))
     return rows.select("sample_id", F.coalesce(note, F.lit("")).alias("note"))

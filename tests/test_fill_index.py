@@ -51,6 +51,15 @@ def test_gaps_are_filled_without_joins(spark):
         assert "Join" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
 
 
+def test_outcome_notes_keep_no_space(inputs):
+    """Candidates are counted as they are made, and names in their own texts; the same counts as of the staged tables."""
+    fresh = AttackInputs.prepare(inputs.samples, inputs.samples, smoothing=3.0, block_size=20)
+    counted = [sorted(map(tuple, f.collect())) for f in (fresh.space_counts(), fresh.name_counts())]
+    assert not fresh._spaces and "terms" not in fresh.__dict__ and all(counted)
+    assert counted[0] == sorted(map(tuple, fresh.space().groupBy("sample_id").count().collect()))
+    assert fresh.names.count() and counted[1] == sorted(map(tuple, fresh.name_counts().collect()))
+
+
 def test_fill_model_needs_no_scorer(spark, snippets):
     inputs = AttackInputs.prepare(snippets, snippets)
     assert inputs.fills.words.count() and "scorer" not in inputs.__dict__
@@ -74,8 +83,11 @@ def test_candidates_are_merged_where_the_sample_lies(spark):
     texts = [(1, "a b a c d a b e".split()), (1, "b c b q".split()), (2, "x y z x w y".split()), (None, "a b c".split()), (3, None), (4, [])]
     lexed = spark.createDataFrame(texts, "sample_id long, tokens array<string>")
     model = candidates.FillModel.train(lexed, 4)
-    gaps = candidates.contexts(candidates.whole_samples(lexed), "c", 4, own_names=True)
-    lists = candidates.gap_candidates(gaps, lambda rows: model.near_fills(rows, valid_only=False))
+
+    def lists(own_names):
+        gaps = candidates.contexts(candidates.whole_samples(lexed), "c", 4, own_names)
+        return candidates.gap_candidates(gaps, lambda rows: model.near_fills(rows, valid_only=False))
+
     plain = candidates.contexts(lexed, "c", 4)
     want, own = {}, {}
     for r in model.similar_fills(plain).collect():
@@ -86,7 +98,7 @@ def test_candidates_are_merged_where_the_sample_lies(spark):
         own.setdefault(sample, set()).update(toks or [])
     for struck in (True, False):
         kept = {k: sorted(((c, s) for c, s in v.items() if not struck or c not in own[k[0]]), key=lambda e: (-e[1], e[0])) for k, v in want.items()}
-        made = candidates.drop_own_names(lists) if struck else lists.where("name IS NOT NULL")
+        made = candidates.drop_own_names(lists(True)) if struck else lists(False)
         assert _merged(model, made) == {k: v for k, v in kept.items() if v}
-    plan = candidates.merge_candidates(lists, model)._jdf.queryExecution().executedPlan().toString()
+    plan = candidates.merge_candidates(lists(False), model)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
