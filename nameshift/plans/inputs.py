@@ -108,12 +108,15 @@ class AttackInputs:
         smoothing: float = 1.0,
         train: DataFrame | None = None,
         names_mode: str = "all",
+        scorer_later: bool = False,
     ) -> "AttackInputs":
         """Built-in models: the scorer trained on ``train`` (else on the samples themselves), the fill model on a corpus of
-        texts. Either waits until it is wanted."""
+        texts, which waits until candidates are wanted; so does the scorer if it may come later."""
         inputs = cls(samples, None, lambda: FillModel.train(with_tokens(fill_corpus, lang=lang), top_k, lang), lang, names_mode)
         del inputs.scorer
         inputs.train_scorer = lambda: LinearScorer.train(inputs.tokens if train is None else with_tokens(train, lang=lang), block_size, smoothing)
+        if not scorer_later:
+            inputs.scorer = inputs.train_scorer()
         return inputs
 
     def __getattr__(self, name: str):

@@ -42,7 +42,7 @@ def prepared(spark: SparkSession, folder: str) -> AttackInputs:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _prepared:
         _prepared[key] = AttackInputs.prepare(
-            labelled_documents(spark, folder), all_documents(spark, folder), LANG, smoothing=SMOOTHING
+            labelled_documents(spark, folder), all_documents(spark, folder), LANG, smoothing=SMOOTHING, scorer_later=True
         )
     return _prepared[key]
 

@@ -61,7 +61,7 @@ def test_outcome_notes_keep_no_space(inputs):
 
 
 def test_fill_model_needs_no_scorer(spark, snippets):
-    inputs = AttackInputs.prepare(snippets, snippets)
+    inputs = AttackInputs.prepare(snippets, snippets, scorer_later=True)
     assert inputs.fills.words.count() and "scorer" not in inputs.__dict__
     assert inputs.scorer is inputs.scorer and "scorer" in inputs.__dict__
 
